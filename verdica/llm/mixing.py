@@ -46,7 +46,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     level = (F.sum("source_size").over(whole) - spent).cast("double") / left
     full = F.col("source_size") * EPOCHS <= level * F.col("weight")
     levels = ranked.withColumns({"_level": level, "_full": full})
-    common = F.min(F.when(~F.col("_full"), F.col("_level"))).over(whole)
+    # behind the first source that does not fill up the assumed levels only fall, so the largest is the level
+    common = F.max(F.when(~F.col("_full"), F.col("_level"))).over(whole)
     target = F.when(F.col("_full") | common.isNull(), (F.col("source_size") * EPOCHS).cast("double")).otherwise(common * F.col("weight"))
     return levels.select("source", "source_size", "rank", "weight", F.when(F.sum("source_size").over(whole) > 0, target).otherwise(F.lit(0.0)).alias("target"))
 
@@ -136,9 +137,9 @@ def _taken(cut: dict | None) -> Column:
     for epoch in range(EPOCHS):
         time = _time(F.lit(epoch))
         early = time < F.lit(cut["time"])
-        tie = (time == F.lit(cut["time"])) & (
-            F.struct(F.col("rank"), F.col("end"), F.col("at")) <= F.struct(F.lit(cut["rank"]), F.lit(cut["end"]), F.lit(cut["at"]))
-        )
+        rank, end, at = F.lit(cut["rank"]), F.lit(cut["end"]), F.lit(cut["at"])
+        here = (F.col("rank") == rank) & ((F.col("end") < end) | ((F.col("end") == end) & (F.col("at") <= at)))
+        tie = (time == F.lit(cut["time"])) & ((F.col("rank") < rank) | here)
         copies = copies + F.when(early | tie, F.lit(1)).otherwise(F.lit(0))
     return F.when((F.col("size") > 0) & (F.col("target") > 0), F.col("size") * copies).otherwise(F.lit(0)).cast("long")
 
