@@ -34,16 +34,23 @@ _NEIGHBOURS = """
     FROM (SELECT piece, place, token, lead(token) OVER (PARTITION BY piece ORDER BY place) AS next FROM contracted WHERE NOT done) s
     LEFT JOIN merges m ON m.pair = (s.token::BIGINT << 32) | s.next
 """
-_ENCODE = f"""
+_ENCODE = """
 WITH RECURSIVE contracted(piece, place, token, done) AS (
     SELECT piece, place, token, false FROM bytes_of
     UNION ALL
-    SELECT piece, place, CASE WHEN score = least_score THEN made ELSE token END, least_score IS NULL
-    FROM (
-        SELECT *, min(score) OVER (PARTITION BY piece) AS least_score, lag(score) OVER (PARTITION BY piece ORDER BY place) AS before
-        FROM ({_NEIGHBOURS})
+    (WITH scored AS MATERIALIZED (
+        SELECT s.*, m.made, (m.made::BIGINT << 32) | s.place AS score
+        FROM (
+            SELECT piece, place, token, lead(token) OVER ordered AS next, lead(place) OVER ordered AS following
+            FROM contracted WHERE NOT done WINDOW ordered AS (PARTITION BY piece ORDER BY place)
+        ) s
+        LEFT JOIN merges m ON m.pair = (s.token::BIGINT << 32) | s.next
+    ), chosen AS (
+        SELECT piece, min(score) AS least_score, arg_min(following, score) AS gone FROM scored GROUP BY piece
     )
-    WHERE least_score IS NULL OR before IS DISTINCT FROM least_score
+    SELECT s.piece, s.place, CASE WHEN s.score = c.least_score THEN s.made ELSE s.token END, c.least_score IS NULL
+    FROM scored s JOIN chosen c USING (piece)
+    WHERE c.least_score IS NULL OR s.place <> c.gone)
 )
 SELECT piece, place, token FROM contracted WHERE done
 """
