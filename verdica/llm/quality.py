@@ -139,4 +139,6 @@ def apply_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RUL
 def kept_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows that pass, with their own columns only. Counts live beside the row in a struct, so no name clashes."""
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
-    return apply_rules(row, "_text").where("kept").select("_row.*")
+    # A filter moves below projections and would pull their expressions into lambdas, to be computed for each word;
+    # it stays above a generator.
+    return apply_rules(row, "_text").select("_row", F.explode(F.array("kept")).alias("_kept")).where("_kept").select("_row.*")
