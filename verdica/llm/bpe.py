@@ -27,7 +27,7 @@ from .common import map_rows
 LONG = 256
 #: Pieces in one recursive query, and pieces remembered between batches.
 QUERY_BYTES = 400_000
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 
 _NEIGHBOURS = """
     SELECT s.piece, s.place, s.token, m.made, (m.made::BIGINT << 32) | s.place AS score
