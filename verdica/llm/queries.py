@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, simhash, substring, transducer
+from . import bpe, mixing, quality, simhash, substring, toxicity, transducer
 from .common import table
 
 
@@ -31,10 +31,16 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "_dedup.*")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scores = toxicity.scored(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return scores.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_mixing, op6_token_counts, op7_substring_dedup, op8_simhash, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_mixing, op6_token_counts, op7_substring_dedup, op8_simhash, op9_toxicity, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
