@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, mixing, mpeg, quality, simhash, substring, toxicity, transducer
+from . import bpe, html, licenses, mixing, mpeg, quality, simhash, substring, toxicity, transducer
 from .common import table
 
 
@@ -41,6 +41,10 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(table(spark, sf_dir, "pages"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -60,5 +64,81 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mpeg_audio, op3_mixing, op4_html_text, op6_token_counts, op7_substring_dedup, op8_simhash, op9_toxicity, op10_byte_bpe)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mpeg_audio, op3_mixing, op4_html_text, op5_license_scan, op6_token_counts, op7_substring_dedup, op8_simhash, op9_toxicity, op10_byte_bpe)}
+
+_BLANK = r"[\x20\x09-\x0D]"
+
+#: Word rules by brute force: windows of a text are grouped by their words. Stop words are counted word by word.
+_OP1 = rf"""
+WITH d AS (
+    SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '{_BLANK}+'), lambda x: x <> '') AS w FROM documents
+),
+grams AS (SELECT row, i, w[i:i + 4] AS g FROM (SELECT row, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+twice AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, g) AS n FROM grams) WHERE n > 1),
+covered AS (SELECT row, count(DISTINCT i + k) AS n FROM twice, range(0, 5) AS r(k) GROUP BY row),
+stops AS (
+    SELECT row, count(*) AS n FROM (SELECT row, unnest(w) AS x FROM d)
+    WHERE regexp_matches(x, '(?i)^(?:{"|".join(sorted(quality.STOP_WORDS))})[.,;:!?]*$') GROUP BY row
+),
+lines AS (SELECT row, count(*) AS n_lines, count(*) - count(DISTINCT l) AS dup FROM (SELECT row, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY row),
+m AS (
+    SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '{_BLANK}', '', 'g'))::BIGINT AS word_chars,
+        (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines,
+        coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(s.n, 0) AS n_stops, coalesce(n_lines, 0) AS n_lines,
+        length(t) - length(replace(t, '!', '')) AS n_exclamations
+    FROM d LEFT JOIN covered c USING (row) LEFT JOIN stops s USING (row) LEFT JOIN lines USING (row)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND word_chars / n_words::DOUBLE BETWEEN 2 AND 14
+    AND n_symbols / n_words::DOUBLE <= 0.1 AND n_exclamations / n_words::DOUBLE <= 0.3
+    AND coalesce(n_dup_lines / nullif(n_lines, 0)::DOUBLE, 0) <= 0.5 AND (n_words < 50 OR n_stops / n_words::DOUBLE >= 0.02) AS kept
+FROM m
+"""
+
+#: The whole queue in one order, cut where the budget ends.
+_OP3 = rf"""
+WITH d AS (
+    SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '{_BLANK}+'), lambda x: x <> ''))::BIGINT AS size,
+        sha256(concat_ws(':', '{mixing.SEED}', coalesce(doc_id::VARCHAR, ''))) AS spot
+    FROM documents
+),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][((rank - 1) % 3 + 1)::INT] AS weight FROM s),
+f AS (
+    SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER fill, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER fill, 0)) AS level
+    FROM w WINDOW fill AS (ORDER BY source_size / weight::DOUBLE, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+l AS (SELECT *, 3 * source_size <= level * weight AS filled, max(level) FILTER (WHERE NOT 3 * source_size <= level * weight) OVER () AS common FROM f),
+t AS (SELECT source, source_size, rank, CASE WHEN sum(source_size) OVER () = 0 THEN 0.0 WHEN filled OR common IS NULL THEN (3 * source_size)::DOUBLE ELSE common * weight END AS target FROM l),
+q AS (
+    SELECT d.*, t.source_size, t.rank, t.target, (sum(size) OVER (PARTITION BY d.source ORDER BY spot, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS finish
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+),
+c AS (
+    SELECT doc_id, size, sum(size) OVER (ORDER BY (source_size * e + finish)::DOUBLE / target, rank, finish, spot, doc_id ROWS UNBOUNDED PRECEDING) AS total
+    FROM q, range(0, 3) AS r(e) WHERE size > 0 AND target > 0
+),
+k AS (SELECT doc_id, sum(size)::BIGINT AS taken FROM c WHERE total <= (SELECT sum(size) FROM d) GROUP BY doc_id)
+SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(k.taken, 0)::BIGINT AS taken FROM q LEFT JOIN k ON q.doc_id = k.doc_id
+"""
+
+#: Every 50-word window of every text, grouped by its words.
+_OP7 = rf"""
+WITH d AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{_BLANK}+'), lambda x: x <> '') AS w FROM documents
+),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS least FROM windows) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM later, range(0, 50) AS r(k)),
+lists AS (SELECT doc_id, list(i) AS g FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_removed,
+    sha256(coalesce(array_to_string(CASE WHEN g IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(g, i)) END, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN lists ON d.doc_id = lists.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": _OP1,
+    "op3_mixing": _OP3,
+    "op5_license_scan": licenses.oracle_sql(),
+    "op7_substring_dedup": _OP7,
+}
