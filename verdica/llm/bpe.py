@@ -22,12 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_rows
+from .common import HELD, map_rows
 
 LONG = 256
 #: Pieces in one recursive query, and pieces remembered between batches.
-QUERY_BYTES = 400_000
-REMEMBERED = 1_000_000
+QUERY_BYTES = 800_000
+REMEMBERED = 500_000
 
 _NEIGHBOURS = """
     SELECT s.piece, s.place, s.token, m.made, (m.made::BIGINT << 32) | s.place AS score
@@ -78,8 +78,8 @@ WITH RECURSIVE contracted(piece, place, token, done) AS (
 SELECT piece, place, token FROM contracted WHERE done
 """
 _COLLECT = """
-SELECT e.piece, count(*) AS n, string_agg(e.token::VARCHAR, ' ' ORDER BY e.place) AS ids, unhex(string_agg(v.spelt, '' ORDER BY e.place)) AS decoded
-FROM encoded e JOIN vocabulary v ON v.token = e.token GROUP BY e.piece
+SELECT count(*) AS n, encode(string_agg(e.token::VARCHAR, ' ' ORDER BY e.place)) AS ids, unhex(string_agg(v.spelt, '' ORDER BY e.place)) AS decoded
+FROM encoded e JOIN vocabulary v ON v.token = e.token GROUP BY e.piece ORDER BY e.piece
 """
 
 
@@ -129,10 +129,7 @@ class Vocabulary:
         out = self.db.sql(_COLLECT).to_arrow_table()
         self.db.unregister("encoded")
         self.db.unregister("bytes_of")
-        found: list = [None] * len(pieces)
-        for piece, n, ids, decoded in zip(*(c.to_pylist() for c in out.columns), strict=True):
-            found[piece] = (n, ids.encode(), decoded)
-        return found
+        return list(zip(*(c.to_pylist() for c in out.columns), strict=True))
 
     def encode(self, pieces: Iterable[str]) -> None:
         """Makes sure that all pieces are known."""
@@ -160,6 +157,7 @@ class Vocabulary:
 
 
 _OPEN: dict[str, Vocabulary] = {}
+HELD[__name__] = _OPEN.clear
 
 
 def vocabulary(path: str) -> Vocabulary:

@@ -63,11 +63,23 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+#: What operators remember in a worker between tasks, by module, and how to let go of it.
+HELD: dict[str, Callable[[], None]] = {}
+
+
+def alone(owner: str) -> None:
+    """Lets go of what other operators remember: a worker that outlives a stage serves the next with its memory free."""
+    for name, release in HELD.items():
+        if name != owner:
+            release()
+
+
 def map_rows(df: DataFrame, columns: Iterable[str], rows: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """mapInArrow over the named columns only: Spark doesn't prune columns through a Python stage."""
     bounded_batches(df.sparkSession)
 
     def run(batches):
+        alone(rows.__module__)
         for batch in batches:
             if batch.num_rows:
                 yield rows(batch)

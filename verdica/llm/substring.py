@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, staged, texts_of
+from .common import alone, bounded_batches, staged, texts_of
 from .hashing import mixed, planes, rolling, unplaned, word_bounds, word_hashes
 
 WINDOW = 50
@@ -178,6 +178,7 @@ def _candidates(batch: pa.RecordBatch, n_parts: int) -> pa.RecordBatch | None:
 
 def _mapped(df: DataFrame, rows: Callable[[pa.RecordBatch, int], pa.RecordBatch | None], n_parts: int, key_bytes: int, hit) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(__name__)
         for batch in batches:
             if batch.num_rows and (out := rows(batch, n_parts)) is not None:
                 yield out
@@ -236,6 +237,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     result = T.StructType([T.StructField("_text", T.StringType()), joined.schema["_row"], *T._parse_datatype_string("n_words long, n_removed long, kept_sha256 string")])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(__name__)
         for batch in batches:
             places = batch.column("_places")
             done = [without(t, places[i].as_py()) for i, t in enumerate(texts_of(batch.column("_text")))]

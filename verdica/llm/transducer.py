@@ -23,7 +23,7 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_rows
+from .common import HELD, map_rows
 
 BLANK = "▁"
 LIMIT = 4096
@@ -151,6 +151,7 @@ class ChunkMaps(dict):
 
 
 _OPEN: dict[str, Transducer] = {}
+HELD[__name__] = _OPEN.clear
 
 
 def transducer(path: str) -> Transducer:
