@@ -1,0 +1,232 @@
+"""Queries over prompts, requests, mappers and generated text; inline rows where the test tables have nothing alike."""
+
+from __future__ import annotations
+
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..curate import examples, synth
+from ..curate import sources as S
+from ..functions import hashing as H
+from ..functions import text as T
+from ..operators import prompts, schema, scoring
+from ..sources import rows as R
+from . import engine
+from .catalog import query, table
+
+REGION_SQL = "o AS (SELECT list(r_name ORDER BY r_regionkey) AS names FROM region)"
+LINES = "array_to_string(list_transform(range(1, len(names) + 1), lambda i: chr((64 + i)::INT) || '. ' || names[i]), chr(10))"
+COLLAPSED = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
+STATE = "trim(left(text, 200), ' ' || chr(9) || chr(10) || chr(13))"
+
+
+def questions(spark: SparkSession, sf: str, kind: str, instructions: str) -> DataFrame:
+    """A question about each document, with the regions as options."""
+    regions = table(spark, sf, "region").agg(F.transform(F.array_sort(F.collect_list(F.struct("r_regionkey", "r_name"))), lambda s: F.struct(s["r_name"].alias("name"), F.lit(None).cast("string").alias("descr"))).alias("options"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("request_id"), F.lit(0).alias("ord"), F.lit("q").alias("qid"), F.left("text", F.lit(200)).alias("state"))
+    return docs.crossJoin(F.broadcast(regions)).withColumns({"type": F.lit(kind), "instructions": F.lit(instructions), "true_text": F.lit(None).cast("string"), "false_text": F.lit("it does not"), "model": F.lit("m")})
+
+
+def prompt_digest(df: DataFrame) -> DataFrame:
+    return df.select("request_id", F.sha2(F.concat("prefix", "state", "suffix"), 256).alias("prompt"), "n_labels")
+
+
+@query(f"WITH {REGION_SQL} SELECT doc_id::VARCHAR AS request_id, sha256({STATE} || chr(10) || chr(10) || 'Question: Where is it?' || chr(10) || {LINES} || chr(10) || 'Answer:') AS prompt, 5 AS n_labels FROM documents, o")
+def prompt_choice(spark, sf):
+    return prompt_digest(prompts.with_prompt(questions(spark, sf, "choice", "Where is it?")))
+
+
+@query(f"SELECT doc_id::VARCHAR AS request_id, sha256({STATE} || chr(10) || chr(10) || 'Statement: It rains.' || chr(10) || 'Question: Is the statement true?' || chr(10) || 'A. Yes' || chr(10) || 'B. No: it does not' || chr(10) || 'Answer:') AS prompt, 2 AS n_labels FROM documents")
+def prompt_noul(spark, sf):
+    return prompt_digest(prompts.with_prompt(questions(spark, sf, "noul", "It rains.")))
+
+
+@query(
+    f"WITH {REGION_SQL}, c AS (SELECT doc_id, {STATE} AS s, unnest(range(0, 5)) AS place, unnest(names) AS name FROM documents, o) SELECT doc_id::VARCHAR AS request_id, place::INT AS place, sha256(s || chr(10) || chr(10) || 'Question: Where?' || chr(10) || 'Proposed answer: ' || name || chr(10) || 'Question: Is the proposed answer correct?' || chr(10) || 'A. Yes' || chr(10) || 'B. No' || chr(10) || 'Answer:') AS prompt FROM c"
+)
+def prompt_candidate(spark, sf):
+    options = questions(spark, sf, "choice", "Where?").select("*", F.posexplode("options").alias("place", "option"))
+    return prompts.with_candidate_prompt(options).select("request_id", "place", F.sha2(F.concat("state", "suffix"), 256).alias("prompt"))
+
+
+@query("SELECT n_nationkey, 'Regarding \"Which one?\", the correct answer is \"' || n_name || '\"' || CASE WHEN n_nationkey % 2 = 0 THEN ': ' || lower(n_name) ELSE '' END || '.' AS hypothesis, 'The answer to the question \"Is it ' || n_name || '?\" is yes.' AS yes FROM nation")
+def hypotheses(spark, sf):
+    rows = table(spark, sf, "nation").withColumn("options", F.array(F.struct(F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 2 == 0, F.lower("n_name")).alias("descr"))))
+    none = F.lit(None).cast("string")
+    choice = prompts.hypotheses(F.lit("choice"), F.lit("Which one?"), F.col("options"), none)
+    yes = prompts.hypotheses(F.lit("noul"), F.concat(F.lit("Is it "), "n_name", F.lit("?")), F.col("options"), none)
+    return rows.select("n_nationkey", F.get(choice, F.lit(0)).alias("hypothesis"), F.get(yes, F.lit(0)).alias("yes"))
+
+
+@query("SELECT doc_id, length(text) > 500 - 14 - 9 - 13 AS cut, length('Premise: ' || CASE WHEN length(text) > 464 THEN '…' || right(text, 463) ELSE text END || chr(10) || 'Hypothesis: ' || 'It is so.' || '    ') AS n FROM documents")
+def rendered_pairs(spark, sf):
+    pair = prompts.rendered_pair(F.col("text"), F.lit("It is so.    "), limit=499)
+    return table(spark, sf, "documents").select("doc_id", pair.alias("p")).select("doc_id", "p.cut", F.length("p.text").alias("n"))
+
+
+_U = H.uniform_sql
+
+
+@query(
+    f"""WITH x AS (SELECT doc_id, {COLLAPSED} AS t, {_U("'w'", 'doc_id', "'wrap'")} AS u, {_U("'w'", 'doc_id', "'label'")} AS v FROM documents),
+k AS (SELECT *, CASE WHEN u < 0.5 THEN 'bare' WHEN u < 0.8 THEN 'labelled' WHEN u < 0.95 THEN 'json' ELSE 'quoted' END AS kind FROM x)
+SELECT doc_id, kind, length(CASE kind WHEN 'labelled' THEN ['Text', 'Message', 'Input'][floor(v * 3)::INT + 1] || ': ' || t WHEN 'quoted' THEN '"' || t || '"' WHEN 'json' THEN '' ELSE t END) AS n FROM k"""
+)
+def wrap_states(spark, sf):
+    rows = table(spark, sf, "documents").withColumn("t", T.collapse(F.col("text")))
+    state, kind = examples.wrapped(F.col("t"), "w", F.col("doc_id"))
+    return rows.select("doc_id", kind.alias("kind"), F.when(kind == "json", F.lit(0)).otherwise(F.length(state)).alias("n"))
+
+
+@query(
+    f"""WITH x AS (SELECT doc_id, {_U("'y'", 'doc_id', "'criteria'")} AS u FROM documents), m AS (SELECT doc_id, CASE WHEN u < 0.55 THEN 'none' WHEN u < 0.8 THEN 'both' WHEN u < 0.95 THEN 'true' ELSE 'false' END AS m FROM x)
+SELECT CASE WHEN m = 'none' OR doc_id % 4 = 0 THEN 'none' WHEN doc_id % 4 = 1 THEN 'true' WHEN doc_id % 4 = 2 THEN 'false' ELSE m END AS mode, count(*) AS n FROM m GROUP BY 1"""
+)
+def criteria_modes(spark, sf):
+    none = F.array().cast("array<string>")
+    true, false = F.when((F.col("doc_id") % 4).isin(1, 3), F.array(F.lit("yes"))).otherwise(none), F.when((F.col("doc_id") % 4).isin(2, 3), F.array(F.lit("no"))).otherwise(none)
+    mode, _, _ = examples.noul_criteria("y", F.col("doc_id"), true, false)
+    return table(spark, sf, "documents").groupBy(mode.alias("mode")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN lower(n_name) WHEN 1 THEN array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') ELSE lower(n_name) END AS styled FROM nation")
+def styled_names(spark, sf):
+    style = F.element_at(F.array(*[F.lit(x) for x in ("raw", "title", "spaced")]), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    return table(spark, sf, "nation").select("n_nationkey", T.styled(F.lower("n_name"), F.lower("n_name"), style).alias("styled"))
+
+
+@query("SELECT page_id, sha256(trim(regexp_replace(html, '\\s+', ' ', 'g'))) AS inline FROM pages")
+def inline_pages(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.sha2(T.collapse(F.col("html")), 256).alias("inline"))
+
+
+BODIES = [
+    ("ok", {"state": "The gate is open.", "model": "m", "questions": {"b": {"type": "noul", "instructions": "Is it open?"}, "a": {"type": "choice", "instructions": "Which?", "criteria": {"gate": None, "door": "a door"}}, "c": {"type": "score", "instructions": "How open?", "criteria": ["shut", "ajar", "open"]}}}, ""),
+    ("list", [], ""),
+    ("no_state", {"model": "m", "questions": {}}, "state"),
+    ("null_state", {"state": None, "model": "m", "questions": {"q": {}}}, "state"),
+    ("number_state", {"state": 5, "model": "m", "questions": {"q": {}}}, "state"),
+    ("no_model", {"state": "s", "model": " ", "questions": {"q": {}}}, "model"),
+    ("no_questions", {"state": "s", "model": "m", "questions": {}}, "questions"),
+    ("extra", {"state": "s", "model": "m", "questions": {}, "extra": 1}, "extra"),
+    *[
+        (name, {"state": "s", "model": "m", "questions": {"q": q}}, path)
+        for name, q, path in (
+            ("type", {"type": "rank", "instructions": "x"}, "questions.q.type"),
+            ("no_instructions", {"type": "noul"}, "questions.q.instructions"),
+            ("blank_instructions", {"type": "noul", "instructions": "  "}, "questions.q.instructions"),
+            ("question_key", {"type": "noul", "instructions": "x", "foo": 1}, "questions.q.foo"),
+            ("list_criteria", {"type": "choice", "instructions": "x", "criteria": ["a", "b"]}, "questions.q.criteria"),
+            ("one_option", {"type": "choice", "instructions": "x", "criteria": {"a": None}}, "questions.q.criteria"),
+            ("blank_name", {"type": "choice", "instructions": "x", "criteria": {"a": None, " ": None}}, "questions.q.criteria"),
+            ("number_descr", {"type": "choice", "instructions": "x", "criteria": {"a": 3, "b": None}}, "questions.q.criteria.a"),
+            ("object_levels", {"type": "score", "instructions": "x", "criteria": {"a": 1}}, "questions.q.criteria"),
+            ("null_level", {"type": "score", "instructions": "x", "criteria": ["a", None]}, "questions.q.criteria[1]"),
+            ("noul_key", {"type": "noul", "instructions": "x", "criteria": {"maybe": "x"}}, "questions.q.criteria.maybe"),
+            ("noul_list", {"type": "noul", "instructions": "x", "criteria": []}, "questions.q.criteria"),
+        )
+    ],
+]
+
+
+def bodies(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(k, json.dumps(b)) for k, b, _ in BODIES], "request_id string, body string")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {'NULL' if k == 'ok' else repr(p)})" for k, _, p in BODIES for _ in range(3 if k == "ok" else 1)) + ") AS v(request_id, error_path)")
+def validate_requests(spark, sf):
+    return schema.parsed(bodies(spark)).select("request_id", "error_path")
+
+
+@query("SELECT 'ok' AS request_id, 'm' AS model, 3 AS answers")
+def answer_requests(spark, sf):
+    good, _ = engine.answer(bodies(spark))
+    return good.select("request_id", "model", F.size(F.json_object_keys("answers")).alias("answers"))
+
+
+@query()
+def wide_choice_answers(spark, sf):
+    """Choices over 40 options: yes/no prompts for each, then a shortlist, through the lexical backend."""
+    rows = questions(spark, sf, "choice", "Which?").withColumn("options", F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.struct(F.concat(F.lit("o"), i.cast("string")).alias("name"), F.lit(None).cast("string").alias("descr"))))
+    raw = scoring.score(rows, scoring.lexical_backend)
+    return raw.select("request_id", "stage", F.size("logits").alias("n"), F.round(F.aggregate("logits", F.lit(0.0), lambda a, x: a + F.exp(x)), 6).alias("mass"))
+
+
+TAXONOMY = "1. Reset Password | User wants a new password.\n- reset password | again\nno separator\n* Close-Account | Wants to leave  for good.\nother | anything\n | nameless\nblank |  "
+_VALUES = "(VALUES ('d', " + " || chr(10) || ".join("'" + x + "'" for x in TAXONOMY.split("\n")) + ")) AS v(doc, text)"
+
+
+@query(
+    f"""WITH l AS (SELECT doc, unnest(string_split(text, chr(10))) AS line, unnest(range(0, 7)) AS pos FROM {_VALUES}),
+b AS (SELECT doc, pos, regexp_replace(line, '^\\s*(?:[-*•]|\\d+[.)])\\s*', '') AS s FROM l),
+n AS (SELECT doc, pos, trim(regexp_replace(lower(trim(string_split(s, '|')[1])), '[^a-z0-9]+', '_', 'g'), '_') AS intent, rtrim(trim(regexp_replace(substr(s, strpos(s, '|') + 1), '\\s+', ' ', 'g')), '.') AS description FROM b WHERE contains(s, '|'))
+SELECT doc, pos::INT AS pos, intent, description FROM (SELECT *, row_number() OVER (PARTITION BY intent ORDER BY pos) AS r FROM n WHERE intent <> '' AND description <> '' AND intent NOT IN ('other', 'none_of_the_above')) WHERE r = 1"""
+)
+def parse_taxonomy(spark, sf):
+    docs = spark.createDataFrame([("d", TAXONOMY)], "doc string, text string")
+    return synth.taxonomy_lines(docs, "doc").select("doc", "pos", "intent", "description")
+
+
+@query(
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents),
+t AS (SELECT doc_id, pos, trim(regexp_replace(regexp_replace(line, '^\\s*(?:[-*•]|\\d+[.)])\\s*', ''), '\\s+', ' ', 'g')) AS text FROM l),
+g AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS n FROM t WHERE len(string_split(text, ' ')) BETWEEN 2 AND 80) SELECT doc_id, n::INT AS n, sha256(text) AS text FROM g WHERE n < 15"""
+)
+def parse_utterances(spark, sf):
+    return synth.utterance_lines(table(spark, sf, "documents"), ["doc_id"]).select("doc_id", "n", F.sha2("text", 256).alias("text"))
+
+
+def _items(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("row"), F.col("text").alias("sentence1"), F.col("lang").alias("sentence2"), (F.col("doc_id") % 4 - 1).alias("label"), ((F.col("doc_id") % 11) / 10).alias("score"), ((F.col("doc_id") % 101) / 100).alias("toxicity"))
+
+
+@query("SELECT coalesce(CASE WHEN doc_id % 4 - 1 NOT IN (0, 1) THEN 'unlabelled' END, CASE doc_id % 4 - 1 WHEN 1 THEN 'true' ELSE 'false' END) AS outcome, count(*) AS n FROM documents GROUP BY 1")
+def normalise_pairs(spark, sf):
+    mapped = S.normalised("paws", _items(spark, sf))
+    return mapped.groupBy(F.coalesce("skip_reason", "cls").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT floor(round(5 * (doc_id % 11) / 10.0, 4) + 0.5)::INT AS stsb, CASE WHEN (doc_id % 101) / 100.0 <= 0.000001 THEN 0 WHEN (doc_id % 101) / 100.0 <= 0.300001 THEN 1 WHEN (doc_id % 101) / 100.0 <= 0.700001 THEN 2 ELSE 3 END AS civil, count(*) AS n FROM documents GROUP BY ALL")
+def normalise_levels(spark, sf):
+    return _items(spark, sf).groupBy(S.stsb_level(F.col("score")).alias("stsb"), S.civil_level(F.col("toxicity")).alias("civil")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _decision_rows(spark: SparkSession, sf: str) -> DataFrame:
+    family = F.element_at(F.array(*[F.lit(x) for x in ("nli", "choice", "score", "candidate", "other")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    kind = F.when(F.col("doc_id") % 5 == 0, "noul").when(F.col("doc_id") % 5 == 2, "score").otherwise("choice")
+    options = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.struct(F.concat(F.lit("o"), i.cast("string")).alias("name"), F.lit(None).cast("string").alias("descr")))
+    none: Column = F.lit(None).cast("string")
+    question = F.struct(kind.alias("type"), F.lit("x").alias("instructions"), options.alias("options"), none.alias("true_text"), none.alias("false_text"))
+    target = F.when(F.col("doc_id") % 10 == 1, F.array(F.lit(0.5), F.lit(0.25), F.lit(0.25)))
+    return table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), "source", family.alias("family"), F.lit("s").alias("state"), question.alias("question"), (F.col("doc_id") % 4).cast("int").alias("label"), F.when(F.col("doc_id") % 5 == 3, "o1").alias("candidate"), target.alias("target")
+    )
+
+
+@query(
+    """WITH x AS (SELECT doc_id, doc_id % 5 AS f, (doc_id % 4) AS label FROM documents)
+SELECT CASE WHEN f = 4 THEN 'family,type' || CASE WHEN label > 2 THEN ',label' ELSE '' END WHEN f IN (0, 3) THEN CASE WHEN label > 1 THEN 'label' ELSE '' END ELSE CASE WHEN label > 2 THEN 'label' ELSE '' END END AS errors, count(*) AS n FROM x GROUP BY 1"""
+)
+def decision_checks(spark, sf):
+    return R.decision_errors(_decision_rows(spark, sf)).groupBy(F.array_join("errors", ",").alias("errors")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 5 IN (0, 3) THEN 1 - doc_id % 4 ELSE doc_id % 4 END::INT AS letter, CASE WHEN doc_id % 5 IN (0, 3) THEN 2 ELSE 3 END AS n_letters FROM documents")
+def letter_targets(spark, sf):
+    return R.letter_target(_decision_rows(spark, sf)).select("id", "letter", "n_letters")
+
+
+@query()
+def stream_serve(spark, sf):
+    """Requests as a file stream, answered in micro-batches; an invalid one goes to the dead letters."""
+    from ..streaming import serve
+
+    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/verdica-streams").rstrip("/") + f"/{uuid.uuid4().hex}"
+    rows = bodies(spark).withColumn("ts", F.lit("2026-01-01 00:00:00").cast("timestamp"))
+    rows.unionByName(rows.where("request_id = 'ok'")).coalesce(1).write.json(f"{base}/in")
+    serve.serve(serve.request_stream(spark, f"{base}/in"), f"{base}/answers", f"{base}/errors", f"{base}/checkpoint").awaitTermination()
+    good = spark.read.parquet(f"{base}/answers").select("request_id", F.lit("answered").alias("outcome"))
+    return good.unionByName(spark.read.parquet(f"{base}/errors").select("request_id", F.lit("rejected").alias("outcome")))
