@@ -38,6 +38,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have, like ``name``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def scratch(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share: below spark.checkpoint.dir, which the cluster names.
 

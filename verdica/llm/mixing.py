@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import native_words, staged
+from .common import fresh, native_words, staged
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
@@ -146,7 +146,9 @@ def _taken(cut: dict | None) -> Column:
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as the mix takes it, with its own columns."""
-    taken = mixed(docs, key, source, text).where("taken > 0").groupBy(F.col("key").alias("_key"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_n"))
+    k, s, w, n, copy = (fresh(docs, f"_mix_{c}") for c in ("key", "source", "size", "n", "copy"))
+    copies = F.max((F.col("taken") / F.col("size")).cast("int"))
+    taken = mixed(docs, key, source, text).where("taken > 0").groupBy(F.col("key").alias(k), F.col("source").alias(s), F.col("size").alias(w)).agg(copies.alias(n))
     size = F.size(native_words(F.col(text))).cast("long")
-    joined = docs.join(taken, F.col(key).eqNullSafe(F.col("_key")) & F.col(source).eqNullSafe(F.col("_source")) & (size == F.col("_size")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    joined = docs.join(taken, F.col(key).eqNullSafe(F.col(k)) & F.col(source).eqNullSafe(F.col(s)) & (size == F.col(w)))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -200,6 +200,22 @@ def _table(data: bytes, at: int, h: Header, out: Stream) -> bool:
     return False
 
 
+def _followed(data: bytes, at: int, h: Header, end: int) -> bool:
+    """Whether a header of the same kind follows the frame, or the stream ends with it."""
+    after = header(data[at + h.size : at + h.size + 4]) if at + h.size + 4 <= end else None
+    return after.like(h) if after is not None else at + h.size == end
+
+
+def _frames_within(data: bytes, at: int, h: Header, end: int) -> bool:
+    found = data.find(b"\xff", at + 1, at + h.size)
+    while found >= 0:
+        inner = header(data[found : found + 4])
+        if inner is not None and inner.like(h) and found + inner.size <= end and _followed(data, found, inner, end):
+            return True
+        found = data.find(b"\xff", found + 1, at + h.size)
+    return False
+
+
 def read(data: bytes) -> Stream:
     """Frames, tags, tables, checksums and exact duration of a stream."""
     out = Stream()
@@ -210,10 +226,10 @@ def read(data: bytes) -> Stream:
     while at + 4 <= end:
         h = header(data[at : at + 4])
         fits = h is not None and at + h.size <= end
-        if fits and (last is None or lost or not h.like(last)):
-            # a lone pattern is no frame: the next header must be of its kind, or the stream end here
-            after = header(data[at + h.size : at + h.size + 4]) if at + h.size + 4 <= end else None
-            fits = (after is not None and after.like(h)) or at + h.size == end
+        if fits and not _followed(data, at, h, end):
+            # A lone pattern is no frame. In step, a frame whose successor is damaged still counts, unless frames begin inside it.
+            in_step = last is not None and not lost and h.like(last)
+            fits = in_step and not _frames_within(data, at, h, end)
         if not fits:
             found = data.find(b"\xff", at + 1, end)
             out.skipped += (found if found >= 0 else end) - at

@@ -2,7 +2,8 @@
 
 Defined results: a null text counts as an empty one (no words, ``base_failed``); blank lines never count as
 repeated; repeated rows are judged one by one; an empty table gives an empty result; extra input columns pass
-through ``apply_rules`` unless they bear the name of a result column, which replaces them.
+through ``apply_rules`` unless they bear the name of a result column, which replaces them, or of a working column
+(_words, _lines, _hashes); ``kept_documents`` keeps all columns as they are.
 """
 
 from __future__ import annotations

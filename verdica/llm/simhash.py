@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, staged, texts_of
+from .common import fresh, map_rows, staged, texts_of
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -123,9 +123,11 @@ def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     dropped = groups.where(F.col(key) != F.col("component_id")).select(key)
     dropped = dropped.unionByName(groups.where(F.col(key).isNull() & F.col("component_id").isNotNull()).select(key)).distinct()
     repeated = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(key).count().where("count > 1").select(key)
-    kept = docs.join(dropped.withColumnRenamed(key, "_gone"), F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
-    again = repeated.withColumnRenamed(key, "_again")
-    if again.isEmpty():
+    gone, again = fresh(docs, "_gone"), fresh(docs, "_again")
+    kept = docs.join(dropped.withColumnRenamed(key, gone), docs[key].eqNullSafe(F.col(gone)), "left_anti")
+    repeated = repeated.withColumnRenamed(key, again)
+    if repeated.isEmpty():
         return kept
-    once = kept.join(again, F.col(key).eqNullSafe(F.col("_again")), "left_semi").dropDuplicates([key])
-    return kept.join(again, F.col(key).eqNullSafe(F.col("_again")), "left_anti").unionByName(once)
+    same = F.col(key).eqNullSafe(F.col(again))
+    once = kept.join(repeated, same, "left_semi").dropDuplicates([key])
+    return kept.join(repeated, same, "left_anti").unionByName(once)

@@ -16,7 +16,7 @@ number with the words, so a part's size doesn't grow.
 
 Defined results: null and blank texts have no words; documents of under 50 words lose none; a row without id
 is neither smaller nor larger than another and stays whole; rows that repeat an id don't dedup each other; an empty
-table gives an empty result; extra columns pass through.
+table gives an empty result; extra columns pass through, but for one named _dedup, which the result replaces.
 """
 
 from __future__ import annotations
@@ -247,5 +247,5 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             yield pa.RecordBatch.from_arrays(columns, names=result.names)
 
     out = joined.mapInArrow(cut, result)
-    own = [F.col("_text").alias(text) if c == text else F.col("_row")[c].alias(c) for c in docs.columns]
+    own = [F.col("_text").alias(text) if c == text else F.col("_row")[c].alias(c) for c in docs.columns if c != "_dedup"]
     return out.select(*own, F.struct("n_words", "n_removed", "kept_sha256").alias("_dedup"))

@@ -104,7 +104,7 @@ class Automaton(dict):
                 end = self.ends[node]
                 if end and end[1] and not errors and (best is None or len(end[0]) > len(best[0])):
                     best = (end[0], 0)
-        whole = sorted((errors, self.ends[node][0]) for node, errors in states if self.ends[node] and not self.ends[node][1])
+        whole = sorted((errors, self.ends[node][0]) for node, errors in states if self.ends[node] and not self.ends[node][1] and (not errors or len(self.ends[node][0]) >= FUZZY_LENGTH))
         if whole and (best is None or not whole[0][0]):
             errors, term = whole[0]
             return (term, errors) if not errors or word not in self.safe else best
@@ -159,7 +159,8 @@ class Model:
 
 
 def held_out(key: str = "doc_id"):
-    return F.crc32(F.col(key).cast("string")) % 5 == 0
+    """The held-out fold; rows without id are neither held out nor learned from."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(False))
 
 
 def _terms(text: str) -> set[str]:
@@ -186,7 +187,7 @@ def _counted(sample: DataFrame, seen, schema: str) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model of the rows outside the held-out fold, from ``sample_rows`` of them, picked by a digest of their id."""
     bounded_batches(docs.sparkSession)
-    picked = labels.where(~held_out() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    picked = labels.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_rows)
     sample = staged(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic").dropDuplicates(["text"]))
     sizes = Counter({r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()})
