@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,7 +97,6 @@ def unescaped(text: str | None) -> str | None:
 
 def unescape(x: Column) -> Column:
     """No native expression joins surrogate pairs; Arrow batches do."""
-    import pandas as pd
 
     def each(texts: pd.Series) -> pd.Series:
         return texts.map(unescaped)

@@ -70,7 +70,8 @@ def score(questions: DataFrame, backend: Backend, shortlist: int = SHORTLIST, le
     """Raw scores of question rows (request_id, ord, qid, type, instructions, state, options, true_text, false_text, prefix).
 
     Narrow questions are one prompt; wide choices one yes/no prompt an option, then one prompt over the best. Both
-    passes read all their prompts at once.
+    passes read all their prompts at once. Prompts carry ``place``: an option's place, -1 for a whole question, -2 for a
+    shortlist.
     """
     if shortlist < 2:
         raise ValueError("shortlist must be 2 or more")
@@ -89,7 +90,7 @@ def score(questions: DataFrame, backend: Backend, shortlist: int = SHORTLIST, le
     )
     lp = ranked.withColumn("lp1", P.log_softmax(F.col("margins"))).withColumn("kept", P.shortlist(F.col("lp1"), min(shortlist, letters)))
     short = questions.where(wide).join(lp, keys).withColumn("options", F.transform("kept", lambda j: F.get(F.col("options"), j)))
-    second = run_backend(prompts.with_prompt(short), backend, keys).select(*keys, F.col("logits").alias("l2"), F.col("prompt_tokens").alias("tokens2"), F.col("truncated").alias("cut2"))
+    second = run_backend(prompts.with_prompt(short.withColumn("place", F.lit(-2))), backend, [*keys, "place"]).select(*keys, F.col("logits").alias("l2"), F.col("prompt_tokens").alias("tokens2"), F.col("truncated").alias("cut2"))
     merged = lp.join(second, keys).select(
         *keys,
         P.merge_shortlist(F.col("lp1"), F.col("kept"), P.log_softmax(F.col("l2"))).alias("logits"),
