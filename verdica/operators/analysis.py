@@ -13,7 +13,7 @@ from .metrics import auroc
 def mcnemar(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Discordant counts of two hit columns, and the exact two-sided binomial probability."""
     counts = rows.agg(F.count_if((F.col(a) == 1) & (F.col(b) == 0)).alias("only_a"), F.count_if((F.col(a) == 0) & (F.col(b) == 1)).alias("only_b"))
-    p = F.udf(exact_binomial, "double")  # one row
+    p = F.udf(lambda x, y: exact_binomial(x, y), "double")  # one row
     return counts.withColumn("p_value", p("only_a", "only_b"))
 
 

@@ -123,7 +123,9 @@ def scaled_quota(spark, sf):
 
 @query(
     f"""WITH {_LABELLED}, o AS (SELECT doc_id, quality, key, row_number() OVER (ORDER BY {H.order_sql("'s'", 'doc_id')}, doc_id) - 1 AS position, count(*) OVER () AS n FROM l),
-t AS (SELECT * FROM o WHERE position < 60), c AS (SELECT * FROM o WHERE position >= 60 AND position < n - 8 AND key NOT IN (SELECT key FROM t) ORDER BY position LIMIT 40)
+g AS (SELECT CASE WHEN n >= 108 THEN 60 ELSE floor(60 * n / 108) END AS tests, CASE WHEN n >= 108 THEN 40 ELSE floor(40 * n / 108) END AS calibs, CASE WHEN n >= 108 THEN 8 ELSE floor(8 * n / 108) END AS shots FROM (SELECT count(*) AS n FROM l)),
+t AS (SELECT o.* FROM o, g WHERE position < tests), x AS (SELECT o.*, calibs, row_number() OVER (ORDER BY position) AS r FROM o, g WHERE position >= tests AND position < n - shots AND key NOT IN (SELECT key FROM t)),
+c AS (SELECT * FROM x WHERE r <= calibs)
 SELECT doc_id, 'test' AS role FROM t UNION ALL SELECT doc_id, 'calib' FROM c"""
 )
 def sample_roles(spark, sf):
@@ -138,7 +140,7 @@ SELECT doc_id, quality FROM turns ORDER BY depth, first LIMIT 12"""
 )
 def balanced_shots(spark, sf):
     rows = labelled(spark, sf).select("doc_id", "quality")
-    ranked = rows.withColumn("position", F.row_number().over(Window.orderBy(H.order_key("b", F.col("doc_id")), "doc_id")))
+    ranked = sampling.digest_positions(rows, H.order_key("b", F.col("doc_id")), "doc_id")
     return sampling.round_robin(ranked, 12, "quality").select("doc_id", "quality")
 
 
@@ -160,8 +162,8 @@ def positive_rate_draw(spark, sf):
 
 @query(f"WITH o AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY {H.order_sql(chr(39) + 'u' + chr(39), 'conv_id', 'turn')}, turn) AS r FROM conversations) SELECT conv_id, turn, role FROM o WHERE r = 1")
 def one_turn_per_dialogue(spark, sf):
-    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(H.order_key("u", F.col("conv_id"), F.col("turn")), "turn"))
-    return table(spark, sf, "conversations").withColumn("r", rank).where("r = 1").select("conv_id", "turn", "role")
+    best = F.min_by(F.struct("turn", "role"), F.struct(H.order_key("u", F.col("conv_id"), F.col("turn")), "turn"))
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(best.alias("t")).select("conv_id", "t.turn", "t.role")
 
 
 @query("SELECT (turn % 3)::BIGINT AS act, count(*) AS n, round(avg((regexp_matches(text, '\\.\\s*$'))::INT), 6) AS question_share FROM conversations GROUP BY 1")
@@ -333,7 +335,7 @@ def pack_batches(spark, sf):
 
 @query("WITH o AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) AS r FROM documents) SELECT doc_id, n_chars FROM o WHERE (r - 1) % 37 = 0")
 def systematic_sample(spark, sf):
-    return sampling.every_kth(table(spark, sf, "documents").select("doc_id", "n_chars"), 37, F.col("doc_id"))
+    return sampling.every_kth(table(spark, sf, "documents").select("doc_id", "n_chars"), 37, "doc_id")
 
 
 _FAMILY = "CASE WHEN doc_id % 3 = 0 THEN 'choice' WHEN doc_id % 3 = 1 THEN 'nli' ELSE 'ovr' END"
