@@ -157,7 +157,7 @@ class Vocabulary:
 
 
 _OPEN: dict[str, Vocabulary] = {}
-HELD[__name__] = _OPEN.clear
+HELD[__name__] = _OPEN
 
 
 def vocabulary(path: str) -> Vocabulary:

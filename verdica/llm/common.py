@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -71,15 +74,19 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
-#: What operators remember in a worker between tasks, by module, and how to let go of it.
-HELD: dict[str, Callable[[], None]] = {}
+#: What operators remember in a worker between tasks, by module.
+HELD: dict[str, dict] = {}
 
 
 def alone(owner: str) -> None:
     """Lets go of what other operators remember: a worker that outlives a stage serves the next with its memory free."""
-    for name, release in HELD.items():
-        if name != owner:
-            release()
+    others = [held for name, held in HELD.items() if name != owner and held]
+    for held in others:
+        held.clear()
+    if others:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries give memory back by themselves
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def map_rows(df: DataFrame, columns: Iterable[str], rows: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:

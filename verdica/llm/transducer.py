@@ -151,7 +151,7 @@ class ChunkMaps(dict):
 
 
 _OPEN: dict[str, Transducer] = {}
-HELD[__name__] = _OPEN.clear
+HELD[__name__] = _OPEN
 
 
 def transducer(path: str) -> Transducer:
