@@ -230,3 +230,92 @@ def stream_serve(spark, sf):
     serve.serve(serve.request_stream(spark, f"{base}/in"), f"{base}/answers", f"{base}/errors", f"{base}/checkpoint").awaitTermination()
     good = spark.read.parquet(f"{base}/answers").select("request_id", F.lit("answered").alias("outcome"))
     return good.unionByName(spark.read.parquet(f"{base}/errors").select("request_id", F.lit("rejected").alias("outcome")))
+
+
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations as labelled pairs: 25 rows with an entailment class."""
+    cls = F.element_at(F.array(*[F.lit(x) for x in S.NLI]), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    return table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.concat(F.lit("A town in "), "n_name").alias("premise"), F.concat(F.lit("The town is in "), "n_name", F.when(F.col("n_nationkey") % 5 == 0, "?").otherwise(".")).alias("hypothesis"), cls.alias("cls"))
+
+
+@query(
+    f"""WITH x AS (SELECT n_nationkey AS id, 'The town is in ' || n_name || CASE WHEN n_nationkey % 5 = 0 THEN '?' ELSE '.' END AS h, 'the town is in ' || n_name AS c, n_nationkey % 3 = 0 AS y,
+{_U("'n'", 'n_nationkey', "'form'")} AS f, {_U("'n'", 'n_nationkey', "'framed'")} AS g, {_U("'n'", 'n_nationkey', "'frame'")} AS a, {_U("'n'", 'n_nationkey', "'ask'")} AS b FROM nation)
+SELECT id, CASE WHEN h LIKE '%?' THEN NULL WHEN f < 0.55 AND g < 0.2 THEN replace(['From the text it follows that {{}}.', 'A reader of the text can be sure that {{}}.'][floor(a * 2)::INT + 1], '{{}}', c) WHEN f < 0.55 THEN h
+ELSE replace(['Does it follow from the text that {{}}?', 'Given the text, is it certain that {{}}?'][floor(b * 2)::INT + 1], '{{}}', c) END AS instructions, y::INT AS label FROM x"""
+)
+def phrase_nli(spark, sf):
+    from ..curate import phrasing
+
+    return phrasing.nli_rows(_pairs(spark, sf), "n").select("id", "instructions", "label")
+
+
+@query()
+def phrase_reading(spark, sf):
+    from ..curate import phrasing
+
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.left("text", F.lit(120)).alias("passage"), F.concat(F.lit("Is it "), "lang", F.lit("?")).alias("question"), (F.col("lang") == "en").cast("string").alias("cls"))
+    a = phrasing.reading_rows(rows, "r").select("id", F.lit("reading").alias("kind"), "instructions", "label")
+    b = phrasing.abstract_rows(rows, "r").select("id", F.lit("abstract").alias("kind"), "instructions", "label")
+    c = phrasing.judgement_rows(rows.withColumn("text", F.col("passage")), "tweet_irony", "r").select("id", F.lit("judgement").alias("kind"), "instructions", "label")
+    return a.unionByName(b).unionByName(c)
+
+
+@query("WITH o AS (SELECT list(n_name) AS names FROM nation) SELECT n_nationkey AS id, n_name AS gold, 10 AS n, true AS held FROM nation")
+def transfer_options(spark, sf):
+    from ..curate import phrasing
+
+    labels = table(spark, sf, "nation").agg(F.array_sort(F.collect_list("n_name")).alias("labels"))
+    rows = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("cls"), F.col("n_name").alias("text")).crossJoin(F.broadcast(labels))
+    out = phrasing.transfer_rows(rows, "hwu64", F.col("labels"))
+    return out.select("id", F.col("cls").alias("gold"), F.size(F.array_distinct("options")).alias("n"), (F.get("options", "label") == F.col("cls")).alias("held"))
+
+
+@query("SELECT doc_id AS id FROM documents WHERE doc_id % 13 = 0 OR (doc_id % 13 <> 0 AND lang <> 'en' AND doc_id % 7 = 0)")
+def pair_check(spark, sf):
+    """Two views of documents: every 13th text differs, some scenarios don't fit."""
+    from ..curate import verify
+
+    docs = table(spark, sf, "documents").withColumnRenamed("doc_id", "id")
+    a = docs.select("id", F.col("lang").alias("text"), F.when((F.col("lang") != "en") & (F.col("id") % 7 == 0), "other_x").otherwise("lang_x").alias("label_text"))
+    b = docs.select("id", F.when(F.col("id") % 13 == 0, "changed").otherwise(F.col("lang")).alias("text"), F.lit("lang").alias("label_text"))
+    return verify.pair_violations(a, b)
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (WHERE vec_id % 10 = 0) AS labels_differ, round(max(abs(embedding[1]::DOUBLE - embedding[1]::DOUBLE * 1.5)), 6) AS max_logit_diff FROM embeddings")
+def same_as_bench(spark, sf):
+    from ..curate import verify
+
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.array(F.get("embedding", F.lit(0)).cast("double")).alias("logits"))
+    other = rows.select("id", F.when(F.col("id") % 10 == 0, F.col("label") + 1).otherwise(F.col("label")).alias("label"), F.transform("logits", lambda x: x * 1.5).alias("logits"))
+    return verify.same_as_bench(rows, other).withColumn("max_logit_diff", F.round("max_logit_diff", 6))
+
+
+@query("SELECT count(*) FILTER (WHERE vec_id % 4 = 0 OR vec_id % 5 = 0) AS mismatches FROM embeddings")
+def identical_rows(spark, sf):
+    from ..curate import verify
+
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    other = rows.where("id % 4 <> 0").withColumn("label", F.when(F.col("id") % 5 == 0, F.col("label") + 1).otherwise(F.col("label")))
+    return verify.row_mismatches(rows, other)
+
+
+@query("SELECT * FROM (VALUES (true, 4::BIGINT, true, 1::BIGINT, 1::BIGINT, false)) AS v(mean_nll_lower, improved, enough_improved, worse_nll, worse_accuracy, overfit)")
+def adoption_rules(spark, sf):
+    from ..curate import verify
+
+    tasks = [(0.9, 0.5, -0.3, 0.02, 0.0), (0.8, 0.6, 0.01, 0.05, 0.06), (0.7, 0.6, -0.01, 0.0, 0.07), (0.6, 0.7, 0.2, -0.06, 0.0), (0.9, 0.9, 0.1, 0.0, 0.0), (0.9, 0.8, -0.02, 0.0, 0.0)]
+    return verify.improvement_rules(spark.createDataFrame(tasks, "base_nll double, arm_nll double, nll_high double, acc_diff double, ece_diff double"))
+
+
+@query()
+def nli_service(spark, sf):
+    """Entailment logits through the chunking connector with a stand-in service."""
+    from ..sources import nli
+
+    rows = table(spark, sf, "documents").select("doc_id", F.left("text", F.lit(500)).alias("text"))
+    return nli.classified(rows, _lengths, ["doc_id"]).select("doc_id", F.get("logits", F.lit(0)).alias("entail"))
+
+
+def _lengths(texts: list[str]) -> list[list[float]]:
+    return [[float(len(t) % 7), 0.0, 1.0] for t in texts]
