@@ -175,18 +175,18 @@ def test_bpe_pieces_like_the_library(encoding):
     texts = ["".join(rng.choice("abcdeéü 中1'.\n<|endoftext|>😀\x00") for _ in range(rng.randint(0, 60))) for _ in range(500)]
     texts += ["a" * 3000, "ab" * 900, "aab" * 400, " " * 900, "=" * 700, "".join(rng.choice("etaoin") for _ in range(900)), "don't we'll <|endoftext|>"]
     pieces = [cut.findall(t) for t in texts]
-    known = own.lookup(pieces)
-    for text, parts in zip(texts, pieces, strict=True):
-        assert b" ".join(known[p][1] for p in parts).decode() == " ".join(map(str, encoding.encode_ordinary(text)))
-        assert b"".join(known[p][2] for p in parts) == text.encode()
+    for text, n, ids, decoded in zip(texts, *own.of_texts(pieces), strict=True):
+        assert ids.decode() == " ".join(map(str, encoding.encode_ordinary(text))) and n == len(ids.split())
+        assert decoded == text.encode()
 
 
 def test_bpe_forgets_and_goes_on(monkeypatch):
     own = bpe.Vocabulary(bpe.read_ranks(RANKS))
     monkeypatch.setattr(bpe, "REMEMBERED", 3)
-    first = dict(own.lookup([["one", "two", "three", "four", "five"]]))
-    again = own.lookup([["five", "six"]])
-    assert again["five"] == first["five"] and "six" in again and "one" not in again
+    first = own.of_texts([["one", "two", "three", "four", "five"], ["five"]])
+    again = own.of_texts([["five", "six"], []])
+    assert again[1][0].startswith(first[1][1] + b" ") and again[2] == [b"fivesix", b""] and again[0][1] == 0
+    assert "six" in own.places and "one" not in own.places and len(own.known) == len(own.places)
 
 
 def test_bpe_query(spark, odd, none, texts, encoding):

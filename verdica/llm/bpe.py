@@ -17,16 +17,18 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable, Iterable
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import HELD, map_rows
 
 LONG = 256
 #: Pieces in one recursive query, and pieces remembered between batches.
-QUERY_BYTES = 800_000
+QUERY_BYTES = 400_000
 REMEMBERED = 500_000
 
 _NEIGHBOURS = """
@@ -117,25 +119,28 @@ class Vocabulary:
         for token, rank in ranks.items():
             if len(token) == 1:
                 self.single[token[0]] = rank
-        self.known: dict[str, tuple[int, bytes, bytes]] = {}
+        # what is known: a piece's place in columns of token counts, ids as text, and decoded bytes
+        self.places: dict[str, int] = {}
+        self.known = pa.table({"n": pa.array([], pa.int64()), "ids": pa.array([], pa.binary()), "decoded": pa.array([], pa.binary())})
 
-    def _encode(self, pieces: list[bytes], query: str) -> list[tuple[int, bytes, bytes]]:
+    def _encode(self, pieces: list[bytes], query: str) -> pa.Table:
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         data = np.frombuffer(b"".join(pieces), np.uint8)
         start = np.repeat(np.cumsum(lengths) - lengths, lengths)
         rows = {"piece": np.repeat(np.arange(len(pieces), dtype=np.int32), lengths), "place": (np.arange(len(data)) - start).astype(np.int32), "token": self.single[data]}
         self.db.register("bytes_of", pa.table(rows))
         self.db.register("encoded", self.db.sql(query).to_arrow_table())
-        out = self.db.sql(_COLLECT).to_arrow_table()
+        out = self.db.sql(_COLLECT).to_arrow_table().cast(self.known.schema)
         self.db.unregister("encoded")
         self.db.unregister("bytes_of")
-        return list(zip(*(c.to_pylist() for c in out.columns), strict=True))
+        return out
 
-    def encode(self, pieces: Iterable[str]) -> None:
-        """Makes sure that all pieces are known."""
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Encodes pieces and appends them to what is known."""
         short, long = [], []
         for p in pieces:
             (short if len(b := p.encode()) <= LONG else long).append((p, b))
+        found = [self.known]
         for group, query in ((short, _ENCODE), (long, _ENCODE_LONG)):
             at = 0
             while at < len(group):
@@ -143,17 +148,34 @@ class Vocabulary:
                 while end < len(group) and (end == at or size + len(group[end][1]) <= QUERY_BYTES):
                     size += len(group[end][1])
                     end += 1
-                for (p, _), got in zip(group[at:end], self._encode([b for _, b in group[at:end]], query), strict=True):
-                    self.known[p] = got
+                found.append(self._encode([b for _, b in group[at:end]], query))
+                for p, _ in group[at:end]:
+                    self.places[p] = len(self.places)
                 at = end
+        if len(found) > 1:
+            self.known = pa.concat_tables(found).combine_chunks()
 
-    def lookup(self, texts: list[list[str]]) -> dict[str, tuple[int, bytes, bytes]]:
-        """What is known of the pieces of these texts; new ones are encoded first."""
+    def lookup(self, texts: list[list[str]]) -> np.ndarray:
+        """Places of all pieces of all texts in a row; new pieces are learned first."""
         wanted = set().union(*texts) if texts else set()
-        if len(self.known) > REMEMBERED:
-            self.known = {p: self.known[p] for p in wanted & self.known.keys()}
-        self.encode(wanted - self.known.keys())
-        return self.known
+        if len(self.places) > REMEMBERED:
+            kept = [p for p in wanted if p in self.places]
+            self.known = self.known.take(pa.array([self.places[p] for p in kept], pa.int64())).combine_chunks()
+            self.places = {p: i for i, p in enumerate(kept)}
+        self.learn(wanted - self.places.keys())
+        return np.fromiter(map(self.places.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
+
+    def of_texts(self, texts: list[list[str]]) -> tuple[list[int], list[bytes], list[bytes]]:
+        """Each text's token count, ids joined by a space, and decoded bytes."""
+        at = self.lookup(texts)
+        offsets = np.cumsum([0, *map(len, texts)])
+        totals = np.concatenate(([0], np.cumsum(self.known["n"].to_numpy()[at])))
+
+        def joined(column: str, between: bytes) -> list[bytes]:
+            values = self.known[column].combine_chunks().take(pa.array(at))
+            return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values), between).to_pylist()
+
+        return np.diff(totals[offsets]).tolist(), joined("ids", b" "), joined("decoded", b"")
 
 
 _OPEN: dict[str, Vocabulary] = {}
@@ -167,16 +189,15 @@ def vocabulary(path: str) -> Vocabulary:
     return _OPEN[path]
 
 
-def _over_pieces(docs: DataFrame, path: str, pattern: str, key: str, text: str, names: list[str], schema: str, shaped: Callable) -> DataFrame:
+def _over_pieces(docs: DataFrame, path: str, pattern: str, key: str, text: str, schema: str, shaped: Callable) -> DataFrame:
+    names = [f.split()[0] for f in schema.split(", ")]
+
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         import regex
 
         cut = regex.compile(pattern)
-        texts = [cut.findall(t.as_py() or "") for t in batch.column(1)]
-        known = vocabulary(path).lookup(texts)
-        done = [shaped([known[p] for p in pieces]) for pieces in texts]
-        columns = [pa.array([d[k] for d in done]) if done else pa.array([]) for k in range(len(names))]
-        return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, *names])
+        counts, ids, decoded = vocabulary(path).of_texts([cut.findall(t.as_py() or "") for t in batch.column(1)])
+        return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, shaped(counts, ids, decoded))], names=[key, *names])
 
     kind = docs.schema[key].dataType.simpleString()
     return map_rows(docs, [key, text], rows, f"{key} {kind}, {schema}")
@@ -185,17 +206,16 @@ def _over_pieces(docs: DataFrame, path: str, pattern: str, key: str, text: str,
 def encoded(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ``ids`` (array of token ids) and ``decoded`` (their bytes)."""
 
-    def shaped(parts):
-        ids = b" ".join(p[1] for p in parts)
-        return [int(x) for x in ids.split()], b"".join(p[2] for p in parts)
+    def shaped(counts, ids, decoded):
+        return pa.array([[int(x) for x in i.split()] for i in ids], pa.list_(pa.int64())), decoded
 
-    return _over_pieces(docs, path, pattern, key, text, ["ids", "decoded"], "ids array<long>, decoded binary", shaped)
+    return _over_pieces(docs, path, pattern, key, text, "ids array<long>, decoded binary", shaped)
 
 
 def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ``n_tokens``, and digests of the ids (decimal, joined by a space) and of the decoded bytes; ids stay in the worker."""
 
-    def shaped(parts):
-        return sum(p[0] for p in parts), sha256(b" ".join(p[1] for p in parts)).hexdigest(), sha256(b"".join(p[2] for p in parts)).hexdigest()
+    def shaped(counts, ids, decoded):
+        return counts, [sha256(i).hexdigest() for i in ids], [sha256(d).hexdigest() for d in decoded]
 
-    return _over_pieces(docs, path, pattern, key, text, ["n_tokens", "ids_sha256", "decoded_sha256"], "n_tokens long, ids_sha256 string, decoded_sha256 string", shaped)
+    return _over_pieces(docs, path, pattern, key, text, "n_tokens long, ids_sha256 string, decoded_sha256 string", shaped)
