@@ -322,14 +322,14 @@ def chunk_steps(spark, sf):
 
 
 @query(
-    """WITH RECURSIVE o AS (SELECT doc_id, lang, n_chars::BIGINT AS n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS r FROM documents WHERE n_chars <= 20000),
+    """WITH RECURSIVE o AS (SELECT doc_id, lang, n_chars::BIGINT AS n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS r FROM documents),
 f(lang, r, doc_id, n_chars, batch, n, w) AS (SELECT lang, r, doc_id, n_chars, 0, 1, n_chars FROM o WHERE r = 1
 UNION ALL SELECT o.lang, o.r, o.doc_id, o.n_chars, CASE WHEN (f.n + 1) * greatest(f.w, o.n_chars) > 20000 THEN f.batch + 1 ELSE f.batch END, CASE WHEN (f.n + 1) * greatest(f.w, o.n_chars) > 20000 THEN 1 ELSE f.n + 1 END,
 CASE WHEN (f.n + 1) * greatest(f.w, o.n_chars) > 20000 THEN o.n_chars ELSE greatest(f.w, o.n_chars) END FROM f JOIN o ON o.lang = f.lang AND o.r = f.r + 1)
 SELECT lang, doc_id, n_chars, batch FROM f"""
 )
 def pack_batches(spark, sf):
-    rows = table(spark, sf, "documents").where("n_chars <= 20000").select("doc_id", "lang", "n_chars")
+    rows = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
     return sampling.packed(rows, ["lang"], "n_chars", "doc_id", 20000)
 
 

@@ -20,13 +20,13 @@ from .catalog import query, table
 REGION_SQL = "o AS (SELECT list(r_name ORDER BY r_regionkey) AS names FROM region)"
 LINES = "array_to_string(list_transform(range(1, len(names) + 1), lambda i: chr((64 + i)::INT) || '. ' || names[i]), chr(10))"
 COLLAPSED = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
-STATE = "trim(left(text, 200), ' ' || chr(9) || chr(10) || chr(13))"
+STATE = "trim(text, ' ' || chr(9) || chr(10) || chr(13))"
 
 
 def questions(spark: SparkSession, sf: str, kind: str, instructions: str) -> DataFrame:
     """A question about each document, with the regions as options."""
     regions = table(spark, sf, "region").agg(F.transform(F.array_sort(F.collect_list(F.struct("r_regionkey", "r_name"))), lambda s: F.struct(s["r_name"].alias("name"), F.lit(None).cast("string").alias("descr"))).alias("options"))
-    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("request_id"), F.lit(0).alias("ord"), F.lit("q").alias("qid"), F.left("text", F.lit(200)).alias("state"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("request_id"), F.lit(0).alias("ord"), F.lit("q").alias("qid"), F.col("text").alias("state"))
     return docs.crossJoin(F.broadcast(regions)).withColumns({"type": F.lit(kind), "instructions": F.lit(instructions), "true_text": F.lit(None).cast("string"), "false_text": F.lit("it does not"), "model": F.lit("m")})
 
 
@@ -254,7 +254,7 @@ def phrase_nli(spark, sf):
 def phrase_reading(spark, sf):
     from ..curate import phrasing
 
-    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.left("text", F.lit(120)).alias("passage"), F.concat(F.lit("Is it "), "lang", F.lit("?")).alias("question"), (F.col("lang") == "en").cast("string").alias("cls"))
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("passage"), F.concat(F.lit("Is it "), "lang", F.lit("?")).alias("question"), (F.col("lang") == "en").cast("string").alias("cls"))
     a = phrasing.reading_rows(rows, "r").select("id", F.lit("reading").alias("kind"), "instructions", "label")
     b = phrasing.abstract_rows(rows, "r").select("id", F.lit("abstract").alias("kind"), "instructions", "label")
     c = phrasing.judgement_rows(rows.withColumn("text", F.col("passage")), "tweet_irony", "r").select("id", F.lit("judgement").alias("kind"), "instructions", "label")
@@ -313,7 +313,7 @@ def nli_service(spark, sf):
     """Entailment logits through the chunking connector with a stand-in service."""
     from ..sources import nli
 
-    rows = table(spark, sf, "documents").select("doc_id", F.left("text", F.lit(500)).alias("text"))
+    rows = table(spark, sf, "documents").select("doc_id", "text")
     return nli.classified(rows, _lengths, ["doc_id"]).select("doc_id", F.get("logits", F.lit(0)).alias("entail"))
 
 
