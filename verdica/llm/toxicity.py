@@ -30,8 +30,9 @@ from .common import bounded_batches, map_rows, staged
 SAMPLE_ROWS = 8000
 MAX_TERMS = 500
 STEMS = range(4, 9)
-#: A term is kept if chance would give its toxic count with a probability under this, over all terms seen.
+#: A term is kept if chance would give it the toxic documents it adds with a probability under this, over all terms seen.
 CHANCE = 0.05
+LEAST_DOCUMENTS = 3
 PRECISION = 0.8
 FUZZY_LENGTH = 5
 FUZZY_SHARE = 0.5
@@ -198,12 +199,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     schema = "term string, a long, b long"
     counts = staged(_counted(sample, _terms, schema))
     many = counts.count()
-    # the chance that all a + b documents with a term split so by luck is below base ** a
-    base = n_toxic / (n_toxic + n_clean)
-    least = max(3, math.ceil(math.log(CHANCE / max(many, 1)) / math.log(base)))
-    good = counts.where((F.col("a") >= least) & (F.col("a") >= PRECISION * (F.col("a") + F.col("b"))))
+    good = counts.where((F.col("a") >= LEAST_DOCUMENTS) & (F.col("a") >= PRECISION * (F.col("a") + F.col("b"))))
     rows = good.orderBy(F.desc("a"), "b", F.length("term"), "term").limit(20 * MAX_TERMS).collect()
-    chosen = _chosen({r["term"]: (r["a"], r["b"]) for r in rows}, sample, least)
+    chosen = _chosen({r["term"]: (r["a"], r["b"]) for r in rows}, sample, n_clean, many)
     odds = lambda a, b: math.log((a + 0.5) / (n_toxic + 1)) - math.log((b + 0.5) / (n_clean + 1))
     weights = {t[1:]: (odds(a, b), 2 if t[0] == "2" else 1) for t, a, b in chosen}
     begins = {t[1:]: t[0] != "=" for t, _, _ in chosen}
@@ -225,8 +223,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return Model(math.log(n_toxic / n_clean), weights, begins, safe)
 
 
-def _chosen(counts: dict[str, tuple[int, int]], sample: DataFrame, least: int) -> list[tuple[str, int, int]]:
-    """Covers the toxic documents greedily: each term adds ``least`` documents that no term before it has.
+def least_gain(left: int, n_clean: int, many: int) -> int:
+    """Documents that a term must add: chance puts k documents all among the ``left`` toxic ones with (left / all) ** k."""
+    return max(LEAST_DOCUMENTS, math.ceil(math.log(CHANCE / max(many, 1)) / math.log(left / (left + n_clean))))
+
+
+def _chosen(counts: dict[str, tuple[int, int]], sample: DataFrame, n_clean: int, many: int) -> list[tuple[str, int, int]]:
+    """Covers the toxic documents greedily: each term adds more of those left than chance explains.
 
     Words that only come with a group of near copies thus add nothing once the copies' telling term is in.
     Clean documents count threefold against a term; of equals the longest is the most telling.
@@ -245,13 +248,16 @@ def _chosen(counts: dict[str, tuple[int, int]], sample: DataFrame, least: int) -
         for t in found:
             holders[t].add(n)
     chosen: list[tuple[str, int, int]] = []
-    while len(chosen) < MAX_TERMS:
+    left = len(docs)
+    while left and len(chosen) < MAX_TERMS:
+        least = least_gain(left, n_clean, many)
         gains = [(len(h) - 3 * counts[t][1], len(t), t) for t, h in holders.items() if len(h) >= least]
         if not gains or max(gains)[0] <= 0:
             break
         best = max(gains)[2]
         chosen.append((best, *counts[best]))
         new = holders.pop(best).copy()
+        left -= len(new)
         for h in holders.values():
             h -= new
     return chosen
