@@ -152,6 +152,7 @@ def _anchors(batch: pa.RecordBatch, n_parts: int) -> pa.RecordBatch | None:
 
 
 def _candidates(batch: pa.RecordBatch, n_parts: int) -> pa.RecordBatch | None:
+    batch = batch.filter(batch.column("_places").is_valid())
     docs, tags = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("_doc", "_tag"))
     h, offsets = word_hashes(list(texts_of(batch.column("_text"))))
     wanted = np.zeros(len(h) + 1, np.int64)
@@ -200,7 +201,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     able = F.col("_doc").isNotNull() & (F.octet_length("_text") >= 2 * WINDOW - 1)
     hits = _mapped(keyed.where(able).select("_doc", "_tag", "_text"), _anchors, n_parts, 4, _anchor_hit)
     hits = staged(hits).groupBy("doc", "tag").agg(F.collect_list("places").alias("_places"))
-    met = keyed.join(hits.hint("shuffle_hash"), (F.col("_doc") == F.col("doc")) & (F.col("_tag") == F.col("tag")))
+    # The same left join as the last one: its exchange of the texts is then used twice. Rows without hits end in the worker.
+    met = keyed.join(hits.hint("shuffle_hash"), (F.col("_doc") == F.col("doc")) & (F.col("_tag") == F.col("tag")), "left")
     found = _mapped(met.select("_doc", "_tag", "_text", "_row", "_places"), _candidates, n_parts, 8, _later_hit)
     return keyed, found.groupBy("doc", "tag").agg(F.collect_list("places").alias("_places"))
 
