@@ -18,7 +18,7 @@ NOT_BLANK = r"[^\x20\x09-\x0D]"
 
 #: Rows and bytes of one Arrow batch; long texts meet the second bound first.
 BATCH_ROWS = 2000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
