@@ -73,7 +73,8 @@ def select_rows(items: DataFrame, quotas: DataFrame, seed: str, group: list[str]
 def select_greedy(items: DataFrame, quotas: dict[str, int], seed: str, group: str) -> DataFrame:
     """Sequential form, exact: rows in seeded order; one is taken if its key is free and its class has room.
 
-    One Arrow group a source; sources are streamed in sorted order with a set of taken keys, which the quotas bound.
+    A source's ids, classes and key digests (no texts) come as one Arrow group: the greedy order has no parallel form
+    there. Sources too large for a worker take ``select_rows`` or, for keys alone, ``guards.independent_rows``.
     """
     schema = items.select("id", "cls", "key", group).schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ") + ", taken boolean"
 
