@@ -85,8 +85,14 @@ def alone(owner: str) -> None:
         held.clear()
     if others:
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # other C libraries give memory back by themselves
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: executors are held to what their workers keep, used or not."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries give memory back by themselves
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def map_rows(df: DataFrame, columns: Iterable[str], rows: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alone, bounded_batches, staged, texts_of
+from .common import alone, bounded_batches, staged, texts_of, trim
 from .hashing import mixed, planes, rolling, unplaned, word_bounds, word_hashes
 
 WINDOW = 50
@@ -206,8 +206,10 @@ def _mapped(df: DataFrame, rows: Callable[[pa.RecordBatch, int], pa.RecordBatch
         for batch in batches:
             if batch.num_rows and (out := rows(batch, n_parts)) is not None:
                 yield out
+        trim()
 
     def settle(table: pa.Table) -> pa.Table:
+        trim()
         return _reduced(table, key_bytes, hit)
 
     return df.mapInArrow(send, _SENT).groupBy("part").applyInArrow(settle, _FOUND)
