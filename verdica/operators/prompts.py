@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapse, named, strip
 
+# The layout of prompts and hypotheses that scores depend on.
+QUESTION, STATEMENT, PROPOSED = "Question: ", "Statement: ", "Proposed answer: "
+IS_TRUE, IS_CORRECT = "Question: Is the statement true?", "Question: Is the proposed answer correct?"
+YES_TO, YES_END = 'The answer to the question "', '" is yes.'
+REGARDING, ANSWER_IS, LEVEL_IS = 'Regarding "', '", the correct answer is "', '", the best description is: '
 CUE = "\nAnswer:"
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 REPLY_RULE = "\nGive only the letter of your answer."
@@ -22,15 +27,15 @@ def letter(i: Column) -> Column:
 def question_lines(kind: Column, instructions: Column, options: Column, true_text: Column, false_text: Column) -> tuple[Column, Column]:
     """(header lines joined, option texts)."""
     ins = strip(F.coalesce(instructions, F.lit("")))
-    plain = F.concat(F.lit("Question: "), ins)
-    header = F.when((kind == "noul") & ~ins.endswith("?"), F.concat(F.lit("Statement: "), ins, F.lit("\nQuestion: Is the statement true?"))).otherwise(plain)
+    plain = F.concat(F.lit(QUESTION), ins)
+    header = F.when((kind == "noul") & ~ins.endswith("?"), F.concat(F.lit(STATEMENT), ins, F.lit(f"\n{IS_TRUE}"))).otherwise(plain)
     yes_no = F.array(named(F.lit("Yes"), true_text), named(F.lit("No"), false_text))
     texts = F.when(kind == "noul", yes_no).when(kind == "score", F.transform(options, lambda o: collapse(o["name"]))).otherwise(F.transform(options, lambda o: named(o["name"], o["descr"])))
     return header, texts
 
 
 def candidate_lines(instructions: Column, name: Column, descr: Column) -> tuple[Column, Column]:
-    header = F.concat(F.lit("Question: "), strip(F.coalesce(instructions, F.lit(""))), F.lit("\nProposed answer: "), named(name, descr), F.lit("\nQuestion: Is the proposed answer correct?"))
+    header = F.concat(F.lit(QUESTION), strip(F.coalesce(instructions, F.lit(""))), F.lit(f"\n{PROPOSED}"), named(name, descr), F.lit(f"\n{IS_CORRECT}"))
     return header, F.array(F.lit("Yes"), F.lit("No"))
 
 
@@ -86,10 +91,10 @@ def as_candidate(options: Column, answer: Column, j: Column | int) -> tuple[Colu
 def hypotheses(kind: Column, instructions: Column, options: Column, true_text: Column) -> Column:
     """Statements for an entailment model: one for yes/no, else one an option."""
     ins = collapse(instructions)
-    yes = F.when(ins.endswith("?"), F.concat(F.lit('The answer to the question "'), ins, F.lit('" is yes.'))).when(ins.rlike("[.!]$"), ins).otherwise(F.concat(ins, F.lit(".")))
+    yes = F.when(ins.endswith("?"), F.concat(F.lit(YES_TO), ins, F.lit(YES_END))).when(ins.rlike("[.!]$"), ins).otherwise(F.concat(ins, F.lit(".")))
     extra = F.when(F.coalesce(collapse(true_text), F.lit("")) != "", F.concat(F.lit(" ("), collapse(true_text), F.lit(")"))).otherwise(F.lit(""))
-    choice = F.transform(options, lambda o: F.concat(F.lit('Regarding "'), ins, F.lit('", the correct answer is "'), collapse(o["name"]), F.lit('"'), F.coalesce(F.concat(F.lit(": "), collapse(o["descr"])), F.lit("")), F.lit(".")))
-    score = F.transform(options, lambda o: F.concat(F.lit('Regarding "'), ins, F.lit('", the best description is: '), collapse(o["name"])))
+    choice = F.transform(options, lambda o: F.concat(F.lit(REGARDING), ins, F.lit(ANSWER_IS), collapse(o["name"]), F.lit('"'), F.coalesce(F.concat(F.lit(": "), collapse(o["descr"])), F.lit("")), F.lit(".")))
+    score = F.transform(options, lambda o: F.concat(F.lit(REGARDING), ins, F.lit(LEVEL_IS), collapse(o["name"])))
     return F.when(kind == "noul", F.array(F.concat(yes, extra))).when(kind == "choice", choice).otherwise(score)
 
 
