@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import auroc
+#: Resamples of an interval.
+REPS = 10_000
+#: Rows and resamples that are drawn at a time, and rows of a slice.
+PIECE_ROWS, PIECE_REPS, SLICE_ROWS, LEAST_SLICES = 256, 500, 50_000, 12
+#: Poisson(1): the k-th edge is the chance of k or fewer, in 32 bits.
+_EDGES = np.array([int(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(12)], np.uint32)
 
 
 def mcnemar(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -32,29 +40,134 @@ def paired(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"), F.avg(d).alias("diff"), (F.stddev_samp(d) / F.sqrt(F.count(F.lit(1)))).alias("std_error"))
 
 
-def poisson_weight(seed: str | int, rep: Column, key: Column) -> Column:
-    """How often a row is drawn in a resample: a Poisson(1) count from a digest, so no resample needs all row numbers."""
-    u = (F.pmod(F.xxhash64(F.lit(str(seed)), rep, key), F.lit(1 << 40)).cast("double")) / float(1 << 40)
-    acc, out, p = 0.0, None, math.exp(-1)
-    for k in range(12):
-        acc += p
-        out = F.when(u < acc, F.lit(k)) if out is None else out.when(u < acc, F.lit(k))
-        p /= k + 1
-    return out.otherwise(F.lit(12)).cast("double")
+def poisson_weights(rows: np.ndarray, first: int, n: int) -> np.ndarray:
+    """How often each row is drawn in resamples first, first + 1, ...: Poisson(1) counts, a line of ``n`` for each row's digest.
 
-
-def bootstrap_mean(rows: DataFrame, value: str, key: str, reps: int = 2000, seed: int = 0) -> DataFrame:
+    A count depends on the row's digest and the number of the resample alone, so no resample needs all row numbers.
+    A mixed word gives the draws of two resamples, thus ``first`` and ``n`` are even.
+    """
+    steps = np.arange(first // 2 + 1, (first + n) // 2 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = rows[:, None] + steps
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    u = (x ^ (x >> np.uint64(31))).view(np.uint32)
+    counts = np.zeros(u.shape, np.uint8)
+    for edge in _EDGES[:5]:
+        counts += u >= edge
+    rare = np.nonzero(u >= _EDGES[5])
+    counts[rare] = np.searchsorted(_EDGES, u[rare], side="right")
+    return counts
+
+
+def _drawn(rows: DataFrame, key: str, seed: int, *columns: Column) -> DataFrame:
+    """The digest that a row's draws come from, as ``_row``, and further columns."""
+    return rows.select(F.xxhash64(F.lit(str(seed)), F.col(key)).alias("_row"), *columns)
+
+
+def _pieces(batches: Iterable[pa.RecordBatch], reps: int) -> Iterator[tuple[list[np.ndarray], int, np.ndarray]]:
+    """The columns of a few rows at a time, and their counts in blocks of resamples."""
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        for at in range(0, batch.num_rows, PIECE_ROWS):
+            piece = [c[at : at + PIECE_ROWS] for c in columns]
+            for first in range(0, reps, PIECE_REPS):
+                n = min(PIECE_REPS, reps - first)
+                yield piece[1:], first, poisson_weights(piece[0].view(np.uint64), first, n + n % 2)[:, :n].astype(np.float64)
+
+
+def bootstrap_mean(rows: DataFrame, value: str, key: str, reps: int = REPS, seed: int = 0) -> DataFrame:
     """mean, low and high of a percentile 95 % interval. Sums by resample are combined before the exchange."""
-    draws = rows.select(value, key, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    w = poisson_weight(seed, F.col("rep"), F.col(key))
-    means = draws.withColumn("w", w).groupBy("rep").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("m"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, some = np.zeros((2, reps)), False
+        for (values,), first, w in _pieces(batches, reps):
+            some = True
+            total[:, first : first + w.shape[1]] += np.stack([values, np.ones(len(values))]) @ w
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(reps, dtype=np.int32)), pa.array(total[0]), pa.array(total[1])], names=["rep", "s", "w"])
+
+    drawn = _drawn(rows.where(F.col(value).isNotNull()), key, seed, F.col(value).cast("double").alias("_value"))
+    means = drawn.mapInArrow(sums, "rep int, s double, w double").groupBy("rep").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("m"))
     return rows.agg(F.avg(value).alias("mean")).crossJoin(means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))).select("mean", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
 
 
-def bootstrap_auroc(rows: DataFrame, score: str, label: str, key: str, reps: int = 200, seed: int = 0) -> DataFrame:
-    """Weighted AUROC of each resample: interval of 95 %."""
-    draws = rows.select(F.col(score), F.col(label), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"), key)
-    each = auroc(draws.withColumn("w", poisson_weight(seed, F.col("rep"), F.col(key))), score, label, F.col("w"), ["rep"])
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a != b) & ~(np.isnan(a) & np.isnan(b))
+
+
+class _Slice:
+    """Sums of a slice of the order by score, for a block of resamples: positives, negatives, pairs in order.
+
+    Its first and its last score stay apart from those between, since they may go on in other slices.
+    """
+
+    def __init__(self, n: int):
+        self.first: tuple[float, np.ndarray] | None = None
+        self.last: tuple[float, np.ndarray] | None = None
+        self.inner = np.zeros((3, n))
+
+    def add(self, scores: np.ndarray, labels: np.ndarray, w: np.ndarray) -> None:
+        starts = np.flatnonzero(np.append(True, _differ(scores[1:], scores[:-1])))
+        pos = w * labels[:, None]
+        both = np.stack([pos, w - pos])
+        if len(starts) < len(scores):
+            both = np.add.reduceat(both, starts, axis=1)
+        scores = scores[starts]
+        if self.last is not None:
+            if _differ(scores[0], self.last[0]):
+                scores, both = np.append(self.last[0], scores), np.concatenate([self.last[1][:, None], both], axis=1)
+            else:
+                both[:, 0] += self.last[1]
+        self.last = scores[-1], both[:, -1].copy()
+        closed = both[:, :-1]
+        if self.first is None and closed.shape[1]:
+            self.first, closed = (scores[0], closed[:, 0].copy()), closed[:, 1:]
+        p, q = closed
+        self.inner[2] += np.einsum("ij,ij->j", p, np.cumsum(q, axis=0) - q / 2) + p.sum(0) * self.inner[1]
+        self.inner[:2] += closed.sum(1)
+
+    def rows(self) -> Iterator[tuple[float, bool, np.ndarray]]:
+        """(score, whether the sums are of this score or of those above it in the slice, sums)."""
+        if self.first is not None:
+            yield self.first[0], True, np.append(self.first[1], np.zeros((1, self.inner.shape[1])), axis=0)
+            yield self.first[0], False, self.inner
+        if self.last is not None:
+            yield self.last[0], True, np.append(self.last[1], np.zeros((1, self.inner.shape[1])), axis=0)
+
+
+def bootstrap_auroc(rows: DataFrame, score: str, label: str, key: str, reps: int = REPS, seed: int = 0) -> DataFrame:
+    """Weighted AUROC of each resample: interval of 95 %.
+
+    Rows are dealt into slices of the order by score, equal scores by digest. A slice sends three rows for a block of
+    resamples, so what is exchanged doesn't grow with the rows times the resamples.
+    """
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, _Slice] = {}
+        for (scores, labels), first, w in _pieces(batches, reps):
+            blocks.setdefault(first, _Slice(w.shape[1])).add(scores, labels, w)
+        found = [(first, s, tie, sums.tobytes()) for first, x in blocks.items() for s, tie, sums in x.rows()]
+        if found:
+            kinds = (pa.int32(), pa.float64(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found, strict=True), kinds, strict=True)], names=["first", "s", "tie", "sums"])
+
+    def joined(table: pa.Table) -> pa.Table:
+        s, above = table.column("s").to_numpy(), ~table.column("tie").to_numpy()
+        sums = np.stack([np.frombuffer(x.as_py()).reshape(3, -1) for x in table.column("sums")])
+        order = np.lexsort((above, s))
+        s, above, sums = s[order], above[order], sums[order]
+        starts = np.flatnonzero(np.append(True, _differ(s[1:], s[:-1]) | (above[1:] != above[:-1])))
+        p, q, u = np.add.reduceat(sums, starts, axis=0).transpose(1, 0, 2)
+        u = np.where(above[starts, None], u, p * q / 2) + p * (np.cumsum(q, axis=0) - q)
+        pairs = p.sum(0) * q.sum(0)
+        return pa.table({"auroc": pa.array(u.sum(0) / np.where(pairs > 0, pairs, 1.0), mask=pairs <= 0)})
+
+    # as in an ascending sort, rows without score come first; rows without label count as negative
+    drawn = _drawn(rows, key, seed, F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))).alias("_score"), F.coalesce(F.col(label).cast("double"), F.lit(0.0)).alias("_label"))
+    n = max(LEAST_SLICES, rows.count() // SLICE_ROWS + 1)
+    dealt = drawn.repartitionByRange(n, "_score", "_row").sortWithinPartitions("_score")
+    each = dealt.mapInArrow(slices, "first int, s double, tie boolean, sums binary").groupBy("first").applyInArrow(joined, "auroc double")
     return each.agg(F.percentile("auroc", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select(F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
 
 

@@ -355,13 +355,13 @@ def mcnemar_test(spark, sf):
 @query()
 def bootstrap_ci(spark, sf):
     rows = _pairs(spark, sf).withColumn("d", F.col("a") - F.col("b"))
-    return rounded(analysis.bootstrap_mean(rows, "d", "vec_id", 500))
+    return rounded(analysis.bootstrap_mean(rows, "d", "vec_id"))
 
 
 @query()
 def bootstrap_auroc(spark, sf):
     rows = noul(spark, sf).select("vec_id", "label", item(F.col("probs"), 1).alias("score"))
-    return rounded(analysis.bootstrap_auroc(rows, "score", "label", "vec_id", 50))
+    return rounded(analysis.bootstrap_auroc(rows, "score", "label", "vec_id"))
 
 
 @query(
