@@ -97,6 +97,14 @@ def test_independent_rows_are_greedy(spark):
     assert sorted(r["id"] for r in guards.independent_rows(df, "keys", "id").collect()) == kept
 
 
+@pytest.mark.parametrize("at_once", [guards.AT_ONCE, 10])
+def test_long_chains_of_conflicts_are_settled(spark, at_once):
+    # row i conflicts with i + 1: a round settles two rows, and every other row stays
+    n = 1000 if at_once > 10 else 48
+    df = spark.createDataFrame([(i, [i, i + 1]) for i in range(n)] + [(n + 5, [1, None]), (n + 6, [n + 6])], "id int, keys array<int>")
+    assert sorted(r["id"] for r in guards.independent_rows(df, "keys", "id", at_once).collect()) == [*range(0, n, 2), n + 6]
+
+
 def test_quotas(spark):
     assert sampling.allocate({"test": 5, "calib": 3}, 100) == {"test": 5, "calib": 3} and sampling.allocate({"test": 60, "calib": 40}, 50) == {"test": 30, "calib": 20}
     with pytest.raises(ValueError):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +14,12 @@ DECISION = f"id string, source string, family string, state string, question str
 FAMILY_TYPES = {"nli": "noul", "reading": "noul", "judgement": "noul", "ovr": "noul", "candidate": "choice", "choice": "choice", "score": "score"}
 
 
+def folder(spark: SparkSession) -> str:
+    """A fresh folder below spark.checkpoint.dir, which driver and executors share; where that is unset, a local one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/verdica-checkpoints"
+    return f"{base.rstrip('/')}/verdica-{uuid.uuid4().hex}"
+
+
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """Raw score rows from JSON lines; a half-written last line is left out."""
     return spark.read.schema(RAW).option("mode", "DROPMALFORMED").json(path)
