@@ -196,6 +196,15 @@ def test_toxicity_learns_and_scores(spark, odd, none, texts):
     assert unlearned.score("you idiot", unlearned.automaton()) > unlearned.score("", unlearned.automaton())
 
 
+def test_insults_of_clean_documents_do_not_flag(spark):
+    # labels show clown in clean documents mostly: it is not learned, and the fixed list doesn't bring it back
+    rows = [(i, f"plain{i % 50} " + ("grobian" if i % 5 == 0 else "talk") + (" clown" if i % 7 == 1 else "") + f" end{i}") for i in range(600)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(600)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, known)
+    assert "clown" not in model.weights and "moron" in model.weights
+    assert model.score("a clown at the circus", model.automaton()) < 0.5 < model.score("such a grobian", model.automaton())
+
+
 def test_pipeline_stages(spark, tmp_path, odd):
     from tests.llm.test_native import brute_mix, brute_quality
 

@@ -1,7 +1,7 @@
 """Toxicity by a learned lexicon, its misspellings, and the words around them.
 
 Lexicon. From a bounded sample of labelled rows come the words and word beginnings that are found in toxic documents
-far more often than chance allows. A short list of insults stands in where labels say nothing.
+far more often than chance allows. Of a short list of insults those join that no clean document of the sample holds.
 
 Matching. The lexicon is a trie. A Levenshtein automaton walks a word and the trie together: its states are sets of
 (trie node, errors so far), built when first reached. Long terms take one error; short terms and beginnings of
@@ -39,7 +39,7 @@ FUZZY_SHARE = 0.5
 WINDOW = 6
 REMEMBERED = 300_000
 
-#: Insults that stand in for a learned lexicon.
+#: Fixed values, not learned: insults that stand in for a learned lexicon, or join it where no clean document of the sample holds them.
 INSULTS = "idiot stupid moron trash scum loser pathetic worthless disgusting clown".split()
 #: Words of reporting or discussing, and of addressing someone.
 REPORTING = set("said says quote quoted called word term slur wrote writes reported according zitat sagte schrieb dit écrit mot citation dijo escribió palabra cita".split())
@@ -205,8 +205,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     odds = lambda a, b: math.log((a + 0.5) / (n_toxic + 1)) - math.log((b + 0.5) / (n_clean + 1))
     weights = {t[1:]: (odds(a, b), 2 if t[0] == "2" else 1) for t, a, b in chosen}
     begins = {t[1:]: t[0] != "=" for t, _, _ in chosen}
+    everyday = {r["term"][1:] for r in counts.where(F.col("term").isin([f"={w}" for w in INSULTS]) & (F.col("b") > 0)).collect()}
     for insult in INSULTS:
-        if not any(insult.startswith(t) for t in begins):
+        if insult not in everyday and not any(insult.startswith(t) for t in begins):
             begins[insult], weights[insult] = False, (3.0, 1)
     unsure = Automaton(begins)
 
