@@ -43,6 +43,37 @@ def frame(version: int, layer: int, kbit_index: int, rate_index: int, padding: i
     return head + body + bytes(h.size - 4 - len(body))
 
 
+@pytest.mark.parametrize(
+    ("head", "widths", "channels", "bound"),
+    [
+        ("fffe80c0", [4] * 32, 1, 32),  # MPEG-1 Layer I, 256 kbit/s, 44.1 kHz, mono
+        ("fffe8050", [4] * 32, 2, 8),  # the same in joint stereo, bound 8
+        ("fffca000", [4] * 11 + [3] * 12 + [2] * 7, 2, 32),  # MPEG-1 Layer II, 192 kbit/s, 44.1 kHz, stereo
+        ("fffc8460", [4] * 11 + [3] * 12 + [2] * 4, 2, 12),  # 128 kbit/s, 48 kHz, joint stereo, bound 12
+        ("fffc28c0", [4] * 2 + [3] * 10, 1, 32),  # 48 kbit/s, 32 kHz, mono
+        ("fff484c0", [4] * 4 + [3] * 7 + [2] * 19, 1, 32),  # MPEG-2 Layer II, mono
+    ],
+)
+def test_mpeg_checksums_of_layers_one_and_two(head, widths, channels, bound):
+    head, rng = bytes.fromhex(head), random.Random(8)
+    h = mpeg.header(head)
+    bits, chosen = "", 0
+    for band, width in enumerate(widths):
+        for _ in range(channels if band < bound else 1):
+            value = rng.randrange(1 << width)
+            bits += f"{value:0{width}b}"
+            chosen += (channels if band >= bound else 1) if value and h.layer == 2 else 0
+    bits += "".join(rng.choice("01") for _ in range(2 * chosen))
+    crc = 0xFFFF
+    for bit in f"{int.from_bytes(head[2:], 'big'):016b}{bits}":
+        crc = ((crc << 1) & 0xFFFF) ^ (0x8005 if (crc >> 15) ^ int(bit) else 0)
+    body = int(bits.ljust(8 * (h.size - 6), "0"), 2).to_bytes(h.size - 6, "big")
+    good = head[:1] + bytes([head[1] & 0xFE]) + head[2:] + struct.pack(">H", crc) + body
+    flip = lambda bit: (int.from_bytes(good, "big") ^ (1 << (8 * h.size - 49 - bit))).to_bytes(h.size, "big")
+    s = mpeg.read(good * 2 + flip(len(bits) - 1) + flip(len(bits)) + good)
+    assert (len(s.headers), s.checked, s.damaged) == (5, 5, 1)
+
+
 def test_mpeg_variable_bitrate_resync_and_damage():
     frames = [frame(3, 3, 9, 0), frame(3, 3, 5, 0, 1), frame(3, 3, 14, 0, checked=True), frame(3, 3, 2, 0, checked=True)]
     s = mpeg.read(b"".join(frames))

@@ -112,6 +112,46 @@ def checksum(data: bytes) -> int:
     return crc
 
 
+def _protected(frame: bytes, h: Header) -> tuple[bytes, int]:
+    """The bytes behind a frame's checksum that it covers, and how many bits of them: side information, or bit
+    allocation (Layer II: and scale factor selection)."""
+    if h.layer == 3:
+        return frame[6 : 6 + h.side_bytes], 8 * h.side_bytes
+    mode, channels = frame[3] >> 6, 1 if h.mono else 2
+    bound = 4 * (((frame[3] >> 4) & 3) + 1) if mode == 1 else 32
+    if h.layer == 1:
+        n = 4 * (channels * bound + 32 - bound)
+        return frame[6 : 6 + n // 8], n
+    widths = _allocation_widths(h)
+    body, at, chosen = int.from_bytes(frame[6:70].ljust(64, b"\0"), "big"), 0, 0
+    for band, width in enumerate(widths):
+        for _ in range(channels if band < bound else 1):
+            if (body >> (512 - at - width)) & ((1 << width) - 1):
+                chosen += channels if band >= bound else 1
+            at += width
+    return frame[6:70], at + 2 * chosen
+
+
+def _allocation_widths(h: Header) -> list[int]:
+    """Bits of the allocation of each Layer II subband (ISO 11172-3 tables B.2a to d, 13818-3 B.1)."""
+    if h.version != 3:
+        return [4] * 4 + [3] * 7 + [2] * 19
+    kbits = h.kbits // (1 if h.mono else 2)
+    if kbits < 56:
+        return [4] * 2 + [3] * (10 if h.rate == 32000 else 6)
+    return [4] * 11 + [3] * 12 + [2] * (7 if kbits >= 96 and h.rate != 48000 else 4)
+
+
+def frame_checksum(frame: bytes, h: Header) -> int:
+    """The checksum that a frame should have."""
+    body, n = _protected(frame, h)
+    crc = checksum(frame[2:4] + body[: n // 8])
+    for k in range(n % 8):
+        bit = (body[n // 8] >> (7 - k)) & 1
+        crc = ((crc << 1) & 0xFFFF) ^ (0x8005 if (crc >> 15) ^ bit else 0)
+    return crc
+
+
 _FRAME_HEAD = HEADER + struct.pack(">H", checksum(HEADER[2:4] + bytes(SIDE_BYTES))) + bytes(SIDE_BYTES)
 
 
@@ -240,8 +280,7 @@ def read(data: bytes) -> Stream:
         lost, last = False, h
         if h.checked:
             out.checked += 1
-            covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side_bytes]
-            if h.layer == 3 and checksum(covered) != int.from_bytes(data[at + 4 : at + 6], "big"):
+            if frame_checksum(data[at : at + h.size].ljust(70, b"\0"), h) != int.from_bytes(data[at + 4 : at + 6], "big"):
                 out.damaged += 1
         if not (first and _table(data, at, h, out)):
             out.offsets.append(at)
