@@ -10,9 +10,10 @@ two documents that share a window, each rolling 25-word probe set of one meets a
    Overlapping candidates found in a document with a smaller id chain into maximal exact repeats.
 3. Removal of the words they cover, judged on the input.
 
-Both exchanges combine before they deal: copies inside a batch settle there, and only one representative of a hash
-goes on. A passage in a third of all documents thus sends a few entries a batch, not one an occurrence. Parts grow in
-number with the words, so a part's size doesn't grow.
+Both exchanges combine before they deal, as far as copies settle inside a batch: there one representative of a hash goes
+on. Windows (2.) always settle so. Anchors (1.) settle only where one of the hash's places is a grid block: of exact
+copies 24 of 25 rolling windows aren't, and go on with one entry an occurrence. Parts grow in number with the words, so
+a part's size doesn't grow, except by the occurrences of such a hash, which all go to one part.
 
 Defined results: null and blank texts have no words; documents of under 50 words lose none; a row without id
 is neither smaller nor larger than another and stays whole; rows that repeat an id don't dedup each other; an empty
