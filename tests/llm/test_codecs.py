@@ -211,6 +211,34 @@ def test_bpe_pieces_like_the_library(encoding):
         assert decoded == text.encode()
 
 
+@pytest.mark.parametrize(
+    "make",
+    [
+        lambda rng: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40_000)),
+        lambda rng: "".join(rng.choice("ACGT") for _ in range(40_000)),
+        lambda rng: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(20_000)),
+        lambda rng: "".join(rng.choice(["the", "in", "tion", "er", "a", "qu", "é", "中"]) for _ in range(6_000)),
+        lambda rng: "".join(rng.choice("ab") for _ in range(90)) * 200,
+        lambda rng: "a" * 100_001,
+    ],
+)
+def test_bpe_long_pieces(encoding, make):
+    text = make(random.Random(12))
+    ((n,), (ids,), (decoded,)) = bpe.vocabulary(RANKS).of_texts([[text]])
+    assert ids.decode() == " ".join(map(str, encoding.encode_ordinary(text))) and n == len(ids.split()) and decoded == text.encode()
+
+
+def test_bpe_seams_of_small_blocks(monkeypatch, encoding):
+    """Blocks of a few bytes, so that most seams fail and many windows grow over whole pieces."""
+    monkeypatch.setattr(bpe, "LONG", 6)
+    monkeypatch.setattr(bpe, "BLOCK", 3)
+    monkeypatch.setattr(bpe, "QUERY_SQUARES", 60)
+    rng, own = random.Random(13), bpe.Vocabulary(bpe.read_ranks(RANKS))
+    texts = ["".join(rng.choice(["the", "tion", "ing", "x", "ab", "é", "nation", "under"]) for _ in range(rng.randint(1, 25))) for _ in range(60)]
+    for text, ids in zip(texts, own.of_texts([[t] for t in texts])[1], strict=True):
+        assert ids.decode() == " ".join(map(str, encoding.encode_ordinary(text))), text
+
+
 def test_bpe_forgets_and_goes_on(monkeypatch):
     own = bpe.Vocabulary(bpe.read_ranks(RANKS))
     monkeypatch.setattr(bpe, "REMEMBERED", 3)
