@@ -93,6 +93,23 @@ def test_mpeg_variable_bitrate_resync_and_damage():
     assert (s.table_bytes, s.table_frames, len(s.headers)) == (9000, 3, 3)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.data())
+def test_mpeg_reader_takes_any_bytes(data):
+    """Pieces of streams, tags and tables, cut off and overwritten anywhere."""
+    vbri = frame(3, 3, 9, 0)[:36] + b"VBRI"
+    kinds = [mpeg.encode(b"text" * 300), frame(3, 3, 9, 0), frame(2, 2, 5, 1, checked=True), frame(3, 1, 3, 0, checked=True), vbri, b"ID3\x03\0\0\0\0\0\x20TIT2\0\0\0\x10\0\0\x01ab", b"ID3\x04\0\0\0\0\0\x0aTIT2\0\0\0\x01\0\0", b"TAG", b"\xff"]
+    parts = data.draw(st.lists(st.one_of(st.sampled_from(kinds), st.binary(max_size=20)), max_size=5))
+    stream = bytearray(b"".join(p[: data.draw(st.integers(0, len(p)))] for p in parts))
+    for at, value in data.draw(st.lists(st.tuples(st.integers(0, max(len(stream) - 1, 0)), st.integers(0, 255)), max_size=6)):
+        if stream:
+            stream[at] = value
+    s = mpeg.read(bytes(stream))
+    assert len(s.offsets) == len(s.headers) and s.duration >= 0 and s.damaged <= s.checked
+    assert all(a + h.size <= len(stream) for a, h in zip(s.offsets, s.headers, strict=True))
+    mpeg.payload(bytes(stream), s), mpeg.feature(s)
+
+
 def test_mpeg_query_matches_brute_force(spark, odd, none, texts):
     media = mpeg.described(mpeg.stored(odd))
     got = Counter((r.doc_id, r.n_bytes, bytes(r.payload), r.media_bytes, r.media_sha256) for r in media.collect())

@@ -208,9 +208,9 @@ def _tags(data: bytes, out: Stream) -> tuple[int, int]:
         while at + 10 <= stop and data[at] and major >= 3:
             raw = data[at + 4 : at + 8]
             n = sum(b << s for b, s in zip(raw, (21, 14, 7, 0), strict=True)) if major == 4 else int.from_bytes(raw, "big")
-            if data[at : at + 1] == b"T" and n:
+            if data[at : at + 1] == b"T" and n and at + 10 < stop:
                 codec = ("latin-1", "utf-16", "utf-16-be", "utf-8")[min(data[at + 10], 3)]
-                out.tags[data[at : at + 4].decode("latin-1")] = data[at + 11 : at + 10 + n].decode(codec, "replace").rstrip("\0")
+                out.tags[data[at : at + 4].decode("latin-1")] = data[at + 11 : min(at + 10 + n, stop)].decode(codec, "replace").rstrip("\0")
             at += 10 + n
         start = stop + (10 if flags & 0x10 else 0)
     if end - start >= 128 and data[end - 128 : end - 125] == b"TAG":
@@ -234,7 +234,7 @@ def _table(data: bytes, at: int, h: Header, out: Stream) -> bool:
             if flags & 4:
                 out.table_points = data[pos : pos + 100]
             return True
-    if data[at + 36 : at + 40] == b"VBRI":
+    if data[at + 36 : at + 40] == b"VBRI" and at + 54 <= len(data):
         out.table_bytes, out.table_frames = struct.unpack(">II", data[at + 46 : at + 54])
         return True
     return False
