@@ -18,8 +18,9 @@ compose by adding counts, an associative operation, and a prefix scan of them gi
 from __future__ import annotations
 
 import re
-from itertools import accumulate
+from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -27,8 +28,8 @@ from .common import HELD, map_rows
 
 BLANK = "▁"
 LIMIT = 4096
-#: Chunk maps and states that a worker remembers; beyond, it begins anew with them. States level off, maps don't.
-REMEMBERED_MAPS, REMEMBERED_STATES = 250_000, 400_000
+#: Chunk maps, states and lawful neighbours that a worker remembers; beyond, it begins anew with them. States level off, the others don't.
+REMEMBERED_MAPS, REMEMBERED_STATES, REMEMBERED_PAIRS = 250_000, 400_000, 400_000
 _CHUNKS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
@@ -59,6 +60,8 @@ class Pieces:
         """Whether a piece may follow a token; None stands for the start and for characters without a piece."""
         known = self._lawful.get((left, piece))
         if known is None:
+            if len(self._lawful) >= REMEMBERED_PAIRS:
+                self._lawful.clear()
             known = self.merged((left or "") + piece) == ([left, piece] if left else [piece])
             self._lawful[left, piece] = known
         return known
@@ -121,21 +124,27 @@ class Transducer:
         """Words with the blanks before them; a text is read as if a blank stood before it."""
         return _CHUNKS.findall(BLANK + text.replace(" ", BLANK)) if text else []
 
-    def count(self, text: str) -> int:
-        """Tokens of a text."""
+    def counts(self, text: str) -> Iterable[int]:
+        """Tokens of each chunk."""
         if not text:
-            return 0
+            return ()
         if len(self.maps) > REMEMBERED_MAPS:
             self.maps.clear()
         if len(self.states) > REMEMBERED_STATES:
             self._begin()
         if text[0] == " " or "  " in text or BLANK in text:
-            return sum(self.run(c)[1] for c in self.chunks(text))
-        return sum(map(self.maps.__getitem__, text.split(" ")))
+            return [self.run(c)[1] for c in self.chunks(text)]
+        return map(self.maps.__getitem__, text.split(" "))
+
+    def scanned(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Prefix scan over the chunks of all texts in a row: tokens before each chunk and all last, and each text's first chunk and the end."""
+        parts = [np.fromiter(self.counts(t), np.int64) for t in texts]
+        starts = np.cumsum([0, *map(len, parts)])
+        return np.concatenate(([0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *parts])))), starts
 
-    def before(self, text: str) -> list[int]:
-        """Prefix scan of the chunk maps: tokens before each chunk, and all tokens last."""
-        return list(accumulate((self.run(c)[1] for c in self.chunks(text)), initial=0))
+    def count(self, text: str) -> int:
+        """Tokens of a text."""
+        return int(self.scanned([text])[0][-1])
 
 
 class ChunkMaps(dict):
@@ -166,14 +175,15 @@ def transducer(path: str) -> Transducer:
 
 
 def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
-    """key, n_bytes, n_tokens, over_limit. Null and empty texts have no tokens; repeated rows agree; an empty table gives an empty result."""
+    """key, n_bytes, n_tokens, over_limit, and n_fitting: the words from the start, cut at single blanks, whose tokens stay within the limit."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        count = transducer(path).count
         texts = [t.as_py() or "" for t in batch.column(1)]
-        tokens = [count(t) for t in texts]
-        columns = [pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())]
-        return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, "n_bytes", "n_tokens", "over_limit"])
+        before, starts = transducer(path).scanned(texts)
+        tokens = before[starts[1:]] - before[starts[:-1]]
+        fitting = np.minimum(np.searchsorted(before, before[starts[:-1]] + limit, "right") - 1, starts[1:]) - starts[:-1]
+        columns = [np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts)), tokens, tokens > limit, fitting]
+        return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], names=[key, "n_bytes", "n_tokens", "over_limit", "n_fitting"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return map_rows(docs, [key, text], rows, f"{key} {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return map_rows(docs, [key, text], rows, f"{key} {kind}, n_bytes long, n_tokens long, over_limit boolean, n_fitting long")
