@@ -57,8 +57,8 @@ def brute_groups(rows):
     return Counter((i, f"{fps[n]:016x}", least.get(root[n])) for n, (i, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("hot_cell", [1, 3, 64])
-def test_simhash_matches_brute_force(spark, odd, texts, hot_cell):
+@pytest.mark.parametrize(("hot_cell", "n_blocks"), [(1, None), (3, 5), (64, None), (64, 9)])
+def test_simhash_matches_brute_force(spark, odd, texts, hot_cell, n_blocks):
     rng = random.Random(11)
     base = [f"word{rng.randrange(400)}" for _ in range(260)]
     more = []
@@ -69,7 +69,7 @@ def test_simhash_matches_brute_force(spark, odd, texts, hot_cell):
         more.append((1000 - i, " ".join(words)))
     more += [(2000 + i, t) for i, t in enumerate(["a", "a b", "A B", "a b c", "", None])]
     docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
-    got = Counter((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs, hot_cell=hot_cell).collect())
+    got = Counter((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs, hot_cell=hot_cell, n_blocks=n_blocks).collect())
     assert got == brute_groups(texts + more)
 
 
@@ -82,11 +82,12 @@ def test_simhash_bounds(spark):
         rows.append(tuple(x - (1 << 64) if x >> 63 else x for x in (f, g)))
     df = spark.createDataFrame(rows, "f long, g long")
     v, w = simhash.embedded(df["f"]), simhash.embedded(df["g"])
-    for r in df.select("f", "g", simhash.manhattan(v, w).alias("d"), simhash.cells(v).alias("a"), simhash.cells(w).alias("b")).collect():
+    for r in df.select("f", "g", simhash.manhattan(v, w).alias("d"), *[simhash.cells(x, b).alias(f"{n}{b}") for n, x in (("v", v), ("w", w)) for b in (4, 7, 16)]).collect():
         bits = [[(x >> 2 * s & 3).bit_count() for s in range(32)] for x in (r.f & (1 << 64) - 1, r.g & (1 << 64) - 1)]
         hamming = ((r.f ^ r.g) & (1 << 64) - 1).bit_count()
         assert r.d == sum(abs(a - b) for a, b in zip(*bits, strict=True)) <= hamming
-        assert hamming > 2 or set(r.a) & set(r.b)
+        assert hamming > 2 or all(set(r[f"v{b}"]) & set(r[f"w{b}"]) for b in (4, 7, 16))
+    assert [simhash.blocks_for(n) for n in (0, 10**7, 10**8, 10**11)] == [4, 4, 5, 8]
 
 
 def test_one_per_group(spark, odd, none):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -49,23 +51,72 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Scratch folders that are still there.
+_FOLDERS: set[str] = set()
+
+
 def scratch(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share: below spark.checkpoint.dir, which the cluster names.
 
-    Only where that is unset, as in tests on one machine, a local folder takes its place.
+    Only where that is unset and all executors are threads of this machine's driver, as in tests, a local folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "/tmp/verdica-checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/verdica-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/verdica-{uuid.uuid4().hex}"
+    _FOLDERS.add(path)
+    return path
+
+
+def _deleted(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+    _FOLDERS.discard(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the folders of ``staged`` tables that nothing reads any more."""
+    for table in tables:
+        _deleted(table.sparkSession, table._verdica_folder)
+
+
+@atexit.register
+def sweep() -> None:
+    """Results may be read until the program ends; then all scratch goes, if the session still stands."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):  # the session may end meanwhile
+            for path in list(_FOLDERS):
+                _deleted(spark, path)
 
 
 def staged(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """Writes a narrow intermediate once to the shared folder and reads it back: later steps neither recompute it nor depend on executors staying."""
+    """Writes an intermediate once to the shared folder and reads it back: later steps neither recompute it nor depend on executors staying."""
     path = scratch(df.sparkSession)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._verdica_folder = path
+    return out
+
+
+def staged_narrow(df: DataFrame) -> DataFrame:
+    """``staged`` for a few numbers a document behind an exchange: files of full size, not one a core or partition.
+
+    Each file costs a task, a listing and, on local file systems, helper processes of the executor.
+    """
+    spark, first = df.sparkSession, "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    before = spark.conf.get(first, None)
+    spark.conf.set(first, "false")
+    try:
+        return staged(df.coalesce(2 * spark.sparkContext.defaultParallelism))
+    finally:
+        if before is None:
+            spark.conf.unset(first)
+        else:
+            spark.conf.set(first, before)
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:

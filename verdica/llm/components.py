@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import dropped, staged_narrow
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def components(links: DataFrame) -> DataFrame:
     Rounds grow with the logarithm of the longest chain. A hub's links are never gathered: minima are aggregated
     before the exchange and joined back. An empty table gives an empty result.
     """
-    links = staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    links = staged_narrow(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     state = None
     while True:
         now = links.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
@@ -36,6 +36,7 @@ def components(links: DataFrame) -> DataFrame:
         state = tuple(now)
         if not state[0]:
             break
-        links = staged(_small_star(_large_star(links)))
+        links, last = staged_narrow(_small_star(_large_star(links))), links
+        dropped(last)
     roots = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

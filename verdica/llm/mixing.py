@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, native_words, staged
+from .common import fresh, native_words, staged, staged_narrow
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
@@ -65,14 +65,14 @@ def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: st
     ranges = 1 << max(6, (n // RANGE_ROWS).bit_length())
     spot = F.shiftright(F.conv(F.substring("at", 1, 8), 16, 10).cast("long"), 32 - (ranges.bit_length() - 1)).cast("int")
     sized = sized.withColumn("range", spot)
-    sums = staged(sized.groupBy("source", "range").agg(F.sum("size").alias("words")))
+    sums = staged_narrow(sized.groupBy("source", "range").agg(F.sum("size").alias("words")))
     targets = source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")))
     start = F.sum("words").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
     named = targets.select(F.col("source").alias("_s"), "source_size", "rank", "target")
     starts = sums.select(F.col("source").alias("_source"), F.col("range").alias("_range"), start.alias("start")).join(named, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
     run = Window.partitionBy("source", "range").orderBy("at", "key", "size").rowsBetween(Window.unboundedPreceding, 0)
     queued = sized.withColumn("inside", F.sum("size").over(run))
-    queue = staged(
+    queue = staged_narrow(
         queued.join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("range") == F.col("_range"))).select(
             "key", "source", "size", "at", "source_size", "rank", "target", (F.col("start") + F.col("inside")).alias("end")
         )
