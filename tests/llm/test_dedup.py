@@ -95,6 +95,8 @@ def test_one_per_group(spark, odd, none):
     assert kept.columns == odd.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 2, 5, 7, 8]
     assert not simhash.one_per_group(none).count()
+    twins = spark.createDataFrame([(3, "b c d"), (3, "a c d"), (3, None), (9, "z")], "doc_id long, text string")
+    assert {(r.doc_id, r.text) for r in simhash.one_per_group(twins).collect() if r.doc_id == 3} == {(3, None)}
     unnamed = odd.where("doc_id IS NULL")
     assert simhash.one_per_group(unnamed).count() == 1
 
@@ -134,8 +136,11 @@ def passages(seed):
     return [(i + 10_000 * n if c > 1 else i, t) for n, ((i, t), c) in enumerate(zip(rows, [sum(x[0] == r[0] for x in rows) for r in rows], strict=True))]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_substring_matches_brute_force(spark, odd, texts, seed):
+@pytest.mark.parametrize(("seed", "fan", "part"), [(1, 4096, 2_000_000), (2, 4096, 2_000_000), (3, 5, 700), (4, 40, 2_000_000)])
+def test_substring_matches_brute_force(spark, odd, texts, seed, fan, part, monkeypatch):
+    """Also with so few parts at once that they are dealt in two exchanges."""
+    monkeypatch.setattr(substring, "FAN", fan)
+    monkeypatch.setattr(substring, "PART_ENTRIES", part)
     more = passages(seed)
     docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string")).repartition(4)
     got = Counter((r.doc_id, *r._dedup) for r in substring.dedup(docs).collect())
@@ -150,6 +155,11 @@ def test_substring_keeps_columns_and_layout(spark, odd, none):
     assert {r.doc_id: r.text for r in substring.dedup(docs).collect()} == {1: long, 2: "head mid\ttail "}
 
 
+def test_substring_refuses_other_ids(spark):
+    with pytest.raises(ValueError):
+        substring.dedup(spark.createDataFrame([("a", "text")], "doc_id string, text string"))
+
+
 def test_levenshtein_automaton():
     terms = {"idiot": False, "scum": False, "lowei": True, "moron": False}
     a = toxicity.Automaton(terms, safe=["moran"])

@@ -143,7 +143,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ho
 
 
 def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose key is the smallest of its group; of rows that repeat that key one stays."""
+    """The rows of ``docs`` whose key is the smallest of its group; of rows that repeat that key the first by text stays."""
     groups = staged_narrow(near_duplicates(docs, key, text))
     dropped = groups.where(F.col(key) != F.col("component_id")).select(key)
     dropped = dropped.unionByName(groups.where(F.col(key).isNull() & F.col("component_id").isNotNull()).select(key)).distinct()
@@ -154,5 +154,7 @@ def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     if repeated.isEmpty():
         return kept
     same = F.col(key).eqNullSafe(F.col(again))
-    once = kept.join(repeated, same, "left_semi").dropDuplicates([key])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.struct(F.col(text), F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]))
+    once = kept.join(repeated, same, "left_semi").groupBy(F.col(key).alias(again)).agg(F.min_by(row, order).alias(gone)).select(f"{gone}.*")
     return kept.join(repeated, same, "left_anti").unionByName(once)

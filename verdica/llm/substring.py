@@ -10,12 +10,12 @@ two documents that share a window, each rolling 25-word probe set of one meets a
    Overlapping candidates found in a document with a smaller id chain into maximal exact repeats.
 3. Removal of the words they cover, judged on the input.
 
-Both exchanges combine before they deal, as far as copies settle inside a batch: there one representative of a hash goes
-on. Windows (2.) always settle so. Anchors (1.) settle only where one of the hash's places is a grid block: of exact
-copies 24 of 25 rolling windows aren't, and go on with one entry an occurrence. Parts grow in number with the words, so
-a part's size doesn't grow, except by the occurrences of such a hash, which all go to one part.
+Both exchanges combine before they deal: of a hash one representative goes on. What shares an anchor's hash in a batch are
+hits already; of a window's documents in a batch all but the smallest have it from there. Parts grow in number with
+the words, so a part's size doesn't grow. Over FAN parts are dealt in two exchanges, so that what a batch sends to one
+doesn't shrink to single entries; between them entries are combined again, some millions at a time.
 
-Defined results: null and blank texts have no words; documents of under 50 words lose none; a row without id
+Defined results: ids are whole numbers, others are refused; null and blank texts have no words; documents of under 50 words lose none; a row without id
 is neither smaller nor larger than another and stays whole; rows that repeat an id don't dedup each other; an empty
 table gives an empty result; extra columns pass through, but for one named _dedup, which the result replaces.
 """
@@ -24,6 +24,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from hashlib import sha256
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,10 @@ from .hashing import mixed, planes, rolling, unplaned, word_bounds, word_hashes
 
 WINDOW = 50
 BLOCK = WINDOW // 2
-#: Entries that one part holds, about: some 100 MB in a worker.
+#: Entries that one part holds, about, and that are combined at a time between two exchanges: some 100 MB in a worker.
 PART_ENTRIES = 2_000_000
+#: Parts that a batch is dealt to at once.
+FAN = 4096
 _R1, _R2 = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 
 #: What a batch sends to a part: hashes with their documents and places, and places settled already.
@@ -84,23 +88,85 @@ def _joined(blobs: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return np.concatenate(docs), np.concatenate(tags), np.concatenate(ordinals), np.concatenate(places)
 
 
-def _sent(part: np.ndarray, keys: np.ndarray, key_bytes: int, ordinal: np.ndarray, place: np.ndarray, settled: np.ndarray, docs: np.ndarray, tags: np.ndarray, n_parts: int) -> pa.RecordBatch:
-    """Entries dealt by part. Settled entries ride along with one part."""
-    go = np.flatnonzero(~settled)
-    go = go[np.argsort(part[go].astype(np.uint16) if n_parts < 1 << 16 else part[go], kind="stable")]
-    starts, counts = _runs(part[go].astype(np.int64))
+class _Entries(NamedTuple):
+    """Hashes with their part and place; ordinals count into docs and tags. What is settled is found already, and has no hash."""
+
+    part: np.ndarray
+    keys: np.ndarray
+    ordinal: np.ndarray
+    place: np.ndarray
+    docs: np.ndarray
+    tags: np.ndarray
+    settled: tuple[np.ndarray, ...] = ()
+
+
+def _anchors_settled(e: _Entries, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places that share their hash are hits. One of them goes on, a grid block if there is one, so that other batches meet it."""
+    order = np.argsort(whole, kind="stable")
+    starts, counts = _runs(whole[order].view(np.int64))
+    n, block = len(order), e.place[order] % BLOCK == 0
+    firsts = np.minimum.reduceat(np.where(block, 0, n) + np.arange(n), starts) % n if n else starts
+    settled = np.zeros(n, bool)
+    settled[order] = np.repeat(counts > 1, counts)
+    return settled, np.sort(order[firsts])
+
+
+def _windows_settled(e: _Entries, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents after the smallest with a window are found; the smallest's places go on."""
+    doc = e.docs[e.ordinal]
+    order = np.lexsort((doc, whole))
+    starts, counts = _runs(whole[order].view(np.int64))
+    settled = np.zeros(len(order), bool)
+    settled[order] = doc[order] > np.repeat(doc[order[starts]], counts)
+    return settled, np.flatnonzero(~settled)
+
+
+class _Kind(NamedTuple):
+    key_bytes: int
+    settled: Callable
+    hit: Callable
+
+
+def _sent(e: _Entries, kind: _Kind, whole: np.ndarray, n_parts: int, groups: int = 1) -> pa.RecordBatch:
+    """Entries combined and dealt: one row for each part, or for each ``groups`` parts in a row, whose numbers then travel along."""
+    settled, go = kind.settled(e, whole)
+    row = e.part[go] // groups
+    go = go[np.argsort(row.astype(np.uint16) if n_parts // groups < 1 << 16 else row, kind="stable")]
+    starts, counts = _runs(e.part[go].astype(np.int64) // groups)
     rows: dict[int, list[bytes]] = {}
     for a, n in zip(starts.tolist(), counts.tolist(), strict=True):
         at = go[a : a + n]
-        rows[int(part[at[0]])] = [planes(keys[at], key_bytes), *_packed(ordinal[at], place[at], docs, tags), b"", b"", b"", b""]
+        within = planes(e.part[at] % groups, 2) if groups > 1 else b""
+        rows[int(e.part[at[0]]) // groups] = [planes(e.keys[at], kind.key_bytes) + within, *_packed(e.ordinal[at], e.place[at], e.docs, e.tags), b"", b"", b"", b""]
     done = np.flatnonzero(settled)
-    if len(done):
-        home = int(docs[ordinal[done[0]]] % n_parts)
-        rows.setdefault(home, [b""] * 9)[5:] = _packed(ordinal[done], place[done], docs, tags)
+    found = e.docs[e.ordinal[done]], e.tags[e.ordinal[done]], e.place[done]
+    if e.settled:
+        found = tuple(np.concatenate(x) for x in zip(found, e.settled, strict=True))
+    if len(found[0]):
+        order = np.lexsort((found[2], found[1], found[0]))
+        docs, tags, place = (x[order] for x in found)
+        new = np.append(True, (np.diff(docs) != 0) | (np.diff(tags) != 0))
+        home = int(docs[0] % (n_parts // groups))
+        rows.setdefault(home, [b""] * 9)[5:] = _packed(np.cumsum(new) - 1, place, docs[new], tags[new])
     columns = [pa.array(list(rows), pa.int32()), *(pa.array([r[k] for r in rows.values()], pa.binary()) for k in range(9))]
     return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _SENT.split(", ")])
 
 
+def _received(table: pa.Table | pa.RecordBatch, key_bytes: int, groups: int = 1) -> _Entries:
+    """The entries of rows from ``_sent``."""
+    blobs = lambda *names: list(zip(*([x.as_py() for x in table.column(n)] for n in names), strict=True))
+    narrow = "<u4" if key_bytes == 4 else "<u8"
+    keys, parts = [], []
+    for part, blob in blobs("part", "keys"):
+        n = len(blob) // (key_bytes + 2 * (groups > 1))
+        keys.append(unplaned(blob[: n * key_bytes], key_bytes).astype(narrow))
+        if groups > 1:
+            parts.append(part * groups + unplaned(blob[n * key_bytes :], 2).astype(np.int64))
+    docs, tags, ordinal, place = _joined(blobs("docs", "tags", "counts", "places"))
+    d, t, o, p = _joined(blobs("s_docs", "s_tags", "s_counts", "s_places"))
+    return _Entries(np.concatenate(parts) if parts else np.zeros(0, np.int64), np.concatenate(keys), ordinal, place, docs, tags, (d[o], t[o], p))
+
+
 def _by_document(doc: np.ndarray, tag: np.ndarray, place: np.ndarray) -> pa.Table:
     order = np.lexsort((place, tag, doc))
     doc, tag, place = doc[order], tag[order], place[order].astype("<u4")
@@ -109,26 +175,22 @@ def _by_document(doc: np.ndarray, tag: np.ndarray, place: np.ndarray) -> pa.Tabl
     return pa.table({"doc": pa.array(doc[cut], pa.int64()), "tag": pa.array(tag[cut].astype(np.int32)), "places": pa.array(blobs, pa.binary())})
 
 
-def _reduced(table: pa.Table, key_bytes: int, hit: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> pa.Table:
+def _reduced(table: pa.Table, kind: _Kind) -> pa.Table:
     """One part: entries of equal keys side by side, those that ``hit`` picks, and the settled ones.
 
     An entry takes 12 to 16 bytes and its place in the sort. Keys that come once, nearly all, go before anything else.
     """
-    blobs = lambda *names: list(zip(*([x.as_py() for x in table.column(n)] for n in names), strict=True))
-    narrow = "<u4" if key_bytes == 4 else "<u8"
-    keys = np.concatenate([unplaned(k, key_bytes).astype(narrow) for (k,) in blobs("keys")])
-    docs, tags, ordinal, place = _joined(blobs("docs", "tags", "counts", "places"))
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
+    e = _received(table, kind.key_bytes)
+    order = np.argsort(e.keys, kind="stable")
+    keys = e.keys[order]
     shared = np.zeros(len(keys), bool)
     shared[1:] = keys[1:] == keys[:-1]
     shared[:-1] |= shared[1:]
     order, keys = order[shared], keys[shared]
     starts, counts = _runs(keys.astype(np.uint64).view(np.int64))
-    picked = order[hit(docs[ordinal[order]], place[order], starts, counts)] if len(order) else order
-    found = docs[ordinal[picked]], tags[ordinal[picked]], place[picked]
-    docs, tags, ordinal, place = _joined(blobs("s_docs", "s_tags", "s_counts", "s_places"))
-    return _by_document(*(np.concatenate(x) for x in zip(found, (docs[ordinal], tags[ordinal], place), strict=True)))
+    picked = order[kind.hit(e.docs[e.ordinal[order]], e.place[order], starts, counts)] if len(order) else order
+    found = e.docs[e.ordinal[picked]], e.tags[e.ordinal[picked]], e.place[picked]
+    return _by_document(*(np.concatenate(x) for x in zip(found, e.settled, strict=True)))
 
 
 def _anchor_hit(doc: np.ndarray, place: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -149,33 +211,17 @@ def _window_starts(h: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.nd
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + offsets[ordinal], ordinal
 
 
-def _anchors(batch: pa.RecordBatch, n_parts: int) -> pa.RecordBatch | None:
+def _anchors(batch: pa.RecordBatch, n_parts: int) -> _Entries | None:
     docs, tags = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("_doc", "_tag"))
     h, offsets = word_hashes(list(texts_of(batch.column("_text"))))
     at, ordinal = _window_starts(h, offsets, BLOCK)
     if not len(at):
         return None
-    place, key = at - offsets[ordinal], mixed(rolling(h, BLOCK, _R1)[at])
-    order = np.argsort(key, kind="stable")
-    starts, counts = _runs(key[order].view(np.int64))
-    block = place[order] % BLOCK == 0
-    local = np.repeat(np.maximum.reduceat(block, starts) & (counts > 1), counts)
-    # of a hash that is settled here, one block goes on, so that other batches meet it
-    firsts = np.full(len(starts), len(order))
-    np.minimum.at(firsts, np.repeat(np.arange(len(starts)), counts)[block], np.flatnonzero(block))
-    settled = np.zeros(len(order), bool)
-    settled[order] = local
-    extra = order[firsts[(counts > 1) & (firsts < len(order))]]
-    extra.sort()
-    # settled places stay settled; their representatives travel as further entries
-    pick = np.sort(np.concatenate([np.arange(len(at)), extra]), kind="stable")
-    again = np.zeros(len(pick), bool)
-    again[1:] = pick[1:] == pick[:-1]
-    part = (key[pick] >> np.uint64(40)) % np.uint64(n_parts)
-    return _sent(part, key[pick], 4, ordinal[pick], place[pick], settled[pick] & ~again, docs, tags, n_parts)
-
-
-def _candidates(batch: pa.RecordBatch, n_parts: int) -> pa.RecordBatch | None:
+    key = mixed(rolling(h, BLOCK, _R1)[at])
+    return _Entries((key >> np.uint64(40)).astype(np.int64) % n_parts, key, ordinal, at - offsets[ordinal], docs, tags)
+
+
+def _candidates(batch: pa.RecordBatch, n_parts: int) -> _Entries | None:
     batch = batch.filter(batch.column("_places").is_valid())
     docs, tags = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("_doc", "_tag"))
     h, offsets = word_hashes(list(texts_of(batch.column("_text"))))
@@ -192,32 +238,51 @@ def _candidates(batch: pa.RecordBatch, n_parts: int) -> pa.RecordBatch | None:
     at, ordinal = at[chosen], ordinal[chosen]
     if not len(at):
         return None
-    place, key = at - offsets[ordinal], mixed(rolling(h, WINDOW, _R1)[at])
-    part = mixed(rolling(h, WINDOW, _R2)[at]) % np.uint64(n_parts)
-    order = np.lexsort((docs[ordinal], key))
-    starts, counts = _runs(key[order].view(np.int64))
-    settled = np.zeros(len(order), bool)
-    settled[order] = docs[ordinal[order]] > np.repeat(docs[ordinal[order[starts]]], counts)
-    return _sent(part, key, 8, ordinal, place, settled, docs, tags, n_parts)
+    key, part = mixed(rolling(h, WINDOW, _R1)[at]), mixed(rolling(h, WINDOW, _R2)[at]) % np.uint64(n_parts)
+    return _Entries(part.astype(np.int64), key, ordinal, at - offsets[ordinal], docs, tags)
+
+
+ANCHORS, WINDOWS = _Kind(4, _anchors_settled, _anchor_hit), _Kind(8, _windows_settled, _later_hit)
+
 
+def _mapped(df: DataFrame, rows: Callable[[pa.RecordBatch, int], _Entries | None], n_parts: int, kind: _Kind) -> DataFrame:
+    """Places found, by document: entries of batches dealt to parts, and each part settled."""
+    groups = -(-n_parts // FAN)
+    n_parts = groups * -(-n_parts // groups)
 
-def _mapped(df: DataFrame, rows: Callable[[pa.RecordBatch, int], pa.RecordBatch | None], n_parts: int, key_bytes: int, hit) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone(__name__)
         for batch in batches:
-            if batch.num_rows and (out := rows(batch, n_parts)) is not None:
-                yield out
+            if batch.num_rows and (e := rows(batch, n_parts)) is not None:
+                yield _sent(e, kind, e.keys, n_parts, groups)
+        trim()
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(__name__)
+        held: list[pa.RecordBatch] = []
+        for batch in chain(batches, [None]):
+            if held and (batch is None or sum(b.nbytes for b in held) > 6 * PART_ENTRIES):
+                e = _received(pa.Table.from_batches(held), kind.key_bytes, groups)
+                yield _sent(e, kind, e.keys.astype(np.uint64) ^ mixed(e.part.astype(np.uint64)), n_parts)
+                held = []
+            if batch is not None and batch.num_rows:
+                held.append(batch)
         trim()
 
     def settle(table: pa.Table) -> pa.Table:
         trim()
-        return _reduced(table, key_bytes, hit)
+        return _reduced(table, kind)
 
-    return df.mapInArrow(send, _SENT).groupBy("part").applyInArrow(settle, _FOUND)
+    dealt = df.mapInArrow(send, _SENT)
+    if groups > 1:
+        dealt = dealt.repartition("part").mapInArrow(again, _SENT)
+    return dealt.groupBy("part").applyInArrow(settle, _FOUND)
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The keyed input, and for each (_doc, _tag) with repeats the starts of windows found in a smaller document too."""
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise ValueError(f"{key} must be a whole number: smaller ids keep what later ones lose")
     bounded_batches(docs.sparkSession)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     tag = F.xxhash64(F.col(text)).bitwiseAND(F.lit(0xFFFF)).cast("int")
@@ -225,11 +290,11 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     n_parts = max(32, int(size / 6 / PART_ENTRIES) + 1)
     able = F.col("_doc").isNotNull() & (F.octet_length("_text") >= 2 * WINDOW - 1)
-    hits = _mapped(keyed.where(able).select("_doc", "_tag", "_text"), _anchors, n_parts, 4, _anchor_hit)
+    hits = _mapped(keyed.where(able).select("_doc", "_tag", "_text"), _anchors, n_parts, ANCHORS)
     hits = staged(hits).groupBy("doc", "tag").agg(F.collect_list("places").alias("_places"))
     # The same left join as the last one: its exchange of the texts is then used twice. Rows without hits end in the worker.
-    met = keyed.join(hits.hint("shuffle_hash"), (F.col("_doc") == F.col("doc")) & (F.col("_tag") == F.col("tag")), "left")
-    found = _mapped(met.select("_doc", "_tag", "_text", "_row", "_places"), _candidates, n_parts, 8, _later_hit)
+    met = keyed.join(hits, (F.col("_doc") == F.col("doc")) & (F.col("_tag") == F.col("tag")), "left")
+    found = _mapped(met.select("_doc", "_tag", "_text", "_row", "_places"), _candidates, n_parts, WINDOWS)
     return keyed, found.groupBy("doc", "tag").agg(F.collect_list("places").alias("_places"))
 
 
@@ -260,7 +325,7 @@ def without(text: bytes, blobs: list[bytes] | None) -> tuple[bytes, int, int, st
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with repeated passages cut out of ``text``, and a struct ``_dedup`` (n_words, n_removed, kept_sha256)."""
     keyed, found = repeats(docs, key, text)
-    joined = keyed.join(found.hint("shuffle_hash"), (F.col("_doc") == F.col("doc")) & (F.col("_tag") == F.col("tag")), "left")
+    joined = keyed.join(found, (F.col("_doc") == F.col("doc")) & (F.col("_tag") == F.col("tag")), "left")
     joined = joined.select("_doc", "_tag", "_text", "_row", "_places")
     result = T.StructType([T.StructField("_text", T.StringType()), joined.schema["_row"], *T._parse_datatype_string("n_words long, n_removed long, kept_sha256 string")])
 
