@@ -142,7 +142,7 @@ def test_html_page():
     assert html.main_text(PAGE) == "The title & more\n\nFirst paragraph with some words in it, and a line break.\n\nSecond paragraph of the story; it goes on for a while <here>.\n\nShort."
 
 
-@pytest.mark.parametrize("page", ["", "<", "<p", "<!--", "<script>x", "&am", "<p>&am", "</p></div>", "<a><b></a>", '<p title="open>x', "<>", "text only", "<p>" * 3000, "<div>" * 2000 + "x"])
+@pytest.mark.parametrize("page", ["", "<", "<p", "<!--", "<script>x", "&am", "<p>&am", "</p></div>", "<a><b></a>", '<p title="open>x', "<>", "text only", "<p>" * 3000, "<div>" * 2000 + "x", "<div>" * 20_000 + "x" + "</div>" * 20_000])
 def test_html_broken_markup(page):
     assert isinstance(html.main_text(page), str)
 
@@ -168,6 +168,66 @@ def test_html_minimum_cut_is_minimal():
         assert cost(html.minimum_cut(terminals, edges)) == best
 
 
+def labelled(page, odds=html.FIXED):
+    """Text of each block, whether the cut keeps it, and whether its own costs alone would."""
+    found, terminals, edges = html.network(page, odds)
+    return [(b.text, kept, own > 0) for b, kept, own in zip(found, html.minimum_cut(terminals, edges), terminals, strict=False)]
+
+
+LONG = "A paragraph of the story that goes on for some time and says what happened, to whom and why."
+
+
+def test_html_cut_decides_unmarked_blocks():
+    """A short line among paragraphs, and a sentence among links, go with those around them."""
+    story = labelled(f"<div>{LONG}</div><div>Later that day</div><div>{LONG}</div><div>{LONG}</div>")
+    assert [kept for _, kept, _ in story] == [True] * 4 and not story[1][2]
+    links = "".join(f'<li><a href="/{w}">{w}</a></li>' for w in ("Home", "World", "Sport", "Money"))
+    menu = labelled(f"<ul>{links}<li>More of today's news.</li>{links}</ul><div>{LONG}</div><div>{LONG}</div>")
+    assert [(t, own) for t, kept, own in menu if kept] == [(LONG, True)] * 2 and ("More of today's news.", False, True) in menu
+    # what is marked clearly doesn't go with the others
+    assert [kept for _, kept, _ in labelled(f"<article><p>{LONG}</p><div class='ad'>{LONG}</div><p>{LONG}</p></article>")] == [True, False, True]
+
+
+def test_html_pages_by_brute_force():
+    """Of all labellings of a page's blocks and elements none is cheaper than the one that the text comes from."""
+    rng, differ = random.Random(5), 0
+    for _ in range(120):
+        def part(depth=0):
+            text = rng.choice([LONG, "Later that day", "Ok.", "x", '<a href="/">Home</a>', '<a href="/">A link of some length</a> and more', ""])
+            tag = rng.choice(["div", "p", "li", "section", "aside", "article", 'div class="post"'])
+            inner = text + (part(depth + 1) + rng.choice(["", "tail"]) if depth < 1 and rng.random() < 0.5 else "")
+            return f"<{tag}>{inner}</{tag.split()[0]}>"
+
+        page = "".join(part() for _ in range(rng.randint(1, 4)))
+        found, terminals, edges = html.network(page)
+        n = len(terminals)
+        if n > 13:
+            continue
+        pairs = [(a, b, c) for a in edges for b, c in edges[a].items() if a < b]
+        cost = lambda side: sum(c for a, b, c in pairs if side[a] != side[b]) + sum(max(-t, 0) if s else max(t, 0) for s, t in zip(side, terminals, strict=True))  # noqa: B023, E731
+        sides = [[bool(m >> i & 1) for i in range(n)] for m in range(1 << n)]
+        best = min(sides, key=lambda side: (cost(side), sum(side)))  # of equal ones the least content
+        text = "\n\n".join(b.text for b, kept in zip(found, best, strict=False) if kept)
+        assert cost(html.minimum_cut(terminals, edges)) == cost(best)
+        if sum(cost(s) == cost(best) for s in sides) == 1:
+            assert html.main_text(page) == text
+            differ += any(kept != (own > 0) for kept, own in zip(best, terminals[: len(found)], strict=False))
+    assert differ >= 10
+
+
+def test_html_look_is_learned(spark):
+    def page(i):
+        nav = "".join(f"<li><a href='/'>{w}</a></li>" for w in ("Home", "World", "Sport"))
+        return f"<nav><ul>{nav}</ul></nav><article><p>{LONG} {i}.</p><p>{LONG} {i}.</p></article><footer>short {i}</footer>"
+
+    pages = spark.createDataFrame([(i, page(i % 90)) for i in range(400)], "page_id long, html string")
+    odds = html.learn(pages)
+    assert odds["links3"] < -2 < 0 < odds["sentence1"] and odds["length7"] > 1 > odds["length4"] and odds == html.learn(pages.repartition(7))
+    assert html.learn(pages, sample_pages=3) == html.learn(pages.limit(0)) == html.FIXED
+    none = spark.createDataFrame([(1, None)], "page_id long, html string")
+    assert html.learn(none) == html.FIXED
+
+
 def test_html_odd_pages(spark):
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (None, "u", PAGE, None), (4, "u", "<article><p>" + "word " * 40_000, "x"), (4, "u", "<p>a</p>", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

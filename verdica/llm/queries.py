@@ -38,7 +38,8 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extracted(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return html.extracted(pages, html.learn(pages))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
