@@ -182,7 +182,10 @@ def test_teacher_orders(spark):
 
 
 def test_significance(spark):
-    assert analysis.exact_binomial(0, 0) == 1 and analysis.exact_binomial(5, 0) == pytest.approx(2 / 32) and analysis.exact_binomial(3, 3) == 1
+    pairs = [(0, 0), (5, 0), (3, 3), (7, 30), (400, 310), (900, 1100)]
+    chances = spark.createDataFrame(pairs, "x long, y long").select("x", "y", analysis.exact_binomial(F.col("x"), F.col("y")).alias("p")).collect()
+    for x, y, p in chances:
+        assert p == pytest.approx(min(1, 2 * sum(math.comb(x + y, i) for i in range(min(x, y) + 1)) / 2 ** (x + y))), (x, y)
     rows = spark.createDataFrame([(i, int(i % 3 == 0), int(i % 4 == 0)) for i in range(120)], "id int, a int, b int")
     m = analysis.mcnemar(rows, "a", "b").first()
     assert (m["only_a"], m["only_b"]) == (30, 20) and 0 < m["p_value"] < 1

@@ -21,17 +21,20 @@ _EDGES = np.array([int(2**32 * sum(math.exp(-1) / math.factorial(i) for i in ran
 def mcnemar(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Discordant counts of two hit columns, and the exact two-sided binomial probability."""
     counts = rows.agg(F.count_if((F.col(a) == 1) & (F.col(b) == 0)).alias("only_a"), F.count_if((F.col(a) == 0) & (F.col(b) == 1)).alias("only_b"))
-    p = F.udf(lambda x, y: exact_binomial(x, y), "double")  # one row
-    return counts.withColumn("p_value", p("only_a", "only_b"))
+    return counts.withColumn("p_value", exact_binomial(F.col("only_a"), F.col("only_b")))
 
 
-def exact_binomial(x: int, y: int) -> float:
-    n, k = x + y, min(x, y)
-    if not n:
-        return 1.0
-    log2 = n * math.log(2)
-    terms = (math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - log2) for i in range(k + 1))
-    return min(1.0, 2 * math.fsum(terms))
+def exact_binomial(x: Column, y: Column) -> Column:
+    """Twice the chance of min(x, y) heads or fewer in x + y tosses, at most 1: each term from the one before, by logarithms."""
+    n, k = x + y, F.least(x, y)
+    first = n * F.lit(-math.log(2))
+
+    def add(acc: Column, i: Column) -> Column:
+        log_term = acc["log_term"] + F.log((n - i + 1).cast("double") / i)
+        return F.struct(log_term.alias("log_term"), (acc["total"] + F.exp(log_term)).alias("total"))
+
+    terms = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<long>"))
+    return F.least(F.lit(1.0), 2 * F.aggregate(terms, F.struct(first.alias("log_term"), F.exp(first).alias("total")), add)["total"])
 
 
 def paired(rows: DataFrame, a: str, b: str) -> DataFrame:

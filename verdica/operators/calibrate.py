@@ -8,6 +8,7 @@ from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field, fields
 from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from ..functions import probs as P
 from ..functions.arrays import item
 
 T_LOW, T_HIGH = 0.05, 50.0
-RIDGE, MAX_STEPS, MIN_GAIN = 1e-6, 100, 1e-14
+RIDGE, MAX_STEPS, HALVINGS, MIN_GAIN = 1e-6, 100, 34, 1e-14
 
 
 def nll_at(logits: Column, label: Column, t: Column | float) -> Column:
@@ -34,9 +35,9 @@ def grid_losses(df: DataFrame, temperatures: list[float]) -> dict[float, float]:
     return dict(zip(temperatures, row, strict=True))
 
 
-def fit_temperature(df: DataFrame, points: int = 16, passes: int = 6) -> float:
+def fit_temperature(df: DataFrame, points: int = 32, passes: int = 7) -> float:
     """The temperature of least mean log loss, by log. The loss has one minimum there, so each pass keeps the two
-    steps around the best point of an even grid: after six passes the bracket is narrower than a thousandth of a percent."""
+    steps around the best point of an even grid: after seven passes the bracket is narrower than one part in ten million."""
     df = df.select("logits", "label").persist()
     try:
         if df.isEmpty():
@@ -53,40 +54,41 @@ def fit_temperature(df: DataFrame, points: int = 16, passes: int = 6) -> float:
 
 
 def fit_platt(df: DataFrame) -> tuple[float, float]:
-    """(a, b) of sigmoid(a * margin + b) for columns ``margin`` and ``label`` by damped Newton steps.
+    """(a, b) of sigmoid(a * margin + b) of least mean log loss plus ridge, for columns ``margin`` and ``label``.
 
-    A step is one pass: loss, gradient and curvature are sums. Halved steps are tried together in one more pass.
+    Damped Newton steps. One pass gives the loss, its gradient and its curvature as means; a second one the losses of the
+    step and of its halves down to 2 ** -33, of which the first that doesn't rise is taken.
     """
-    if df.isEmpty():
-        raise ValueError("no calibration rows to fit on")
-    x, y = F.col("margin"), F.col("label")
+    df = df.select(F.col("margin").cast("double").alias("x"), F.col("label").cast("double").alias("y")).persist()
+    try:
+        if df.isEmpty():
+            raise ValueError("no calibration rows to fit on")
+        x, y = F.col("x"), F.col("y")
 
-    def loss(a: float, b: float) -> Column:
-        z = F.lit(a) * x + F.lit(b)
-        return F.sum(F.greatest(z, F.lit(0.0)) - z * y + F.log1p(F.exp(-F.abs(z))))
+        def losses(at: np.ndarray) -> Column:
+            z = F.transform(F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for a, b in at]), lambda p: p["a"] * x + p["b"])
+            return F.transform(z, lambda t: F.greatest(t, F.lit(0.0)) - t * y + F.log1p(F.exp(-F.abs(t))))
 
-    def ridge(a: float, b: float) -> float:
-        return RIDGE / 2 * (a * a + b * b)
+        def mean_losses(at: np.ndarray) -> np.ndarray:
+            rows = df.select(losses(at).alias("l")).agg(*[F.avg(F.get("l", F.lit(i))) for i in range(len(at))]).first()
+            return np.array(rows) + RIDGE / 2 * (at**2).sum(axis=1)
 
-    df = df.select(x.cast("double").alias("margin"), y.cast("double").alias("label")).cache()
-    try:
-        a, b = 1.0, 0.0
+        at = np.array([1.0, 0.0])
+        now = mean_losses(at[None])[0]
         for _ in range(MAX_STEPS):
-            p = P.sigmoid(F.lit(a) * x + F.lit(b))
-            w = p * (1 - p)
-            now, g0, g1, h00, h01, h11 = df.agg(loss(a, b), F.sum((p - y) * x), F.sum(p - y), F.sum(w * x * x), F.sum(w * x), F.sum(w)).first()
-            now, g0, g1, h00, h11 = now + ridge(a, b), g0 + RIDGE * a, g1 + RIDGE * b, h00 + RIDGE, h11 + RIDGE
-            det = h00 * h11 - h01 * h01
-            da, db = (h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det
-            tries = [(a - da / 2**k, b - db / 2**k) for k in range(12)]
-            found = df.agg(*[loss(*t) for t in tries]).first()
-            better = next(((t, v + ridge(*t)) for t, v in zip(tries, found, strict=True) if v + ridge(*t) <= now), None)
-            if better is None:
+            p = P.sigmoid(F.lit(float(at[0])) * x + F.lit(float(at[1])))
+            miss, spread = p - y, p * (1 - p)
+            g0, g1, h00, h01, h11 = df.agg(*[F.avg(c) for c in (miss * x, miss, spread * x * x, spread * x, spread)]).first()
+            step = np.linalg.solve(np.array([[h00, h01], [h01, h11]]) + RIDGE * np.eye(2), np.array([g0, g1]) + RIDGE * at)
+            tries = at - step / 2.0 ** np.arange(HALVINGS)[:, None]
+            found = mean_losses(tries)
+            lower = np.flatnonzero(found <= now)
+            if not len(lower):
                 break
-            (a, b), new = better
-            if now - new < MIN_GAIN:
+            at, gain, now = tries[lower[0]], now - found[lower[0]], found[lower[0]]
+            if gain < MIN_GAIN:
                 break
-        return a, b
+        return float(at[0]), float(at[1])
     finally:
         df.unpersist()
 

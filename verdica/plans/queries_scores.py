@@ -38,9 +38,9 @@ def exploded(df: DataFrame, column: Column, name: str) -> DataFrame:
     return df.select("vec_id", F.posexplode(column).alias("k", name)).withColumn(name, F.round(name, 6))
 
 
-def long(first: int, n: int | str, name: str = "z") -> str:
+def long(first: int, n: int | str, name: str = "z", where: str = "true") -> str:
     """SQL: one row a logit."""
-    return f"{name} AS (SELECT vec_id, label, (i - {first})::INT AS k, embedding[i]::DOUBLE AS x FROM embeddings, range({first}, {first} + 64) AS r(i) WHERE i < {first} + {n})"
+    return f"{name} AS (SELECT vec_id, label, (i - {first})::INT AS k, embedding[i]::DOUBLE AS x FROM embeddings, range({first}, {first} + 64) AS r(i) WHERE i < {first} + {n} AND {where})"
 
 
 def soft(src: str = "z", name: str = "p", t: str = "1.0") -> str:
@@ -93,8 +93,8 @@ def confidence(spark, sf):
     return with_probs(spark, sf).select("vec_id", F.round(P.confidence(F.col("probs")), 6).alias("confidence"), P.valid(F.col("probs"), F.lit(10)).alias("valid"))
 
 
-def _metric_sql(n: int | str, labels: str, extra: str = "") -> str:
-    return f"""WITH {long(1, n)}, {soft()}, {TOP},
+def _metric_sql(n: int | str, labels: str, extra: str = "", where: str = "true", t: str = "1.0") -> str:
+    return f"""WITH {long(1, n, where=where)}, {soft(t=t)}, {TOP},
 rows AS (
     SELECT vec_id, {labels} AS y, sum((p - (k = {labels})::INT) ** 2) AS brier, max(CASE WHEN k = {labels} THEN p END) AS py, sum(k * p) AS expected FROM p GROUP BY vec_id, label
 ),
@@ -193,19 +193,47 @@ def _parts(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     return raw(spark, sf, n=n).select(F.lit("run").alias("run_id"), F.lit(kind).alias("kind"), F.lit("letter").alias("stage"), F.when(F.col("vec_id") % 2 == 0, "calib").otherwise("test").alias("split"), (F.col("label") % n).cast("int").alias("label"), "logits", F.lit(None).cast("array<array<double>>").alias("cycle_logits"))
 
 
-@query()
+def _temperature_sql(passes: int = 8, points: int = 33) -> str:
+    """SQL: grids of temperatures by log, each around the best of the one before; ``fitted`` has the last's middle."""
+    parts = [long(1, 10, "zc", "vec_id % 2 = 0"), "c AS MATERIALIZED (SELECT vec_id, x - max(x) OVER (PARTITION BY vec_id) AS x, k = label % 10 AS gold FROM zc)", "b0 AS (SELECT ln(0.05) AS low, ln(50.0) AS high)"]
+    for i in range(1, passes + 1):
+        parts += [
+            f"g{i} AS MATERIALIZED (SELECT i, low + (high - low) * i / {points - 1}.0 AS lt FROM b{i - 1}, range(0, {points}) AS r(i))",
+            f"l{i} AS MATERIALIZED (SELECT i, avg(nll) AS nll FROM (SELECT i, vec_id, ln(sum(exp(x / exp(lt)))) - sum(CASE WHEN gold THEN x / exp(lt) ELSE 0 END) AS nll FROM c, g{i} GROUP BY i, vec_id) GROUP BY i)",
+            f"n{i} AS MATERIALIZED (SELECT first(i ORDER BY nll, i) AS best FROM l{i})",
+            f"b{i} AS MATERIALIZED (SELECT min(lt) AS low, max(lt) AS high FROM g{i}, n{i} WHERE i BETWEEN best - 1 AND best + 1)",
+        ]
+    return ", ".join([*parts, f"fitted AS MATERIALIZED (SELECT exp((low + high) / 2) AS t FROM b{passes})"])
+
+
+def _platt_sql(steps: int = 15) -> str:
+    """SQL: Newton steps, one after the other; ``w{steps}`` has the last's a and b."""
+    parts = ["m AS MATERIALIZED (SELECT embedding[1]::DOUBLE - embedding[2]::DOUBLE AS x, label % 2 AS y FROM embeddings WHERE vec_id % 2 = 0)", "w0 AS (SELECT 1.0::DOUBLE AS a, 0.0::DOUBLE AS b)"]
+    for i in range(1, steps + 1):
+        means = f"avg((p - y) * x) + {calibrate.RIDGE} * a AS g0, avg(p - y) + {calibrate.RIDGE} * b AS g1, avg(p * (1 - p) * x * x) + {calibrate.RIDGE} AS h00, avg(p * (1 - p) * x) AS h01, avg(p * (1 - p)) + {calibrate.RIDGE} AS h11"
+        parts += [
+            f"s{i} AS MATERIALIZED (SELECT a, b, {means} FROM (SELECT *, {SIG.format('(a * x + b)')} AS p FROM m, w{i - 1}) GROUP BY a, b)",
+            f"w{i} AS MATERIALIZED (SELECT a - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS a, b - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b FROM s{i})",
+        ]
+    return ", ".join([*parts, f"fitted AS (SELECT a, b FROM w{steps})"])
+
+
+@query(f"WITH {_temperature_sql()} SELECT 'choice' AS kind, round(t, 4) AS temperature FROM fitted")
 def fit_temperature(spark, sf):
     cal = calibrate.fit_calibrator(_parts(spark, sf, "choice"), "run")
     return spark.createDataFrame([("choice", round(cal.choice_T, 4))], "kind string, temperature double")
 
 
-@query()
+@query(f"WITH {_platt_sql()} SELECT 'noul' AS kind, round(a, 4) AS a, round(b, 4) AS b FROM fitted")
 def fit_platt(spark, sf):
     cal = calibrate.fit_calibrator(_parts(spark, sf, "noul"), "run")
     return spark.createDataFrame([("noul", round(cal.noul_a, 4), round(cal.noul_b, 4))], "kind string, a double, b double")
 
 
-@query()
+@query(
+    f"WITH {_temperature_sql()} SELECT *, 'raw' AS form FROM ({_metric_sql(10, 'label', where='vec_id % 2 = 1')}) "
+    f"UNION ALL SELECT *, 'calibrated' AS form FROM ({_metric_sql(10, 'label', where='vec_id % 2 = 1', t='(SELECT t FROM fitted)')})"
+)
 def calibrated_report(spark, sf):
     """Fit on one half, measure on the other: raw and calibrated side by side."""
     rows = _parts(spark, sf, "choice")
@@ -347,9 +375,13 @@ def mcnemar_counts(spark, sf):
     return analysis.mcnemar(_pairs(spark, sf), "a", "b").select("only_a", "only_b")
 
 
-@query()
+@query(
+    f"""WITH {_PAIRS}, c AS (SELECT count(*) FILTER (WHERE a = 1 AND b = 0) AS only_a, count(*) FILTER (WHERE a = 0 AND b = 1) AS only_b FROM h),
+t AS (SELECT *, only_a + only_b AS n, unnest(range(0, least(only_a, only_b) + 1)) AS i FROM c)
+SELECT only_a, only_b, round(least(1, 2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)))), 6) AS p_value FROM t GROUP BY only_a, only_b"""
+)
 def mcnemar_test(spark, sf):
-    return analysis.mcnemar(_pairs(spark, sf), "a", "b")
+    return rounded(analysis.mcnemar(_pairs(spark, sf), "a", "b"))
 
 
 @query()
