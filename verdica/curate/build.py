@@ -71,29 +71,34 @@ def select_rows(items: DataFrame, quotas: DataFrame, seed: str, group: list[str]
 
 
 def select_greedy(items: DataFrame, quotas: dict[str, int], seed: str, group: str) -> DataFrame:
-    """Sequential form, exact: rows in seeded order; one is taken if its key is free and its class has room.
+    """Sequential form, exact: rows in seeded order; one is taken if its key is free and its class has room. Adds ``taken``.
 
-    A source's ids, classes and key digests (no texts) come as one Arrow group: the greedy order has no parallel form
-    there. Sources too large for a worker take ``select_rows`` or, for keys alone, ``guards.independent_rows``.
+    What can matter is bounded by the quotas, not by the source. Of a class only first rows of a key can be taken, and each
+    of these is, unless the class is full or another class has taken the key. Other classes take no more keys than their
+    quotas, so a class is full before as many of its keys have come as all quotas sum to. Those first keys of each class
+    are found by ranks; the loop runs over them alone, one task a group.
     """
-    schema = items.select("id", "cls", "key", group).schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ") + ", taken boolean"
+    most = sum(max(n, 0) for n in quotas.values())
+    firsts = items.where(F.col("cls").isin([c for c, n in quotas.items() if n > 0])).select("id", "cls", "key", group, order_key(seed, F.col("id")).alias("_o"))
+    firsts = firsts.groupBy(group, "cls", "key").agg(F.min(F.struct("_o", "id")).alias("_first")).select(group, "cls", "key", "_first.*")
+    rank = F.row_number().over(Window.partitionBy(group, "cls").orderBy("_o", "id"))
+    near = firsts.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         left, used, taken = dict(quotas), set(), []
-        for cls, k in zip(frame["cls"], frame["key"], strict=True):
-            ok = k not in used and left.get(cls, 0) > 0
+        ordered = frame.sort_values(["_o", "id"])
+        for cls, k in zip(ordered["cls"], ordered["key"], strict=True):
+            ok = k not in used and left[cls] > 0
             if ok:
                 used.add(k)
                 left[cls] -= 1
             taken.append(ok)
-        return frame.assign(taken=taken)[["id", "cls", "key", group, "taken"]]
+        return pd.DataFrame({"_group": ordered[group], "_id": ordered["id"]})[taken]
 
-    ordered = items.select("id", "cls", "key", group, order_key(seed, F.col("id")).alias("_o"))
-
-    def by_order(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return run(key, frame.sort_values(["_o", "id"]))
-
-    return ordered.groupBy(group).applyInPandas(by_order, schema)
+    kinds = {f.name: f.dataType.simpleString() for f in items.schema}
+    chosen = near.groupBy(group).applyInPandas(run, f"_group {kinds[group]}, _id {kinds['id']}")
+    joined = items.join(chosen, F.col(group).eqNullSafe(F.col("_group")) & (F.col("id") == F.col("_id")), "left")
+    return joined.withColumn("taken", F.col("_id").isNotNull()).drop("_group", "_id")
 
 
 def summary(rows: DataFrame) -> DataFrame:

@@ -86,17 +86,24 @@ def choice_rows(rows: DataFrame, seed: str, key: str, gold: str, labels: Column)
 def neighbours(labels: DataFrame, name: str = "name", order: str = "ord", keep: int = NEIGHBOURS) -> DataFrame:
     """(name, neighbour, similarity, rank): the most similar names by Jaccard overlap of trigrams; ties keep label order.
 
-    Names meet on the trigrams they share, so only pairs with something in common are formed; label sets of a few
-    hundred names pad the rest by order where fewer than ``keep`` share any.
+    Names meet on the trigrams they share, so only pairs with something in common are formed. Where a name has fewer than
+    ``keep`` of these, the first names by order follow; twice ``keep`` names and one are enough to choose from.
     """
     each = labels.select(F.col(name).alias("a"), F.col(order).alias("i"), F.explode(T.trigrams(F.col(name))).alias("g"))
     sizes = each.groupBy("a", "i").agg(F.count(F.lit(1)).alias("n"))
     other = each.select(F.col("a").alias("b"), F.col("i").alias("j"), "g")
     shared = each.join(other, "g").where("i <> j").groupBy("a", "i", "b", "j").agg(F.count(F.lit(1)).alias("both"))
-    all_pairs = sizes.crossJoin(F.broadcast(sizes.select(F.col("a").alias("b"), F.col("i").alias("j"), F.col("n").alias("m")))).where("i <> j")
-    scored = all_pairs.join(shared.select("i", "j", "both"), ["i", "j"], "left").withColumn("similarity", F.coalesce("both", F.lit(0)) / (F.col("n") + F.col("m") - F.coalesce("both", F.lit(0))))
-    rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("similarity"), "j"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= keep).select(F.col("a").alias("name"), F.col("b").alias("neighbour"), "similarity", "rank")
+    theirs = sizes.select(F.col("i").alias("j"), F.col("n").alias("m"))
+    scored = shared.join(sizes.select("i", "n"), "i").join(theirs, "j").select("a", "i", "b", "j", (F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("similarity"))
+    near = scored.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("similarity"), "j"))).where(F.col("rank") <= keep)
+    # bounded: 2 * keep + 1 names
+    first = [(r[order], r[name]) for r in labels.select(order, name).orderBy(order).limit(2 * keep + 1).collect()]
+    had = near.groupBy("i").agg(F.collect_list("j").alias("js"))
+    lacking = sizes.join(had, "i", "left").select("a", "i", F.coalesce("js", F.array().cast(had.schema["js"].dataType)).alias("js")).where(F.size("js") < keep)
+    names = F.array(*[F.struct(F.lit(j).cast(labels.schema[order].dataType).alias("j"), F.lit(b).alias("b")) for j, b in first])
+    free = F.slice(F.filter(names, lambda x: (x["j"] != F.col("i")) & ~F.array_contains("js", x["j"])), F.lit(1), keep - F.size("js"))
+    padded = lacking.select("a", F.size("js").alias("n"), F.posexplode(free).alias("p", "x")).select("a", F.col("x.b").alias("b"), F.lit(0.0).alias("similarity"), (F.col("n") + F.col("p") + 1).cast("int").alias("rank")) if first else near.select("a", "b", "similarity", "rank")
+    return near.select("a", "b", "similarity", "rank").unionByName(padded).select(F.col("a").alias("name"), F.col("b").alias("neighbour"), "similarity", "rank")
 
 
 def wrong_label(seed: str, key: Column, gold: Column, labels: Column, siblings: Column) -> tuple[Column, Column]:

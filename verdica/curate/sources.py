@@ -65,9 +65,21 @@ SOURCES = {
 }
 
 
-def load(spark: SparkSession, source: str, path: str) -> DataFrame:
-    """A source's Parquet files, its columns only; missing ones are an error."""
-    rows = spark.read.parquet(path)
+def load(spark: SparkSession, source: str, path: str, split: str | None = None, revision: str | None = None) -> DataFrame:
+    """A source's Parquet files, its columns only; missing ones are an error.
+
+    ``revision`` names a folder below ``path`` that pins what was fetched; of a split either the folder of its name or the
+    files that begin with its name and a hyphen are read, whichever is there.
+    """
+    root = "/".join([path.rstrip("/"), *([revision] if revision else [])])
+    if split is None:
+        rows = spark.read.parquet(root)
+    else:
+        files = spark._jvm.org.apache.hadoop.fs.Path(root)
+        found = files.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, f"{{{split},{split}-*.parquet}}"))
+        if not found:
+            raise ValueError(f"{source}: no split {split} in {root}")
+        rows = spark.read.parquet(*[f.getPath().toString() for f in found])
     missing = [c for c in SOURCES[source].columns if c not in rows.columns]
     if missing:
         raise ValueError(f"{source}: columns {missing} are missing")
@@ -94,16 +106,22 @@ def _mention(tokens: Column, entity: Column) -> Column:
     return F.when(ok, F.array_join(F.transform(span, lambda i: F.get(tokens, i)), " "))
 
 
-def _mapped(texts: dict[str, Column], cls: Column, skip: Column | None = None, extra: dict[str, Column] | None = None) -> dict[str, Column]:
+def _mapped(texts: dict[str, Column], cls: Column, skip: Column | None = None, extra: dict[str, Column] | None = None, least: int = 1, short: str = "empty_text", last: Column | None = None) -> dict[str, Column]:
+    """Cleaned texts, class, key and the first reason to skip: ``skip``, no class, a text under ``least`` characters, ``last``."""
     cleaned = {k: T.clean(v.cast("string")) for k, v in texts.items()}
-    empty = F.coalesce(*[F.when(F.coalesce(v, F.lit("")) == "", F.lit("empty_text")) for v in cleaned.values()])
-    reason = F.coalesce(*([skip] if skip is not None else []), F.when(cls.isNull(), F.lit("unlabelled")), empty)
+    lacking = F.coalesce(*[F.when(F.length(F.coalesce(v, F.lit(""))) < least, F.lit(short)) for v in cleaned.values()])
+    reason = F.coalesce(*[x for x in (skip, F.when(cls.isNull(), F.lit("unlabelled")), lacking, last) if x is not None])
     return {**cleaned, "cls": cls.cast("string"), "skip_reason": reason, "keys": F.array(T.key(*cleaned.values())), **(extra or {})}
 
 
 c = F.col
 
 
+def _plain(name: str) -> Column:
+    """A text with written line breaks (backslash and n) as blanks."""
+    return T.clean(F.replace(c(name).cast("string"), F.lit("\\n"), F.lit(" ")))
+
+
 def _upper_share(x: Column) -> Column:
     letters = F.length(F.regexp_replace(x, r"[^\p{L}]", ""))
     return F.try_divide(F.length(F.regexp_replace(x, r"[^\p{Lu}]", "")), letters)
@@ -117,24 +135,24 @@ MAPPERS: dict[str, Callable[[], dict[str, Column]]] = {
     "scitail": lambda: _mapped({"premise": c("premise"), "hypothesis": c("hypothesis")}, F.when(c("label") == "entails", "entailment").when(c("label") == "neutral", "neutral")),
     "rte": lambda: _mapped({"premise": c("premise"), "hypothesis": c("hypothesis")}, _class(c("label"), ["entailment", "not_entailment"])),
     "squad_v2": lambda: _mapped({"passage": c("context"), "question": c("question")}, (F.size(c("answers.text")) > 0).cast("string")),
-    "pubmedqa": lambda: _mapped({"passage": F.array_join(c("context.contexts"), "\n"), "question": c("question")}, F.when(c("final_decision").isin("yes", "no"), (c("final_decision") == "yes").cast("string")), F.when(_upper_share(c("question")) > 0.5, "malformed_question")),
+    "pubmedqa": lambda: _mapped({"passage": F.array_join(F.transform(c("context.contexts"), T.clean), " "), "question": c("question")}, F.when(c("final_decision").isin("yes", "no"), (c("final_decision") == "yes").cast("string")), last=F.when(_upper_share(T.clean(c("question"))) > 0.5, "malformed_question")),
     "qnli": lambda: _mapped({"passage": c("sentence"), "question": c("question")}, F.when(c("label").isin(0, 1), (c("label") == 0).cast("string"))),
     "multirc": lambda: _mapped({"passage": c("paragraph"), "question": c("question"), "answer": c("answer")}, F.when(c("label").isin(0, 1), (c("label") == 1).cast("string")), extra={"limit": T.key(c("paragraph"))}),
     "paws": lambda: _mapped({"a": c("sentence1"), "b": c("sentence2")}, F.when(c("label").isin(0, 1), (c("label") == 1).cast("string"))),
     **{n: (lambda: _mapped({"text": T.unescape(c("text"))}, F.when(c("label").isin(0, 1), (c("label") == 1).cast("string")))) for n in ("tweet_offensive", "tweet_hate", "tweet_irony")},
-    "yahoo": lambda: _mapped({"text": F.concat_ws("\n", c("question_title"), F.when(T.strip(c("question_content")) != "", F.replace(c("question_content"), F.lit("\\n"), F.lit(" "))))}, F.when(c("topic") >= 0, c("topic"))),
-    "newsgroups": lambda: _mapped({"text": F.left(c("text"), F.lit(1200))}, c("label_text"), F.when(F.length(T.clean(c("text"))) < 20, "too_short")),
+    "yahoo": lambda: _mapped({"text": F.concat_ws("\n", _plain("question_title"), F.nullif(_plain("question_content"), F.lit("")))}, F.when(c("topic") >= 0, c("topic"))),
+    "newsgroups": lambda: _mapped({"text": F.left(T.clean(c("text")), F.lit(1200))}, c("label_text"), least=20),
     "dbpedia": lambda: _mapped({"text": c("content")}, F.when(c("label") >= 0, c("label")), extra={"title": T.clean(c("title"))}),
     "clinc": lambda: _mapped({"text": c("text")}, F.when(c("intent") >= 0, c("intent"))),
     **{n: (lambda: _mapped({"text": c("text")}, c("label_text"), extra={"keys": F.array(F.concat(F.lit("id:"), c("id").cast("string")), T.key(c("text")))})) for n in ("massive_intent", "massive_scenario")},
-    "trec": lambda: _mapped({"text": c("text")}, c("label_coarse_text"), extra={"fine": c("label_text")}),
-    "go_emotions": lambda: _mapped({"text": c("text")}, F.when(F.size("labels") > 0, F.array_join(c("labels").cast("array<string>"), ","))),
+    "trec": lambda: _mapped({"text": c("text")}, F.when(c("label_text").isNotNull(), c("label_coarse_text")), extra={"fine": c("label_text")}),
+    "go_emotions": lambda: _mapped({"text": c("text")}, F.when((F.size("labels") > 0) & F.forall("labels", lambda x: x >= 0), F.array_join(c("labels").cast("array<string>"), ","))),
     "emotion": lambda: _mapped({"text": c("text")}, F.when(c("label") >= 0, c("label"))),
     "amazon_reviews": lambda: _mapped({"text": c("text")}, F.when(c("label").between(0, 4), c("label"))),
     "tweet_sentiment": lambda: _mapped({"text": T.unescape(c("text"))}, F.when(c("label").between(0, 2), c("label"))),
-    "civil_comments": lambda: _mapped({"text": c("text")}, F.when(c("toxicity").isNotNull(), civil_level(c("toxicity")))),
-    "stsb": lambda: _mapped({"a": c("sentence1"), "b": c("sentence2")}, stsb_level(c("score"))),
-    "app_reviews": lambda: _mapped({"text": c("review")}, F.when(c("star").between(1, 5), c("star") - 1), F.when(F.length(T.clean(c("review"))) < 40, "too_short")),
+    "civil_comments": lambda: _mapped({"text": c("text")}, F.when(c("toxicity").between(0, 1), civil_level(c("toxicity")))),
+    "stsb": lambda: _mapped({"a": c("sentence1"), "b": c("sentence2")}, F.when(c("score").between(0, 1), stsb_level(c("score")))),
+    "app_reviews": lambda: _mapped({"text": c("review")}, F.when(c("star").between(1, 5), c("star") - 1), least=40, short="too_short"),
     "ledgar": lambda: _mapped({"text": c("text")}, F.when(c("label") >= 0, c("label"))),
     "hwu64": lambda: _mapped({"text": c("text")}, c("label")),
     "fewrel": lambda: _mapped({"text": F.array_join("tokens", " "), "head": _mention(c("tokens"), c("head")), "tail": _mention(c("tokens"), c("tail"))}, c("relation")),
@@ -147,8 +165,9 @@ def normalised(source: str, rows: DataFrame, key: str = "row") -> DataFrame:
         from ..functions.hashing import uniform
 
         at = F.floor(uniform("dialogue", F.col(key)) * F.size("utterances")).cast("int")
-        rows = rows.select(key, F.get("utterances", at).alias("text"), F.get("acts", at).alias("act"))
-        return rows.select(F.lit(source).alias("source"), key, *[v.alias(k) for k, v in _mapped({"text": c("text")}, F.when(c("act") >= 0, c("act"))).items()])
+        uneven = F.when((F.size("utterances") < 1) | (F.size("utterances") != F.size("acts")), "empty_text").alias("uneven")
+        rows = rows.select(key, F.get("utterances", at).alias("text"), F.get("acts", at).alias("act"), uneven)
+        return rows.select(F.lit(source).alias("source"), key, *[v.alias(k) for k, v in _mapped({"text": c("text")}, F.when(c("act") >= 0, c("act")), c("uneven"), least=2).items()])
     return rows.select(F.lit(source).alias("source"), key, *[v.alias(k) for k, v in MAPPERS[source]().items()])
 
 

@@ -15,8 +15,12 @@ FAMILY_TYPES = {"nli": "noul", "reading": "noul", "judgement": "noul", "ovr": "n
 
 
 def folder(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, which driver and executors share; where that is unset, a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/verdica-checkpoints"
+    """A fresh folder below spark.checkpoint.dir, which driver and executors share. Only a session on one machine may go without."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local-") and spark.sparkContext.master.startswith("local"):
+        base = "/tmp/verdica-checkpoints"
+    if not base:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/verdica-{uuid.uuid4().hex}"
 
 
