@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import os
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from verdica.curate import phrasing, sources, verify
-from verdica.operators import scoring
-from verdica.plans import teach
+from verdica.curate import build, examples, guards, phrasing, sources, verify
+from verdica.functions import hashing
+from verdica.operators import calibrate, scoring
+from verdica.plans import engine, teach
 from verdica.sources import nli
 
 
@@ -67,3 +73,68 @@ def test_teacher_file(spark, tmp_path):
     assert all(content[str(i)]["agree"] and content[str(i)]["label"] == 1 and len(content[str(i)]["per_order"]) == 2 for i in range(5))
     path = f"{tmp_path}/t"
     assert teach.score_file(rows.limit(2), scoring.lexical_backend, path) == 2 and teach.score_file(rows, scoring.lexical_backend, path) == 4 and teach.score_file(rows, scoring.lexical_backend, path) == 0
+
+
+def test_ids_of_questions_are_json(spark):
+    ids = ['say "hi"', "back\\slash", "tab\tline\n", "é]["]
+    body = {"state": "s", "model": "m", "questions": {i: {"type": "noul", "instructions": "x"} for i in ids}}
+    good, _ = engine.answer(spark.createDataFrame([("1", json.dumps(body))], "request_id string, body string"))
+    assert list(json.loads(good.first()["answers"])) == ids
+
+
+def test_guard_without_broadcast(spark):
+    texts = spark.createDataFrame([(1, "a b c d e f g h i"), (2, "short one"), (3, "x a b c d e f g"), (4, "Short ONE.")], "id int, text string")
+    held = spark.createDataFrame([("z b c d e f g h i",), ("short one",)], "text string")
+    both = [{r["id"] for r in guards.guard_hits(texts, held, "id", "text", most=m).collect()} for m in (0, 1000)]
+    assert both == [{1, 2, 4}] * 2
+
+
+def test_neighbours_pad_by_order(spark):
+    names = ["abcd", "abce", "xyz", "qqq", "abcf", "mno"]
+    df = spark.createDataFrame(list(enumerate(names)), "ord int, name string")
+    got = {}
+    for r in examples.neighbours(df, keep=3).orderBy("name", "rank").collect():
+        got.setdefault(r["name"], []).append((r["neighbour"], round(r["similarity"], 3)))
+    assert got["xyz"] == [("abcd", 0.0), ("abce", 0.0), ("qqq", 0.0)] and [n for n, _ in got["abcd"]] == ["abce", "abcf", "xyz"]
+    assert all(len(v) == 3 for v in got.values()) and not examples.neighbours(df.limit(0)).count()
+
+
+def test_greedy_selection_is_the_loop(spark):
+    rng = random.Random(9)
+    rows = [(i, f"s{rng.randrange(2)}", rng.choice("abc"), f"k{rng.randrange(14)}") for i in range(160)]
+    df = spark.createDataFrame(rows, "id int, source string, cls string, key string")
+    quotas = {"a": 3, "b": 2, "c": 0, "d": 4}
+    order = [r["id"] for r in df.orderBy(hashing.order_key("g", F.col("id")), "id").collect()]
+    left, used, want = {}, {}, set()
+    for i in order:
+        _, source, cls, key = rows[i]
+        room = left.setdefault(source, dict(quotas))
+        if key not in used.setdefault(source, set()) and room[cls]:
+            used[source].add(key)
+            room[cls] -= 1
+            want.add(i)
+    got = build.select_greedy(df, quotas, "g", "source").collect()
+    assert {r["id"] for r in got if r["taken"]} == want and len(got) == len(rows)
+
+
+def test_sources_by_split_and_revision(spark, tmp_path):
+    rows = spark.createDataFrame([("t", 1)], "text string, label int")
+    rows.write.parquet(f"{tmp_path}/r1/train")
+    rows.union(rows).coalesce(1).write.parquet(f"{tmp_path}/part")
+    os.makedirs(f"{tmp_path}/r2")
+    found = next(f for f in os.listdir(f"{tmp_path}/part") if f.endswith(".parquet"))
+    os.rename(f"{tmp_path}/part/{found}", f"{tmp_path}/r2/test-00000-of-00001.parquet")
+    assert sources.load(spark, "emotion", str(tmp_path), "train", "r1").count() == 1
+    assert sources.load(spark, "emotion", str(tmp_path), "test", "r2").count() == 2
+    with pytest.raises(ValueError, match="split"):
+        sources.load(spark, "emotion", str(tmp_path), "dev", "r2")
+
+
+def test_platt_on_parted_margins(spark):
+    """Margins that part the labels: only the ridge on the mean loss keeps the slope finite."""
+    rows = [(x, int(x > 0)) for x in (-3.0, -2.0, -1.0, 1.0, 2.0, 3.0)] * 50
+    a, b = calibrate.fit_platt(spark.createDataFrame(rows, "margin double, label int"))
+    x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    p = 1 / (1 + np.exp(-(a * x + b)))
+    slope = [np.mean((p - y) * x) + 1e-6 * a, np.mean(p - y) + 1e-6 * b]
+    assert np.abs(slope).max() < 1e-8 and a > 5

@@ -25,7 +25,8 @@ def responses(answers: DataFrame) -> DataFrame:
     """One row a request: answers in the order of its questions, tokens read, whether a state was cut."""
     grouped = answers.groupBy("request_id").agg(F.first("model").alias("model"), F.array_sort(F.collect_list(F.struct("ord", "qid", "answer"))).alias("a"), F.sum("prompt_tokens").alias("input_tokens"), F.max("truncated").alias("truncated"))
     # joined as text: a map would lose the order of questions
-    body = F.concat(F.lit("{"), F.array_join(F.transform("a", lambda x: F.concat(F.lit('"'), x["qid"], F.lit('":'), x["answer"])), ","), F.lit("}"))
+    name = lambda x: F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1)
+    body = F.concat(F.lit("{"), F.array_join(F.transform("a", lambda x: F.concat(name(x["qid"]), F.lit(":"), x["answer"])), ","), F.lit("}"))
     return grouped.select("request_id", "model", body.alias("answers"), "input_tokens", F.lit(0).alias("output_tokens"), "truncated")
 
 

@@ -51,6 +51,13 @@ def independent_keys(spark, sf):
     return guards.independent_rows(rows, "keys", "doc_id").select("doc_id")
 
 
+@query("WITH r AS (SELECT DISTINCT doc_id, doc_id - dense_rank() OVER (ORDER BY doc_id) AS run FROM documents), s AS (SELECT *, min(doc_id) OVER (PARTITION BY run) AS first FROM r) SELECT doc_id FROM s WHERE (doc_id - first) % 2 = 0")
+def independent_chain(spark, sf):
+    """Each document conflicts with the next one: one chain as long as the table, of which every other row stays."""
+    rows = table(spark, sf, "documents").select("doc_id", F.array(F.col("doc_id"), F.col("doc_id") + 1).alias("keys"))
+    return guards.independent_rows(rows, "keys", "doc_id").select("doc_id")
+
+
 _WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
 _GUARD = f"""w AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT {_WORDS} AS w FROM benchmark),
 bg AS (SELECT DISTINCT array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT w, unnest(range(1, len(w) - 6)) AS i FROM b) UNION SELECT '=' || array_to_string(w, ' ') FROM b),
@@ -201,7 +208,7 @@ def gold(spark: SparkSession, sf: str) -> DataFrame:
     labels = nation.agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda s: s["n_name"]).alias("labels"))
     siblings = nation.groupBy("n_regionkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda s: s["n_name"]).alias("siblings"))
     rows = labelled(spark, sf).select("doc_id", (F.col("toxic") == 1).alias("want"), (F.col("doc_id") % 25).cast("int").alias("n_nationkey"))
-    return rows.join(nation.join(siblings, "n_regionkey"), "n_nationkey").select("doc_id", "want", F.col("n_name").alias("gold"), "siblings").crossJoin(F.broadcast(labels))
+    return rows.join(nation.join(siblings, "n_regionkey"), "n_nationkey").select("doc_id", "want", F.col("n_name").alias("gold"), "siblings").crossJoin(labels)
 
 
 @query(
@@ -237,7 +244,26 @@ def candidate_options(spark, sf):
     return rows.select("doc_id", F.array_join(examples.choice_options("c", F.col("doc_id"), F.col("gold"), F.col("labels"), F.col("k")), ",").alias("options"))
 
 
-@query()
+def _shuffled(values: str, *parts: str) -> str:
+    """SQL: a list in the order of digests of the parts and the element's place."""
+    digest = H.order_sql(*parts, "i")
+    return f"list_transform(list_sort(list_transform(range(0, len({values})), lambda i: {{'h': {digest}, 'i': i, 'x': ({values})[i + 1]}})), lambda s: s.x)"
+
+
+_DRAW = lambda part: _U("'x'", "doc_id", f"'{part}'")
+_BOUND = lambda i: "CASE " + " ".join(f"WHEN u < {sum(w for _, w in examples.OPTION_COUNTS[: n + 1])} THEN {r[i]}" for n, (r, _) in enumerate(examples.OPTION_COUNTS[:-1])) + f" ELSE {examples.OPTION_COUNTS[-1][0][i]} END"
+
+
+@query(
+    f"""WITH {_GOLD}, u AS (SELECT doc_id, gold, labels, {_DRAW('k')} AS u, {_DRAW('k2')} AS v, {_DRAW('nota')} < {examples.NONE_OF_ABOVE} AS nota, {_DRAW('other')} < {examples.OTHER_DISTRACTOR} AS distractor, {examples.OTHERS}[floor({_DRAW('othername')} * {len(examples.OTHERS)})::INT + 1] AS name,
+list_filter(labels, lambda v: v <> gold) AS pool FROM gold, names),
+b AS (SELECT *, {_BOUND(0)} AS low, {_BOUND(1)} AS high FROM u), k AS (SELECT *, greatest(2, least(low + floor(v * (high - low + 1)), len(labels), {examples.MAX_OPTIONS}))::INT AS k FROM b),
+w AS (SELECT *, {_shuffled('pool', "'x'", 'doc_id', "'others'")}[1:k - 1] AS wrong FROM k),
+o AS (SELECT *, nota OR (distractor AND len(wrong) >= 2) AS other FROM w),
+h AS (SELECT *, CASE WHEN nota THEN wrong WHEN other THEN list_append(wrong[1:len(wrong) - 1], gold) ELSE list_append(wrong, gold) END AS kept FROM o),
+f AS (SELECT *, {_shuffled('kept', "'x'", 'doc_id', "'order'")} AS ordered FROM h), g AS (SELECT *, CASE WHEN other THEN list_append(ordered, name) ELSE ordered END AS options FROM f)
+SELECT doc_id, k, array_to_string(options, ',') AS options, (list_position(options, CASE WHEN nota THEN name ELSE gold END) - 1)::INT AS label, nota, other FROM g"""
+)
 def choice_examples(spark, sf):
     rows = examples.choice_rows(gold(spark, sf), "x", "doc_id", "gold", F.col("labels"))
     return rows.select("doc_id", "k", F.array_join("options", ",").alias("options"), "label", "nota", "other")
@@ -272,7 +298,17 @@ def set_selection(spark, sf):
     return build.select_rows(items, quotas, "g", ["source"]).groupBy(F.coalesce("drop_reason", F.lit("taken")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_LABELLED}, o AS (SELECT doc_id AS id, source, quality::VARCHAR AS cls, key, row_number() OVER (PARTITION BY source ORDER BY {H.order_sql("'g'", 'doc_id')}, doc_id) AS r FROM l),
+walk(source, r, used, left0, left1, id, cls) AS (
+    SELECT DISTINCT source, 0::BIGINT, []::VARCHAR[], 4, 4, NULL::BIGINT, NULL::VARCHAR FROM o
+    UNION ALL
+    SELECT source, r, CASE WHEN ok THEN list_append(used, key) ELSE used END, left0 - (ok AND cls = '0')::INT, left1 - (ok AND cls = '1')::INT, CASE WHEN ok THEN id END, CASE WHEN ok THEN cls END
+    FROM (SELECT o.source, o.r, used, left0, left1, o.id, o.cls, o.key, NOT list_contains(used, o.key) AND CASE o.cls WHEN '0' THEN left0 > 0 WHEN '1' THEN left1 > 0 ELSE false END AS ok
+        FROM walk w JOIN o ON o.source IS NOT DISTINCT FROM w.source AND o.r = w.r + 1)
+)
+SELECT id, source, cls FROM walk WHERE id IS NOT NULL"""
+)
 def greedy_selection(spark, sf):
     items = labelled(spark, sf).select(F.col("doc_id").alias("id"), "source", F.col("quality").cast("string").alias("cls"), F.sha2(T.key(F.coalesce("text", F.lit(""))), 256).alias("key"))
     return build.select_greedy(items, {"0": 4, "1": 4}, "g", "source").where("taken").select("id", "source", "cls")

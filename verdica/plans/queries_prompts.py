@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..curate import examples, synth
+from ..curate import examples, phrasing, synth
 from ..curate import sources as S
 from ..functions import hashing as H
 from ..functions import text as T
@@ -27,7 +26,7 @@ def questions(spark: SparkSession, sf: str, kind: str, instructions: str) -> Dat
     """A question about each document, with the regions as options."""
     regions = table(spark, sf, "region").agg(F.transform(F.array_sort(F.collect_list(F.struct("r_regionkey", "r_name"))), lambda s: F.struct(s["r_name"].alias("name"), F.lit(None).cast("string").alias("descr"))).alias("options"))
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("request_id"), F.lit(0).alias("ord"), F.lit("q").alias("qid"), F.col("text").alias("state"))
-    return docs.crossJoin(F.broadcast(regions)).withColumns({"type": F.lit(kind), "instructions": F.lit(instructions), "true_text": F.lit(None).cast("string"), "false_text": F.lit("it does not"), "model": F.lit("m")})
+    return docs.crossJoin(regions).withColumns({"type": F.lit(kind), "instructions": F.lit(instructions), "true_text": F.lit(None).cast("string"), "false_text": F.lit("it does not"), "model": F.lit("m")})
 
 
 def prompt_digest(df: DataFrame) -> DataFrame:
@@ -219,12 +218,12 @@ def letter_targets(spark, sf):
     return R.letter_target(_decision_rows(spark, sf)).select("id", "letter", "n_letters")
 
 
-@query()
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{'answered' if k == 'ok' else 'rejected'}')" for k, _, _ in BODIES) + ") AS v(request_id, outcome)")
 def stream_serve(spark, sf):
     """Requests as a file stream, answered in micro-batches; an invalid one goes to the dead letters."""
     from ..streaming import serve
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/verdica-streams").rstrip("/") + f"/{uuid.uuid4().hex}"
+    base = R.folder(spark)
     rows = bodies(spark).withColumn("ts", F.lit("2026-01-01 00:00:00").cast("timestamp"))
     rows.unionByName(rows.where("request_id = 'ok'")).coalesce(1).write.json(f"{base}/in")
     serve.serve(serve.request_stream(spark, f"{base}/in"), f"{base}/answers", f"{base}/errors", f"{base}/checkpoint").awaitTermination()
@@ -245,14 +244,25 @@ SELECT id, CASE WHEN h LIKE '%?' THEN NULL WHEN f < 0.55 AND g < 0.2 THEN replac
 ELSE replace(['Does it follow from the text that {{}}?', 'Given the text, is it certain that {{}}?'][floor(b * 2)::INT + 1], '{{}}', c) END AS instructions, y::INT AS label FROM x"""
 )
 def phrase_nli(spark, sf):
-    from ..curate import phrasing
-
     return phrasing.nli_rows(_pairs(spark, sf), "n").select("id", "instructions", "label")
 
 
-@query()
+def _one_of(names: list[str], part: str) -> str:
+    """SQL: a text drawn for a document."""
+    return f"[{', '.join(repr(n) for n in names)}][floor({_U(repr('r'), 'id', repr(part))} * {len(names)})::INT + 1]"
+
+
+_R = lambda part: _U("'r'", "id", f"'{part}'")
+
+
+@query(
+    f"""WITH x AS (SELECT doc_id AS id, text AS passage, 'Is it ' || lang || '?' AS q, (lang = 'en')::INT AS label FROM documents), d AS (SELECT *, {_R('form')} < {phrasing.STATEMENT} AS form FROM x)
+SELECT id, 'reading' AS kind, CASE WHEN coalesce(passage, '') = '' OR q IS NULL THEN NULL WHEN {_R('structured')} < {phrasing.STRUCTURED} THEN CASE WHEN form THEN {phrasing.STRUCTURED_STATEMENTS[0]!r} ELSE {phrasing.STRUCTURED_QUESTIONS[0]!r} END
+WHEN form THEN replace({_one_of(phrasing.READING_STATEMENTS, 'said')}, '{{}}', q) ELSE replace({_one_of(phrasing.READING_QUESTIONS, 'asked')}, '{{}}', q) END AS instructions, label FROM d
+UNION ALL SELECT id, 'abstract', CASE WHEN coalesce(passage, '') = '' OR q IS NULL THEN NULL WHEN {_R('prefixed')} < {phrasing.PREFIXED} THEN {_one_of(phrasing.PREFIXES, 'prefix')} || lower(left(q, 1)) || substr(q, 2) ELSE q END, label FROM d
+UNION ALL SELECT id, 'judgement', CASE WHEN form THEN {_one_of(phrasing.JUDGEMENTS['tweet_irony'][0], 'said')} ELSE {_one_of(phrasing.JUDGEMENTS['tweet_irony'][1], 'asked')} END, label FROM d"""
+)
 def phrase_reading(spark, sf):
-    from ..curate import phrasing
 
     rows = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("passage"), F.concat(F.lit("Is it "), "lang", F.lit("?")).alias("question"), (F.col("lang") == "en").cast("string").alias("cls"))
     a = phrasing.reading_rows(rows, "r").select("id", F.lit("reading").alias("kind"), "instructions", "label")
@@ -263,10 +273,8 @@ def phrase_reading(spark, sf):
 
 @query("WITH o AS (SELECT list(n_name) AS names FROM nation) SELECT n_nationkey AS id, n_name AS gold, 10 AS n, true AS held FROM nation")
 def transfer_options(spark, sf):
-    from ..curate import phrasing
-
     labels = table(spark, sf, "nation").agg(F.array_sort(F.collect_list("n_name")).alias("labels"))
-    rows = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("cls"), F.col("n_name").alias("text")).crossJoin(F.broadcast(labels))
+    rows = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("cls"), F.col("n_name").alias("text")).crossJoin(labels)
     out = phrasing.transfer_rows(rows, "hwu64", F.col("labels"))
     return out.select("id", F.col("cls").alias("gold"), F.size(F.array_distinct("options")).alias("n"), (F.get("options", "label") == F.col("cls")).alias("held"))
 
@@ -308,7 +316,7 @@ def adoption_rules(spark, sf):
     return verify.improvement_rules(spark.createDataFrame(tasks, "base_nll double, arm_nll double, nll_high double, acc_diff double, ece_diff double"))
 
 
-@query()
+@query("SELECT doc_id, (length(text) % 7)::DOUBLE AS entail FROM documents")
 def nli_service(spark, sf):
     """Entailment logits through the chunking connector with a stand-in service."""
     from ..sources import nli
