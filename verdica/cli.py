@@ -1,4 +1,4 @@
-"""Commands: ask, report, calibrate, soft-rows, mine, serve. Errors of input become one line and exit status 1 (ask: 2)."""
+"""Commands: ask, report, calibrate, soft-rows, serve, http. Errors of input become one line and exit status 1 (ask: 2)."""
 
 from __future__ import annotations
 
@@ -80,6 +80,20 @@ def serve(args: argparse.Namespace) -> int:
     return 0
 
 
+def http(args: argparse.Namespace) -> int:
+    from .operators.calibrate import Calibrator
+    from .streaming.http import Service, listening
+
+    cal = Calibrator.load(args.calibrator) if args.calibrator else None
+    with listening(Service(_spark(), cal=cal, key=args.key), args.host, int(args.port)) as server:
+        print(f"ready on http://{server.server_address[0]}:{server.server_address[1]}", flush=True)
+        try:
+            server.serve_forever()
+        except KeyboardInterrupt:
+            return 0
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="verdica", description=__doc__)
     sub = parser.add_subparsers(required=True)
@@ -89,6 +103,7 @@ def main(argv: list[str] | None = None) -> int:
         "calibrate": (calibrate, [("runs", {"nargs": "+"}), ("--out", {"required": True})]),
         "soft-rows": (soft_rows, [("--rows", {"required": True}), ("--teacher", {"required": True}), ("--out", {"required": True})]),
         "serve": (serve, [("folder", {}), ("--out", {"required": True})]),
+        "http": (http, [("--host", {"default": "127.0.0.1"}), ("--port", {"default": "8766"}), ("--key", {}), ("--calibrator", {})]),
     }
     for name, (run, arguments) in commands.items():
         command = sub.add_parser(name)

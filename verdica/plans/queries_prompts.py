@@ -231,6 +231,47 @@ def stream_serve(spark, sf):
     return good.unionByName(spark.read.parquet(f"{base}/errors").select("request_id", F.lit("rejected").alias("outcome")))
 
 
+#: Requests to the service: name, method, path, key, body; status and what is in the answer.
+CALLS = [
+    ("health", "GET", "/health", None, None, 200, "ready"),
+    ("models", "GET", "/v1/models?all=1", "secret", None, 200, "lexical"),
+    ("no_key", "GET", "/v1/models", None, None, 401, "unauthorized"),
+    ("wrong_key", "POST", "/v1/systemone", "other", "{}", 401, "unauthorized"),
+    ("method", "GET", "/v1/systemone", "secret", None, 405, "method not allowed"),
+    ("path", "GET", "/v2", "secret", None, 404, "not found"),
+    ("no_json", "POST", "/v1/systemone", "secret", "{", 400, "invalid JSON"),
+    ("list", "POST", "/v1/systemone", "secret", "[]", 400, "body must be a JSON object"),
+    ("fault", "POST", "/v1/systemone", "secret", '{"state": "s", "model": "m", "questions": {"a": {"type": "noul"}}}', 422, "questions.a.instructions"),
+    ("answer", "POST", "/v1/systemone", "secret", '{"state": "a red gate", "model": "m", "questions": {"b": {"type": "noul", "instructions": "Is it red?"}, "a": {"type": "choice", "instructions": "What is red?", "criteria": {"gate": null, "sea": null}}}}', 200, "b,a"),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{c[0]}', {c[5]}::INT, '{c[6]}')" for c in CALLS) + ") AS v(name, status, said)")
+def http_service(spark, sf):
+    """The HTTP service on a free port, asked by a client."""
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from ..streaming import http
+
+    def told(body: dict) -> str:
+        return ",".join(body["answers"]) if "answers" in body else body["data"][0]["id"] if "data" in body else body.get("path") or body.get("error") or body["status"]
+
+    rows = []
+    with http.listening(http.Service(spark, key="secret")) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        for name, method, path, key, body, *_ in CALLS:
+            ask = urllib.request.Request(f"http://127.0.0.1:{server.server_address[1]}{path}", body.encode() if body is not None else None, {"Authorization": f"Bearer {key}"} if key else {}, method=method)
+            try:
+                with urllib.request.urlopen(ask, timeout=300) as answer:
+                    rows.append((name, answer.status, told(json.load(answer))))
+            except urllib.error.HTTPError as e:
+                rows.append((name, e.code, told(json.load(e))))
+        server.shutdown()
+    return spark.createDataFrame(rows, "name string, status int, said string")
+
+
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Nations as labelled pairs: 25 rows with an entailment class."""
     cls = F.element_at(F.array(*[F.lit(x) for x in S.NLI]), (F.col("n_nationkey") % 3 + 1).cast("int"))
