@@ -15,6 +15,7 @@ from verdica.functions import hashing
 from verdica.operators import calibrate, scoring
 from verdica.plans import engine, teach
 from verdica.sources import nli
+from verdica.streaming import http
 
 
 def test_phrasing(spark):
@@ -45,8 +46,22 @@ def test_verify(spark):
     data = [("Is it spam?", ["a", "b"], "choice", "choice", 1, None, "s"), ("x", ["a", "b"], "choice", "choice", 2, None, "Review: s"), ("x", ["a"], "choice", "candidate", 1, "b", "s"), ("x", ["a", "b"], "score", "nli", 1, None, "s"), ("x", ["a", "b"], "choice", "choice", 0, None, "s")]
     got = spark.createDataFrame(data, "i string, o array<string>, k string, f string, l int, c string, s string").select(errors.alias("e")).collect()
     assert [r["e"] for r in got] == [["benchmark_instruction"], ["forbidden_wrapper", "label"], ["options", "candidate"], ["type"], []]
-    w = spark.createDataFrame([("a", 0.9, 1), ("a", 0.2, 0), ("b", 0.4, 1), ("b", 0.6, 0)], "wording string, score double, label int")
-    assert {r["wording"]: r["auroc"] for r in verify.wording_report(w).collect()} == {"a": 1.0, "b": 0.0}
+    rng = random.Random(3)
+    data = []
+    for i in range(400):
+        y = rng.randrange(2)
+        data += [("good", i, "calib" if i % 2 else "test", [3.0 + 2 * y + rng.random(), 0.0], y), ("flat", i, "calib" if i % 2 else "test", [rng.random(), 0.5], y)]
+    got = {r["wording"]: r for r in verify.wording_table(spark.createDataFrame(data, "wording string, id int, split string, logits array<double>, label int"), reps=200).collect()}
+    assert got["good"]["auroc"] == 1 == got["good"]["accuracy_platt"] and got["good"]["yes_rate"] == 1 and got["good"]["accuracy"] == got["good"]["true_rate"]
+    assert got["flat"]["low"] < got["flat"]["auroc"] < got["flat"]["high"] and got["flat"]["n"] == 200
+    bad = spark.createDataFrame([("a b", {"text": ["b"]}), ("a b", {"text": ["c"]}), ("a", {"text": []})], "context string, answers struct<text:array<string>>")
+    with pytest.raises(ValueError, match="spans"):
+        verify.check_content("squad_v2", bad)
+    with pytest.raises(ValueError, match="within"):
+        verify.check_content("civil_comments", spark.createDataFrame([(5.0,), (0.5,)], "toxicity double"))
+    with pytest.raises(ValueError, match="coarse"):
+        verify.check_content("trec", spark.createDataFrame([("f", "A"), ("f", "B")], "label_text string, label_coarse_text string"))
+    verify.check_content("fewrel", spark.createDataFrame([("P1", ["name", "what it is"]), ("P1", ["name", "other"])], "relation string, names array<string>"))
 
 
 def test_nli_chunks(spark):
@@ -130,6 +145,20 @@ def test_sources_by_split_and_revision(spark, tmp_path):
         sources.load(spark, "emotion", str(tmp_path), "dev", "r2")
 
 
+def test_http_refusals(spark):
+    service = http.Service(spark, key="k", wait=0.01)
+    ok = {"Authorization": "bearer k"}
+    send = lambda head, body=b"": service.respond("POST", "/v1/systemone", ok | head, lambda n: body[:n])
+    assert [send(h)[0] for h in ({}, {"Content-Length": "-1"}, {"Content-Length": "x"}, {"Content-Length": str((4 << 20) + 1)})] == [411, 400, 400, 413]
+    body = json.dumps({"state": "s", "model": "m", "questions": {"a": {"type": "noul", "instructions": "x"}}}).encode()
+    assert send({"Content-Length": "5"}, body) == (400, {"error": "invalid JSON"})
+    service.turn.acquire()
+    assert send({"Content-Length": str(len(body))}, body) == (503, {"error": "busy"})
+    service.turn.release()
+    broken = http.Service(spark, backend=None)
+    assert broken.respond("POST", "/v1/systemone", {"Content-Length": str(len(body))}, lambda n: body) == (500, {"error": "internal error"}) and broken.counts == {"requests": 1, "errors": 1}
+
+
 def test_platt_on_parted_margins(spark):
     """Margins that part the labels: only the ridge on the mean loss keeps the slope finite."""
     rows = [(x, int(x > 0)) for x in (-3.0, -2.0, -1.0, 1.0, 2.0, 3.0)] * 50

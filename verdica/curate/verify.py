@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.probs import EPS, sigmoid
+from ..operators.analysis import bootstrap_auroc
+from ..operators.calibrate import fit_platt
 from ..operators.metrics import auroc
 
 MAX_OPTIONS = 26
@@ -79,7 +82,59 @@ def improvement_rules(tasks: DataFrame, least: int = 4) -> DataFrame:
     )
 
 
-def wording_report(rows: DataFrame, by: str = "wording", score: str = "score", label: str = "label") -> DataFrame:
-    """AUROC, share of yes and accuracy of each wording of a yes/no question."""
-    base = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(score) > 0.5).cast("int")).alias("yes_rate"), F.avg(((F.col(score) > 0.5).cast("int") == F.col(label)).cast("int")).alias("accuracy"))
-    return base.join(auroc(rows, score, label, by=[by]), by)
+def wording_table(rows: DataFrame, by: str = "wording", key: str = "id", reps: int = 2000) -> DataFrame:
+    """Each wording of a yes/no question, from raw rows (split, logits, label): AUROC of the margin with its resampled
+    interval on the test split, and accuracy at the plain threshold and at the one that Platt scaling finds on the calib split.
+
+    A loop over wordings, which are a handful.
+    """
+    rows = rows.withColumn("margin", F.get("logits", F.lit(0)) - F.get("logits", F.lit(1)))
+    out = None
+    for wording in sorted(r[by] for r in rows.select(by).distinct().collect()):
+        one = rows.where(F.col(by) == wording)
+        a, b = fit_platt(one.where("split = 'calib'").select("margin", "label"))
+        test = one.where("split = 'test'")
+        hit = lambda yes: F.avg((yes == (F.col("label") == 1)).cast("int"))
+        plain = F.col("margin") >= 0
+        lost = F.greatest(F.when(F.col("label") == 1, sigmoid(F.col("margin"))).otherwise(sigmoid(-F.col("margin"))), F.lit(EPS))
+        found = test.agg(F.count(F.lit(1)).alias("n"), hit(plain).alias("accuracy"), hit(a * F.col("margin") + b >= 0).alias("accuracy_platt"), F.avg(-F.log(lost)).alias("nll"), F.avg(plain.cast("int")).alias("yes_rate"), F.avg("label").alias("true_rate"))
+        ranked = test.select(key, "label", F.col("margin").alias("score"))
+        line = found.crossJoin(auroc(ranked, "score", "label")).crossJoin(bootstrap_auroc(ranked, "score", "label", key, reps)).withColumn(by, F.lit(wording))
+        out = line if out is None else out.unionByName(line)
+    if out is None:
+        raise ValueError("no rows")
+    return out
+
+
+def content_faults(source: str, rows: DataFrame) -> DataFrame:
+    """(check, n, bad, allowed) of a source's raw rows, beyond classes: what the mapping takes for granted about their content.
+
+    allowed: the share of n that may be bad.
+    """
+    def counted(check: str, n: Column, bad: Column, allowed: float = 0.0) -> DataFrame:
+        return rows.agg(F.count_if(n).alias("n"), F.count_if(n & bad).alias("bad")).select(F.lit(check).alias("check"), "n", "bad", F.lit(allowed).alias("allowed"))
+
+    def one_to_one(check: str, a: Column, b: Column) -> DataFrame:
+        pairs = rows.select(a.alias("a"), b.alias("b")).distinct().groupBy("a").agg(F.count(F.lit(1)).alias("k"))
+        return pairs.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("k") > 1).alias("bad")).select(F.lit(check).alias("check"), "n", "bad", F.lit(0.0).alias("allowed"))
+
+    if source == "squad_v2":
+        answered = F.size("answers.text") > 0
+        spans = counted("answers are spans of the context", answered, ~F.contains(F.col("context"), F.get("answers.text", F.lit(0))), 0.02)
+        none = rows.agg(F.lit(1).cast("long").alias("n"), (F.count_if(answered) * F.count_if(~answered) == 0).cast("long").alias("bad"))
+        return spans.unionByName(none.select(F.lit("both answerable and unanswerable").alias("check"), "n", "bad", F.lit(0.0).alias("allowed")))
+    if source in ("stsb", "civil_comments"):
+        value = F.col("score" if source == "stsb" else "toxicity")
+        return counted("values within [0, 1]", value.isNotNull(), ~value.between(0, 1))
+    if source == "trec":
+        return one_to_one("a fine label has one coarse label", F.col("label_text"), F.col("label_coarse_text"))
+    if source == "fewrel":
+        return one_to_one("a relation has one name", F.col("relation"), F.get("names", F.lit(0)))
+    return counted("rows", F.lit(True), F.lit(False))
+
+
+def check_content(source: str, rows: DataFrame) -> None:
+    """Raises where a check of the content fails."""
+    for r in content_faults(source, rows).collect():
+        if not r["n"] or r["bad"] > r["allowed"] * r["n"]:
+            raise ValueError(f"{source}: {r['check']}: {r['bad']} of {r['n']} fail")
