@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -112,6 +113,19 @@ def test_license_scan(spark, odd, none):
     assert licenses.license_scan(docs).count() == docs.count() and not licenses.license_scan(none).count()
 
 
+def test_license_bodies(spark):
+    """Whole texts, also with every sixtieth word changed, in other case and layout, inside a long text."""
+    rng = random.Random(4)
+    filler = " ".join(f"word{rng.randrange(900)}" for _ in range(2000))
+    body = licenses.TEMPLATES["mit-body"].split()
+    edited = [w if i % 60 else "changed" for i, w in enumerate(body)]
+    half = body[: len(body) // 2]
+    texts = [" ".join(body), f"{filler} {' '.join(edited).upper()} {filler}", "\n".join(" ".join(body[i : i + 9]) for i in range(0, len(body), 9)), " ".join(half), filler]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.licenses.split(",") for r in licenses.license_scan(docs).collect()}
+    assert [("mit-body" in got[i]) for i in range(5)] == [True, True, True, False, False]
+
+
 def test_license_bands_and_anchors():
     assert 1 - (1 - 0.4 / 2.1) ** licenses.BANDS > 0.9997
     for notice in licenses.TEMPLATES.values():
