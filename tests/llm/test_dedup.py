@@ -334,6 +334,49 @@ def test_pipeline_stages(spark, tmp_path, odd):
 
 
 def test_pipeline_odd_rows(spark, tmp_path, odd, none):
-    for name, docs in (("odd", odd), ("none", none)):
+    """Lawful texts between the odd ones: without id or source, repeated rows, one id for two texts, a copy, a long text."""
+    from tests.llm.test_native import brute_mix
+
+    def prose(seed, n=60):
+        rng = random.Random(seed)
+        return " ".join(rng.choice(["the", "of", *(f"word{rng.randrange(9 * n)}" for _ in range(4))]) for _ in range(n))
+
+    more = [(None, prose(1), "a"), (30, prose(2), None), (31, prose(3), "b"), (31, prose(4), "b"), (32, prose(2), "a"), (33, prose(5, 20_000), "c"), (34, prose(6), "a"), (34, prose(6), "a"), (35, prose(7) + " " + prose(2), None)]
+    given = spark.createDataFrame([(i, t, "en", s, None, True, "r", "k", 0.5, 7, "g") for i, t, s in more], odd.schema)
+    for name, docs in (("odd", odd.unionByName(given)), ("none", none)):
         docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
-        assert corpus_pipeline.run(spark, f"{tmp_path}/{name}").count() >= 0
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+    lawful = [(r.doc_id, r.text, r.source) for r in corpus_pipeline.quality_rules(spark, spark.read.parquet(f"{tmp_path}/odd/documents.parquet"), "").collect()]
+    assert Counter(lawful) == Counter(more)
+    least = {(i, f): c for i, f, c in brute_groups([(i, t) for i, t, _ in lawful])}
+    first = {}
+    for i, t, s in lawful:  # of a group the row of the least id stays, of rows with that id the first by text
+        if least[i, f"{brute_fingerprint(t):016x}"] == i:
+            first[i] = min(first.get(i, (t, s)), (t, s), key=lambda x: x[0])
+    kept = [(i, *x) for i, x in first.items()]
+    assert {i for i, _, _ in kept} == {None, 30, 31, 33, 34, 35}
+    cut = {i: n - gone for i, n, gone, _ in brute_dedup([(i, t) for i, t, _ in kept])}
+    assert any(cut[i] < len(t.split()) for i, t, _ in kept)
+    taken, _ = brute_mix([(i, s, cut[i]) for i, _, s in kept])
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert Counter(r.doc_id for r in got) == Counter({k[0]: v // k[2] for k, v in taken.items() if v}) and len(got) > 4
+
+
+def test_simhash_on_the_tables_by_all_pairs(spark):
+    """Recall and precision of the links on a test table against all pairs: every component is the same."""
+    import os
+
+    import numpy as np
+
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    got = simhash.near_duplicates(spark.read.parquet(path)).collect()
+    fps = np.array(sorted({int(r.fingerprint, 16) for r in got}), np.uint64)
+    near = [(i, j) for i in range(len(fps)) for j in (np.flatnonzero(np.bitwise_count(fps[i] ^ fps[:i]) <= 2)).tolist()]
+    root = roots([(int(fps[i]), int(fps[j])) for i, j in near])
+    least = {}
+    for r in got:
+        head = root.get(int(r.fingerprint, 16), int(r.fingerprint, 16))
+        least[head] = min(least.get(head, r.doc_id), r.doc_id)
+    assert near and all(r.component_id == least[root.get(int(r.fingerprint, 16), int(r.fingerprint, 16))] for r in got)
