@@ -5,6 +5,9 @@ Question rows have type, instructions, state, options (array of name and descr),
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,3 +113,34 @@ def rendered_pair(premise: Column, hypothesis: Column, marker: str = "\nHypothes
 def messages(state: Column, suffix: Column) -> Column:
     """Chat form: the prompt without its cue and a reply rule."""
     return F.concat(state, F.regexp_replace(suffix, "\\nAnswer:$", ""), F.lit(REPLY_RULE))
+
+
+def fitted(rows: DataFrame, encode: Callable[[str], list[int]], decode: Callable[[list[int]], str], most: int, key: str = "request_id", mark: str = "… ") -> DataFrame:
+    """key, prompt, n_tokens, truncated: the state (between prefix and suffix) loses its start, token by token, until all fits.
+
+    Joined texts may take more tokens than their parts, so what is kept shrinks by as many as a try is over. A character cut
+    in two goes. A prompt that leaves its state no room is null.
+    """
+
+    def one(prefix: str, state: str, suffix: str) -> tuple[str | None, int | None, bool]:
+        whole = prefix + state + suffix
+        if (n := len(encode(whole))) <= most:
+            return whole, n, False
+        ids = encode(state)
+        keep = min(len(ids), most)
+        while keep > 0:
+            tail = decode(ids[-keep:]).lstrip("\ufffd").lstrip()
+            prompt = prefix + mark + tail + suffix
+            if (n := len(encode(prompt))) <= most:
+                return prompt, n, True
+            keep -= n - most
+        return None, None, True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [[x or "" for x in batch.column(k).to_pylist()] for k in (1, 2, 3)]
+            done = [one(*p) for p in zip(*parts, strict=True)]
+            columns = [pa.array([d[k] for d in done], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, "prompt", "n_tokens", "truncated"])
+
+    return rows.select(key, "prefix", "state", "suffix").mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, prompt string, n_tokens int, truncated boolean")

@@ -137,3 +137,41 @@ _WORDS = f"w AS (SELECT 'w' || (vec_id % 3) AS wording, vec_id, label % 2 AS y,
 def wording_comparison(spark, sf):
     rows = table(spark, sf, "embeddings").select(F.concat(F.lit("w"), (F.col("vec_id") % 3).cast("string")).alias("wording"), F.col("vec_id").alias("id"), F.when(F.floor(F.col("vec_id") / 3) % 2 == 1, "test").otherwise("calib").alias("split"), dims(1, 2).alias("logits"), (F.col("label") % 2).cast("int").alias("label"))
     return rounded(verify.wording_table(rows).select("wording", "n", "auroc", "accuracy", "nll", "yes_rate", "true_rate"))
+
+
+@query(
+    """WITH w AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), ' ') AS w FROM documents)
+SELECT doc_id, len(w) + 2 > 40 AS truncated, least(len(w) + 2, 40)::INT AS n_tokens, sha256('Read: ' || CASE WHEN len(w) + 2 > 40 THEN '… ' || trim(array_to_string(w[len(w) - 36:], ' ')) ELSE array_to_string(w, ' ') END || ' Answer:') AS prompt FROM w"""
+)
+def fitted_prompts(spark, sf):
+    """States cut from the left to forty tokens, where a token is a word."""
+    words: dict[str, int] = {}
+
+    def encode(text: str) -> list[int]:
+        return [words.setdefault(w, len(words)) for w in text.split(" ")]
+
+    def decode(ids: list[int]) -> str:
+        names = list(words)
+        return " ".join(names[i] for i in ids)
+
+    one_line = F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\n\r\f]+", " ")
+    rows = table(spark, sf, "documents").select("doc_id", F.lit("Read: ").alias("prefix"), one_line.alias("state"), F.lit(" Answer:").alias("suffix"))
+    return prompts.fitted(rows, encode, decode, 40, "doc_id").select("doc_id", "truncated", "n_tokens", F.sha2("prompt", 256).alias("prompt"))
+
+
+@query("SELECT 'train' AS split, count(*) AS n FROM nation UNION ALL SELECT 'test', count(*) FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'dev', 0")
+def source_splits(spark, sf):
+    """A source's splits below a pinned revision; one that isn't there is refused."""
+    from ..curate import sources
+
+    root = R.folder(spark)
+    rows = table(spark, sf, "nation").select(F.col("n_name").alias("text"), F.col("n_regionkey").cast("string").alias("label"), "n_regionkey")
+    rows.write.parquet(f"{root}/rev1/train")
+    rows.where("n_regionkey = 1").write.parquet(f"{root}/rev1/test")
+    found = []
+    for split in ("train", "test", "dev"):
+        try:
+            found.append((split, sources.load(spark, "hwu64", root, split, "rev1").count()))
+        except ValueError:
+            found.append((split, 0))
+    return spark.createDataFrame(found, "split string, n long")
