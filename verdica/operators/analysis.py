@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import order_key
+
 #: Resamples of an interval.
 REPS = 10_000
 #: Rows and resamples that are drawn at a time, and rows of a slice.
@@ -63,9 +65,24 @@ def poisson_weights(rows: np.ndarray, first: int, n: int) -> np.ndarray:
     return counts
 
 
+def draws_sql(rows: str, key: str, columns: str, reps: int = REPS, seed: int = 0) -> str:
+    """The same counts in the oracle's dialect: a query of columns, rep and w (how often the row is drawn), without rows not drawn."""
+    wrap = "(({})::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT"
+    shifted = lambda x, n: f"xor({x}, {x} >> {n})"
+    times = lambda x, c: wrap.format(f"({x})::UHUGEINT * {c}::UHUGEINT")
+    w = " + ".join(f"(u >= {edge})::INT" for edge in _EDGES.tolist())
+    return f"""SELECT * FROM (SELECT {columns}, rep, {w} AS w FROM (
+        SELECT {columns}, unnest([2 * step - 2, 2 * step - 1]) AS rep, unnest([x & 4294967295, x >> 32]) AS u FROM (
+        SELECT * EXCLUDE (x), {shifted('x', 31)} AS x FROM (SELECT * EXCLUDE (x), {times(shifted('x', 27), 0x94D049BB133111EB)} AS x FROM (
+        SELECT * EXCLUDE (x), {times(shifted('x', 30), 0xBF58476D1CE4E5B9)} AS x FROM (
+        SELECT *, {wrap.format(f"('0x' || substr(sha256(concat_ws(':', '{seed}', {key})), 1, 15))::UBIGINT::UHUGEINT + step::UHUGEINT * {0x9E3779B97F4A7C15}::UHUGEINT")} AS x
+        FROM {rows}, range(1, {reps // 2 + 1}) AS r(step)))))) ) WHERE w > 0"""
+
+
 def _drawn(rows: DataFrame, key: str, seed: int, *columns: Column) -> DataFrame:
     """The digest that a row's draws come from, as ``_row``, and further columns."""
-    return rows.select(F.xxhash64(F.lit(str(seed)), F.col(key)).alias("_row"), *columns)
+    digest = F.conv(F.substring(order_key(seed, F.col(key)), 1, 15), 16, 10).cast("long")
+    return rows.select(digest.alias("_row"), *columns)
 
 
 def _pieces(batches: Iterable[pa.RecordBatch], reps: int) -> Iterator[tuple[list[np.ndarray], int, np.ndarray]]:

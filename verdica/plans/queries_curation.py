@@ -401,11 +401,11 @@ def manifest_drops(spark, sf):
     f"""WITH {_LABELLED}, t AS (SELECT doc_id, key, CASE WHEN doc_id % 5 < 3 THEN 'train' WHEN doc_id % 5 = 3 THEN 'dev_in' ELSE 'dev_xfer' END AS role FROM l)
 SELECT count(*) AS rows, count(*) - count(DISTINCT doc_id) AS repeated_ids,
 (SELECT count(*) FROM (SELECT key FROM t WHERE role = 'train' INTERSECT SELECT key FROM t WHERE role <> 'train')) AS train_in_dev,
-(SELECT count(*) FROM (SELECT key FROM t WHERE role = 'dev_in' INTERSECT SELECT key FROM t WHERE role = 'dev_xfer')) AS dev_in_xfer FROM t"""
+(SELECT count(*) FROM (SELECT key FROM t WHERE role = 'dev_in' INTERSECT SELECT key FROM t WHERE role = 'dev_xfer')) AS dev_in_xfer, count(*) FILTER (WHERE doc_id % 4 = 0) - count(DISTINCT CASE WHEN doc_id % 4 = 0 THEN doc_id // 8 END) AS repeated_uids FROM t"""
 )
 def set_guards(spark, sf):
-    d = decisions(spark, sf)
-    return guards.set_checks(d.where("id % 5 < 3"), d.where("id % 5 = 3"), d.where("id % 5 = 4"))
+    d = decisions(spark, sf).withColumn("uid", F.when(F.col("id") % 4 == 0, F.floor(F.col("id") / 8)))
+    return guards.set_checks(d.where("id % 5 < 3"), d.where("id % 5 = 3"), d.where("id % 5 = 4"), uid="uid")
 
 
 @query("SELECT event_id AS id, event_type FROM events WHERE event_type NOT IN ('click') AND event_id NOT IN (SELECT event_id FROM events WHERE event_id % 4 = 0)")

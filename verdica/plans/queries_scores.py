@@ -384,13 +384,20 @@ def mcnemar_test(spark, sf):
     return rounded(analysis.mcnemar(_pairs(spark, sf), "a", "b"))
 
 
-@query()
+@query(
+    f"""WITH {_PAIRS}, d AS MATERIALIZED (SELECT vec_id, a - b AS d FROM h), w AS ({analysis.draws_sql('d', 'vec_id', 'd')}), m AS (SELECT rep, sum(w * d) / sum(w)::DOUBLE AS m FROM w GROUP BY rep)
+SELECT round((SELECT avg(d) FROM d), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m"""
+)
 def bootstrap_ci(spark, sf):
     rows = _pairs(spark, sf).withColumn("d", F.col("a") - F.col("b"))
     return rounded(analysis.bootstrap_mean(rows, "d", "vec_id"))
 
 
-@query()
+@query(
+    f"""WITH {_NOUL}, w AS ({analysis.draws_sql('s', 'vec_id', 'y, p')}), g AS (SELECT rep, p, sum(w) FILTER (WHERE y = 1) AS pos, sum(w) FILTER (WHERE y = 0) AS neg FROM w GROUP BY rep, p),
+t AS (SELECT rep, coalesce(pos, 0) AS pos, coalesce(neg, 0) AS neg, sum(coalesce(neg, 0)) OVER (PARTITION BY rep ORDER BY p) - coalesce(neg, 0) / 2.0 AS below FROM g), u AS (SELECT rep, sum(pos * below) / nullif(sum(pos) * sum(neg), 0)::DOUBLE AS auroc FROM t GROUP BY rep)
+SELECT round(quantile_cont(auroc, 0.025), 6) AS low, round(quantile_cont(auroc, 0.975), 6) AS high FROM u"""
+)
 def bootstrap_auroc(spark, sf):
     rows = noul(spark, sf).select("vec_id", "label", item(F.col("probs"), 1).alias("score"))
     return rounded(analysis.bootstrap_auroc(rows, "score", "label", "vec_id"))
