@@ -102,11 +102,13 @@ def staged(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return out
 
 
-def staged_narrow(df: DataFrame) -> DataFrame:
-    """``staged`` for a few numbers a document behind an exchange: files of full size, not one a core or partition.
+def staged_narrow(df: DataFrame, scanned: bool = False) -> DataFrame:
+    """``staged`` for a few numbers a document: files of full size, not one a core or partition.
 
-    Each file costs a task, a listing and, on local file systems, helper processes of the executor.
+    Each file costs a task, a listing and, on local file systems, helper processes of the executor. What comes straight
+    from a scan of texts (``scanned``) is dealt anew, as its partitions are cut for the texts.
     """
+    df = df.hint("rebalance") if scanned else df
     spark, first = df.sparkSession, "spark.sql.adaptive.coalescePartitions.parallelismFirst"
     before = spark.conf.get(first, None)
     spark.conf.set(first, "false")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, native_words, staged, staged_narrow
+from .common import fresh, native_words, staged_narrow
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
@@ -58,8 +58,9 @@ def _order_key(key: Column) -> Column:
 
 def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """One row per document: key, source, size, source_size, target, taken."""
-    sized = staged(
-        docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.size(native_words(F.col(text))).cast("long").alias("size"), _order_key(F.col(key)).alias("at"))
+    sized = staged_narrow(
+        docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.size(native_words(F.col(text))).cast("long").alias("size"), _order_key(F.col(key)).alias("at")),
+        scanned=True,
     )
     n = sized.count()
     ranges = 1 << max(6, (n // RANGE_ROWS).bit_length())

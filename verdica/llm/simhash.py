@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, fresh, map_rows, staged, staged_narrow, texts_of
+from .common import dropped, fresh, map_rows, staged_narrow, texts_of
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -126,7 +126,7 @@ def links(fps: DataFrame, hot_cell: int = HOT_CELL, n_blocks: int | None = None)
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_cell: int = HOT_CELL, n_blocks: int | None = None) -> DataFrame:
     """One row per document: key, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest key reachable."""
-    each = staged(fingerprints(docs, key, text))
+    each = staged_narrow(fingerprints(docs, key, text), scanned=True)
     distinct = staged_narrow(each.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("copies")))
     found = links(distinct.select("fp"), hot_cell, n_blocks)
     roots = components(found)

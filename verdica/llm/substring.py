@@ -291,7 +291,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     n_parts = max(32, int(size / 6 / PART_ENTRIES) + 1)
     able = F.col("_doc").isNotNull() & (F.octet_length("_text") >= 2 * WINDOW - 1)
     hits = _mapped(keyed.where(able).select("_doc", "_tag", "_text"), _anchors, n_parts, ANCHORS)
-    hits = staged(hits).groupBy("doc", "tag").agg(F.collect_list("places").alias("_places"))
+    # in no more files than four a core
+    hits = staged(hits.coalesce(4 * docs.sparkSession.sparkContext.defaultParallelism)).groupBy("doc", "tag").agg(F.collect_list("places").alias("_places"))
     # The same left join as the last one: its exchange of the texts is then used twice. Rows without hits end in the worker.
     met = keyed.join(hits, (F.col("_doc") == F.col("doc")) & (F.col("_tag") == F.col("tag")), "left")
     found = _mapped(met.select("_doc", "_tag", "_text", "_row", "_places"), _candidates, n_parts, WINDOWS)
