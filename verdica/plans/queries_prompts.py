@@ -146,7 +146,7 @@ def answer_requests(spark, sf):
     return good.select("request_id", "model", F.size(F.json_object_keys("answers")).alias("answers"))
 
 
-@query()
+@query("SELECT doc_id::VARCHAR AS request_id, 'two_stage' AS stage, 40 AS n, 1.0::DOUBLE AS mass FROM documents")
 def wide_choice_answers(spark, sf):
     """Choices over 40 options: yes/no prompts for each, then a shortlist, through the lexical backend."""
     rows = questions(spark, sf, "choice", "Which?").withColumn("options", F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.struct(F.concat(F.lit("o"), i.cast("string")).alias("name"), F.lit(None).cast("string").alias("descr"))))

@@ -24,6 +24,12 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/verdica-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """Raw score rows from JSON lines; a half-written last line is left out."""
     return spark.read.schema(RAW).option("mode", "DROPMALFORMED").json(path)
