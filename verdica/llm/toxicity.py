@@ -281,10 +281,15 @@ def _chosen(counts: dict[str, tuple[int, int]], sample: DataFrame, n_toxic: int,
             beside[t][1].add(h & 0xFFFFFFFF)
     least = least_documents(n_toxic, n_clean, many)
     telling = {t: n - 3 * counts[t][1] for t, (b, a) in beside.items() if (n := min(len(b), len(a))) >= least}
+    best: dict[str, tuple[int, str]] = {}  # beginning -> its most telling word
+    for w in (t for t in telling if t[0] == "="):
+        for n in STEMS:
+            if len(w) > n + 1:
+                best[w[1 : n + 1]] = max(best.get(w[1 : n + 1], (0, "")), (telling[w], w))
     chosen: list[tuple[str, int, int]] = []
     for t in sorted(telling, key=lambda t: (-telling[t], -len(t), t)):
-        if t[0] != "=":  # a word with over half of what begins so is the term: its edits are found anyway
-            t = max((w for w in telling if w[0] == "=" and w[1:].startswith(t[1:]) and 2 * telling[w] > telling[t]), key=lambda w: (telling[w], w), default=t)
+        if t[0] != "=" and 2 * best.get(t[1:], (0, ""))[0] > telling[t]:
+            t = best[t[1:]][1]  # a word with over half of what begins so is the term: its edits are found anyway
         alike = any(t[1:].startswith(c[1:]) or c[1:].startswith(t[1:]) for c, _, _ in chosen)
         if telling[t] > 0 and not alike and len(chosen) < MAX_TERMS:
             chosen.append((t, *counts[t]))
