@@ -33,8 +33,9 @@ LONG, BLOCK = 256, 64
 #: Of one recursive query: bytes of its pieces, and the sum of their squares, twice the rows that all rounds hold at most.
 QUERY_BYTES = 400_000
 QUERY_SQUARES = 16_000_000
-#: Pieces remembered between batches.
+#: Pieces remembered between batches, and bytes of a batch: its pieces take some thirty times as much.
 REMEMBERED = 500_000
+BATCH_BYTES = 2 << 20
 
 _ENCODE = """
 WITH RECURSIVE contracted(piece, place, token, done) AS (
@@ -278,7 +279,7 @@ def _over_pieces(docs: DataFrame, path: str, pattern: str, key: str, text: str,
         return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, shaped(counts, ids, decoded))], names=[key, *names])
 
     kind = docs.schema[key].dataType.simpleString()
-    return map_rows(docs, [key, text], rows, f"{key} {kind}, {schema}")
+    return map_rows(docs, [key, text], rows, f"{key} {kind}, {schema}", BATCH_BYTES)
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:

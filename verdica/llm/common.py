@@ -27,10 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
+def bounded_batches(spark: SparkSession, n_bytes: int = BATCH_BYTES) -> None:
     """Keeps what one Python worker holds at a time small, however long the texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(n_bytes))
 
 
 def native_words(text: Column) -> Column:
@@ -148,14 +148,15 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def map_rows(df: DataFrame, columns: Iterable[str], rows: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, columns: Iterable[str], rows: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """mapInArrow over the named columns only: Spark doesn't prune columns through a Python stage."""
-    bounded_batches(df.sparkSession)
+    bounded_batches(df.sparkSession, batch_bytes)
 
     def run(batches):
         alone(rows.__module__)
         for batch in batches:
             if batch.num_rows:
                 yield rows(batch)
+        trim()
 
     return df.select(*columns).mapInArrow(run, schema)
