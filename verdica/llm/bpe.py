@@ -27,15 +27,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import HELD, map_rows
+from .common import BATCH_BYTES, HELD, map_rows
 
 LONG, BLOCK = 256, 64
 #: Of one recursive query: bytes of its pieces, and the sum of their squares, twice the rows that all rounds hold at most.
 QUERY_BYTES = 400_000
 QUERY_SQUARES = 16_000_000
-#: Pieces remembered between batches, and bytes of a batch: its pieces take some thirty times as much.
+#: Pieces remembered between batches.
 REMEMBERED = 500_000
-BATCH_BYTES = 2 << 20
 
 _ENCODE = """
 WITH RECURSIVE contracted(piece, place, token, done) AS (
@@ -268,7 +267,7 @@ def vocabulary(path: str) -> Vocabulary:
     return _OPEN[path]
 
 
-def _over_pieces(docs: DataFrame, path: str, pattern: str, key: str, text: str, schema: str, shaped: Callable) -> DataFrame:
+def _over_pieces(docs: DataFrame, path: str, pattern: str, key: str, text: str, schema: str, shaped: Callable, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     names = [f.split()[0] for f in schema.split(", ")]
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -279,7 +278,7 @@ def _over_pieces(docs: DataFrame, path: str, pattern: str, key: str, text: str,
         return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, shaped(counts, ids, decoded))], names=[key, *names])
 
     kind = docs.schema[key].dataType.simpleString()
-    return map_rows(docs, [key, text], rows, f"{key} {kind}, {schema}", BATCH_BYTES)
+    return map_rows(docs, [key, text], rows, f"{key} {kind}, {schema}", batch_bytes)
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -291,10 +290,13 @@ def encoded(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     return _over_pieces(docs, path, pattern, key, text, "ids array<long>, decoded binary", shaped)
 
 
-def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, ``n_tokens``, and digests of the ids (decimal, joined by a space) and of the decoded bytes; ids stay in the worker."""
+def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """key, ``n_tokens``, and digests of the ids (decimal, joined by a space) and of the decoded bytes; ids stay in the worker.
+
+    A batch's pieces take some thirty times its bytes: ``batch_bytes`` trades memory against queries.
+    """
 
     def shaped(counts, ids, decoded):
         return counts, [sha256(i).hexdigest() for i in ids], [sha256(d).hexdigest() for d in decoded]
 
-    return _over_pieces(docs, path, pattern, key, text, "n_tokens long, ids_sha256 string, decoded_sha256 string", shaped)
+    return _over_pieces(docs, path, pattern, key, text, "n_tokens long, ids_sha256 string, decoded_sha256 string", shaped, batch_bytes)
