@@ -40,8 +40,9 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """In smaller batches than alone: the executors' heaps have grown by then."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.digests(docs, path, public_tokenizers.PATTERN)
+    return bpe.digests(docs, path, public_tokenizers.PATTERN, batch_bytes=2 << 20)
 
 
 STAGES = [
