@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, licenses, mixing, mpeg, quality, simhash, substring, toxicity, transducer
+from . import bpe, html, licenses, mixing, mpeg, quality, simhash, substring, toxicity, transducer, wordbpe
 from .common import table
 
 
@@ -65,7 +65,15 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mpeg_audio, op3_mixing, op4_html_text, op5_license_scan, op6_token_counts, op7_substring_dedup, op8_simhash, op9_toxicity, op10_byte_bpe)}
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordbpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+_ALL = (
+    op1_quality_rules, op2_mpeg_audio, op3_mixing, op4_html_text, op5_license_scan, op6_token_counts, op7_substring_dedup, op8_simhash, op9_toxicity, op10_byte_bpe,
+    op13_word_bpe,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _BLANK = r"[\x20\x09-\x0D]"
 
