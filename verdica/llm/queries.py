@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, licenses, mixing, mpeg, quality, simhash, substring, toxicity, transducer, wordbpe
-from .common import table
+from . import bpe, html, licenses, mixing, mpeg, periodic, quality, simhash, substring, toxicity, transducer, wordbpe
+from .common import native_words, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,13 +65,39 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """One text in ten, by its id, repeats a stretch of its own words up to its end."""
+    h, w = F.crc32(F.col("doc_id").cast("string")), native_words(F.col("text"))
+    n, g = F.size(w), F.floor(h / 10).cast("long")
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    return docs.select("doc_id", F.when((h % 10 == 0) & (n > 0), F.concat_ws(" ", F.slice(w, F.lit(1), a), tail)).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(_made_periodic(table(spark, sf_dir, "documents")))
+    best = found.withColumn("best", periodic.strongest())
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordbpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 _ALL = (
     op1_quality_rules, op2_mpeg_audio, op3_mixing, op4_html_text, op5_license_scan, op6_token_counts, op7_substring_dedup, op8_simhash, op9_toxicity, op10_byte_bpe,
-    op13_word_bpe,
+    op11_periodic_runs, op13_word_bpe,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
