@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, licenses, mixing, mpeg, periodic, quality, simhash, substring, toxicity, transducer, wordbpe
+from . import bpe, html, licenses, mixing, mpeg, periodic, quality, simhash, substring, toxicity, transducer, whitening, wordbpe
 from .common import native_words, table
 
 
@@ -91,13 +91,18 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deviation as a long: beyond some fifty million vectors it may not fit, and Spark raises an error rather than wrap it."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordbpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 _ALL = (
     op1_quality_rules, op2_mpeg_audio, op3_mixing, op4_html_text, op5_license_scan, op6_token_counts, op7_substring_dedup, op8_simhash, op9_toxicity, op10_byte_bpe,
-    op11_periodic_runs, op13_word_bpe,
+    op11_periodic_runs, op12_whitening, op13_word_bpe,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
