@@ -102,6 +102,12 @@ def staged(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return out
 
 
+def settled(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the exchanges behind what is written by now: it learns of them when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def staged_narrow(df: DataFrame, scanned: bool = False) -> DataFrame:
     """``staged`` for a few numbers a document: files of full size, not one a core or partition.
 

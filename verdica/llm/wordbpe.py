@@ -35,10 +35,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, HELD, map_rows, staged, texts_of
+from .common import BATCH_BYTES, HELD, map_rows, settled, staged, texts_of
 
-#: A word is frequent if it makes at least one in so many of all words.
-SHARE = 1 << 21
+#: A word is frequent if it makes at least one in so many of all words. All tasks hold those: at most so many rows.
+SHARE = 1 << 23
 
 #: Byte classes: 0 blank, 1 letter or digit of ASCII, 2 punctuation that splits, 4 all else (apostrophe, special strings' marks, other alphabets).
 _CLASS = np.full(256, 4, np.uint8)
@@ -87,6 +87,7 @@ class Encoder:
         self.vocab = vocab
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(model["merges"])}
         whole = tokenizers.Tokenizer.from_file(path)
+        self.kind = "<u2" if max(self.pieces) < 1 << 16 else "<u4"
         self._normal, self._split = whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str
 
     def word(self, word: str) -> list[int]:
@@ -135,7 +136,7 @@ def encoder(path: str) -> Encoder:
 
 
 def distinct_words(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """word, n (its occurrences in all texts) and ids (little-endian, four bytes each): every distinct word is encoded once."""
+    """word, n (its occurrences in all texts) and ids (little-endian, each as wide as the vocabulary needs): every distinct word is encoded once."""
 
     def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = pc.value_counts(split_words(list(texts_of(batch.column(0))))[0])
@@ -143,7 +144,7 @@ def distinct_words(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def encoded(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = encoder(path)
-        ids = [np.array(own.word(w), "<u4").tobytes() for w in batch.column(0).to_pylist()]
+        ids = [np.array(own.word(w), own.kind).tobytes() for w in batch.column(0).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
 
     counts = map_rows(docs, [text], counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -151,7 +152,7 @@ def distinct_words(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 def _coded(docs: DataFrame, frequent, key: str, text: str, rare: bool) -> DataFrame:
-    """Of each text its digest (a, b) and, if ``rare``, its distinct rare words in order of ``k``, else its codes."""
+    """Of each text its digest (a, b: 96 bits) and, if ``rare``, its distinct rare words in order of their number, else its codes."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         common = frequent.value.column("word")
@@ -172,8 +173,8 @@ def _coded(docs: DataFrame, frequent, key: str, text: str, rare: bool) -> DataFr
         return pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     kind = docs.schema[key].dataType.simpleString()
-    given = docs.select(F.col(key), F.col(text).alias("_text"), F.xxhash64(key, text).alias("a"), F.xxhash64(text, key).alias("b"))
-    return map_rows(given, [key, "_text", "a", "b"], rows, "a long, b long, " + ("rare array<string>" if rare else f"`{key}` {kind}, codes binary, has_rare boolean"))
+    given = docs.select(F.col(key), F.col(text).alias("_text"), F.xxhash64(key, text).alias("a"), F.hash(text, key).alias("b"))
+    return map_rows(given, [key, "_text", "a", "b"], rows, "a long, b int, " + ("rare array<string>" if rare else f"`{key}` {kind}, codes binary, has_rare boolean"))
 
 
 def _packed(codes: np.ndarray) -> bytes:
@@ -191,13 +192,16 @@ def _unpacked(blob: bytes) -> np.ndarray:
 def _assembled(docs: DataFrame, path: str, key: str, text: str, schema: str, shaped) -> DataFrame:
     spark = docs.sparkSession
     words = staged(distinct_words(docs, path, text))
+    settled(spark)
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    common = words.where(F.col("n") * SHARE >= total).select("word", "ids").toArrow()  # at most SHARE rows
+    common = words.where(F.col("n") * SHARE >= total).toArrow().sort_by([("n", "descending")])  # at most SHARE rows
     frequent = spark.sparkContext.broadcast(pa.table({"word": common["word"].combine_chunks().cast(pa.large_string()), "ids": common["ids"].combine_chunks()}))
     seldom = words.where(F.col("n") * SHARE < total).select("word", "ids")
+    # narrow rows: the second half of the digest and the rare word's number share a long
     sent = _coded(docs, frequent, key, text, rare=True).select("a", "b", F.posexplode("rare").alias("k", "word"))
-    back = sent.join(seldom, "word").groupBy("a", "b", "k").agg(F.first("ids").alias("ids"))
-    lists = back.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("k", "ids")))["ids"].alias("rare"))
+    sent = sent.select("a", F.shiftleft(F.col("b").cast("long"), 32).bitwiseOR(F.col("k").cast("long")).alias("bk"), "word")
+    back = sent.join(seldom, "word").select("a", F.shiftright("bk", 32).cast("int").alias("b"), F.struct("bk", "ids").alias("one"))
+    lists = back.groupBy("a", "b").agg(F.sort_array(F.collect_set("one"))["ids"].alias("rare"))
     codes = _coded(docs, frequent, key, text, rare=False)
     joined = codes.join(lists, ["a", "b"], "left")
 
@@ -205,10 +209,10 @@ def _assembled(docs: DataFrame, path: str, key: str, text: str, schema: str, sha
         if any(has and not found for has, found in zip(batch.column("has_rare").to_pylist(), batch.column("rare").is_valid().to_pylist(), strict=True)):
             raise ValueError("the table of documents changed while it was read")
         held = frequent.value.column("ids").combine_chunks()
-        own = batch.column("rare")
+        own, kind = batch.column("rare"), np.dtype(encoder(path).kind)
         every = pa.concat_arrays([held.cast(pa.large_binary()), own.flatten().cast(pa.large_binary())])
-        ends = np.frombuffer(every.buffers()[1], np.int64)[every.offset : every.offset + len(every) + 1] // 4
-        flat = np.frombuffer(every.buffers()[2] or b"", "<u4")
+        ends = np.frombuffer(every.buffers()[1], np.int64)[every.offset : every.offset + len(every) + 1] // kind.itemsize
+        flat = np.frombuffer(every.buffers()[2] or b"", kind)
         base = len(held) + np.cumsum([0, *pc.fill_null(pc.list_value_length(own), 0).to_pylist()])
         per_doc = []
         for blob, at in zip(texts_of(batch.column("codes")), base, strict=False):
