@@ -102,10 +102,15 @@ def staged(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return out
 
 
-def settled(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the exchanges behind what is written by now: it learns of them when the driver collects its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+def staged_alone(df: DataFrame) -> DataFrame:
+    """``staged``, whose exchanges are deleted once it is written, not when the driver happens to collect its garbage."""
+    spark, cleanup = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup)
+    spark.conf.set(cleanup, "true")
+    try:
+        return staged(df)
+    finally:
+        spark.conf.set(cleanup, before)
 
 
 def staged_narrow(df: DataFrame, scanned: bool = False) -> DataFrame:

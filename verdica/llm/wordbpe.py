@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, HELD, map_rows, settled, staged, texts_of
+from .common import BATCH_BYTES, HELD, map_rows, staged_alone, texts_of
 
 #: A word is frequent if it makes at least one in so many of all words. All tasks hold those: at most so many rows.
 SHARE = 1 << 23
@@ -191,8 +191,7 @@ def _unpacked(blob: bytes) -> np.ndarray:
 
 def _assembled(docs: DataFrame, path: str, key: str, text: str, schema: str, shaped) -> DataFrame:
     spark = docs.sparkSession
-    words = staged(distinct_words(docs, path, text))
-    settled(spark)
+    words = staged_alone(distinct_words(docs, path, text))
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     common = words.where(F.col("n") * SHARE >= total).toArrow().sort_by([("n", "descending")])  # at most SHARE rows
     frequent = spark.sparkContext.broadcast(pa.table({"word": common["word"].combine_chunks().cast(pa.large_string()), "ids": common["ids"].combine_chunks()}))
@@ -202,6 +201,7 @@ def _assembled(docs: DataFrame, path: str, key: str, text: str, schema: str, sha
     sent = sent.select("a", F.shiftleft(F.col("b").cast("long"), 32).bitwiseOR(F.col("k").cast("long")).alias("bk"), "word")
     back = sent.join(seldom, "word").select("a", F.shiftright("bk", 32).cast("int").alias("b"), F.struct("bk", "ids").alias("one"))
     lists = back.groupBy("a", "b").agg(F.sort_array(F.collect_set("one"))["ids"].alias("rare"))
+    lists = staged_alone(lists)
     codes = _coded(docs, frequent, key, text, rare=False)
     joined = codes.join(lists, ["a", "b"], "left")
 
