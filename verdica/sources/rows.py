@@ -30,6 +30,15 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
+def kept(rows: DataFrame, schema: str | None) -> DataFrame:
+    """Writes rows to a fresh shared folder and reads them back, which cuts their lineage; ``_folder`` is the place, for ``remove``."""
+    path = folder(rows.sparkSession)
+    rows.write.parquet(path)
+    out = rows.sparkSession.read.schema(schema or rows.schema).parquet(path)
+    out._folder = path
+    return out
+
+
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """Raw score rows from JSON lines; a half-written last line is left out."""
     return spark.read.schema(RAW).option("mode", "DROPMALFORMED").json(path)
