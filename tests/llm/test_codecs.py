@@ -343,3 +343,15 @@ def test_bpe_query(spark, odd, none, texts, encoding):
     full = {r.doc_id: r for r in bpe.encoded(odd.where("doc_id = 7"), RANKS, public_tokenizers.PATTERN).collect()}
     text = dict(texts)[7]
     assert full[7].ids == encoding.encode_ordinary(text) and bytes(full[7].decoded).decode() == text
+
+
+def test_html_marks_need_evidence():
+    """One doubtful word doesn't outdo an article's marks; an article's own header stays, a page's goes; notes of rights go unless an article holds them."""
+    kept = lambda page: html.main_text(page).split("\n\n")
+    assert kept(f"<article><p>{LONG}</p><section class='post-text related-work'><p>{LONG} Related.</p></section></article>") == [LONG, f"{LONG} Related."]
+    assert kept(f"<main><p>{LONG}</p><div class='share search social'><p>Tell others.</p></div></main>") == [LONG]
+    title = "<header><h1>The title of it all</h1></header>"
+    assert kept(f"<header><h1>The daily page</h1></header><article>{title}<p>{LONG}</p></article>") == ["The title of it all", LONG]
+    note = "Copyright 2020 The Daily Page. All rights reserved."
+    assert kept(f"<div>{LONG}</div><div>{LONG}</div><div>{note}</div>") == [LONG, LONG]
+    assert kept(f"<article><p>{LONG}</p><p>All rights reserved.</p></article>") == [LONG, "All rights reserved."]

@@ -13,7 +13,8 @@ Before the flow, nodes whose own cost outweighs all their edges are settled and
 most pages need no search after it.
 
 Defined results: null and empty pages give an empty text; broken markup (open quotes, tags, comments and references cut off at
-the end) is read as browsers do, as far as it goes; repeated rows agree; an empty table gives an empty result.
+the end) is read as browsers do, as far as it goes; pages of any length are taken whole; repeated rows agree; an empty table
+gives an empty result; columns beyond the page's id, address and html don't matter.
 """
 
 from __future__ import annotations
@@ -44,9 +45,16 @@ IMPLIED = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "t
 
 #: Costs of elements and of words in class, id and role: above zero speaks for content.
 ELEMENTS = {"article": 2.0, "main": 2.0, "p": 0.6, "pre": 0.6, "blockquote": 0.6, "h1": 0.8, "h2": 0.4, "h3": 0.4, "nav": -6.0, "footer": -6.0, "aside": -6.0, "form": -6.0, "header": -3.0, "menu": -6.0, "button": -6.0, "dialog": -6.0, "head": -30.0, "title": -30.0, "fieldset": -6.0, "li": -0.4}
-_BAD = re.compile(r"\b(?:nav(?:bar|igation)?|menu|foot(?:er)?|site-?header|masthead|side-?bar|aside|cookies?|consent|gdpr|notice|alert|banner|adverts?|advertisement|ads?|advert-\w+|ad-\w+|sponsor(?:ed)?|promo(?:tion)?|comments?|comment-\w+|disqus|repl(?:y|ies)|respond|share|social|related|recommended|newsletter|subscribe|signup|login|breadcrumbs?|widget|popup|modal|pagination|pager|skip|toolbar|copyright|complementary|contentinfo|search)\b", re.I)
+_BAD = re.compile(r"\b(?:nav(?:bar|igation)?|menu|foot(?:er)?|site-?header|masthead|side-?bar|aside|cookies?|consent|gdpr|adverts?|advertisement|ads?|advert-\w+|ad-\w+|sponsor(?:ed)?|promo(?:tion)?|comments?|comment-\w+|disqus|repl(?:y|ies)|respond|newsletter|subscribe|signup|login|breadcrumbs?|popup|modal|pagination|pager|toolbar|complementary|contentinfo)\b", re.I)
 _GOOD = re.compile(r"\b(?:article|content|main|post|entry|story|article-?body|post-?body|entry-?content|text)\b", re.I)
-BAD_MARK, GOOD_MARK = -6.0, 1.5
+#: Words that may as well name what an article is about: one alone weighs less than an article's marks, two of them more.
+_DOUBTFUL = re.compile(r"\b(?:notice|alert|banner|share|social|related|recommended|widget|skip|copyright|search)\b", re.I)
+BAD_MARK, DOUBTFUL_MARK, GOOD_MARK = -6.0, -3.0, 1.5
+#: Costs of elements within an article that differ there: its own header holds its title.
+IN_ARTICLE = {"header": -0.5}
+#: What a block says of rights counts beyond its look, but for less than an article: there it may be part of the text.
+_RIGHTS = re.compile(r"(?:^(?:copyright\b|©|\(c\))\s*(?:©|\(c\))?\s*\d{4}|\ball rights reserved\b)", re.I)
+RIGHTS, RIGHTS_LENGTH = -2.0, 200
 LOOK = 1.5
 ADJACENT, SIBLING, PARENT = 0.3, 0.3, 0.3
 SCALE = 1 << 10
@@ -110,11 +118,11 @@ def blocks(html: str) -> tuple[list[Block], list[int], list[float]]:
         else:
             while len(open_) > 1 and name in IMPLIED.get(names[open_[-1]], ()):
                 standing[names[open_.pop()]] -= 1
-            own = ELEMENTS.get(name, 0.0)
+            own = IN_ARTICLE[name] if name in IN_ARTICLE and standing["article"] else ELEMENTS.get(name, 0.0)
             if " " in token and (marks := _MARKS.findall(token)):
                 said = " ".join(marks).replace("_", "-")
-                own += BAD_MARK * bool(_BAD.search(said)) or GOOD_MARK * bool(_GOOD.search(said))
-            # a page's own header may stand in an article, an article's in the page: content elements outdo it
+                doubtful = len({w.lower() for w in _DOUBTFUL.findall(said)})
+                own += BAD_MARK * bool(_BAD.search(said)) or DOUBTFUL_MARK * min(doubtful, 2) + GOOD_MARK * bool(_GOOD.search(said))
             parents.append(open_[-1])
             costs.append(own)
             names.append(name)
@@ -151,7 +159,8 @@ FIXED: dict[str, float] = {f"length{n}": min(0.25 * n - 1.5, 0.5) for n in range
 
 def evidence(b: Block, path: float, odds: dict[str, float]) -> float:
     """Classifier: above zero for content."""
-    return path + max(-LOOK, min(LOOK, sum(odds.get(x, 0.0) for x in look(b))))
+    rights = RIGHTS * (len(b.text) <= RIGHTS_LENGTH and bool(_RIGHTS.search(b.text)))
+    return path + rights + max(-LOOK, min(LOOK, sum(odds.get(x, 0.0) for x in look(b))))
 
 
 def minimum_cut(terminals: list[int], edges: dict[int, dict[int, int]]) -> list[bool]:
