@@ -99,11 +99,12 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", templates:
     # windows [k * step, (k + 2) * step) of shingles, of which one has the anchor's word
     last = lambda p: F.least(p, F.col("_n") - 1)
     near = F.transform("_at", lambda p: F.sequence(F.greatest(F.floor((p - (SHINGLE - 1)) / F.col("_step")).cast("int") - 1, F.lit(0)), F.floor(last(p) / F.col("_step")).cast("int")))
-    windows = tokens.select("_key", "_tokens", "_n", "_step", F.explode(F.array_distinct(F.flatten(near))).alias("_k"))
-    start = F.col("_k") * F.col("_step")
-    span = F.sequence(start, F.least(start + 2 * F.col("_step"), F.col("_n")) - 1)
-    hashes = F.array_distinct(F.transform(span, lambda i: F.xxhash64(F.array_join(F.slice(F.col("_tokens"), i + 1, SHINGLE), " "))))
-    hashed = windows.where(start < F.col("_n")).select("_key", "_step", "_k", hashes.alias("_hashes"))
+    # a window takes its own tokens along, not the whole text's
+    own = F.transform(F.array_distinct(F.flatten(near)), lambda k: F.struct(k.alias("k"), F.slice(F.col("_tokens"), k * F.col("_step") + 1, 2 * F.col("_step") + (SHINGLE - 1)).alias("tokens")))
+    windows = tokens.select("_key", "_step", F.explode(own).alias("_w")).select("_key", "_step", F.col("_w.k").alias("_k"), F.col("_w.tokens").alias("_tokens"))
+    span = F.sequence(F.lit(1), F.size("_tokens") - (SHINGLE - 1))
+    hashes = F.array_distinct(F.transform(span, lambda i: F.xxhash64(F.array_join(F.slice(F.col("_tokens"), i, SHINGLE), " "))))
+    hashed = windows.where(F.size("_tokens") >= SHINGLE).select("_key", "_step", "_k", hashes.alias("_hashes"))
     banded = hashed.select("_key", "_step", "_k", "_hashes", F.posexplode(_sketch(F.col("_hashes"))).alias("_band", "_least"))
     table = F.broadcast(template_table(docs.sparkSession, templates))
     met = banded.join(table, (F.col("_step") == F.col("step")) & (F.col("_band") == F.col("band")) & (F.col("_least") == F.col("least")))
