@@ -44,6 +44,16 @@ def test_quality_rejects_junk(spark, junk):
     assert [(r.doc_id, r.kept) for r in quality.apply_rules(rows).orderBy("doc_id").collect()] == [(1, False), (2, True)]
 
 
+def test_quality_counts_stop_words_in_capitals(spark):
+    """Accented ones too: capitals fold as in any language, so a text in capitals counts like its small form."""
+    accented = [w for w in sorted(quality.STOP_WORDS) if not w.isascii()]
+    words = accented + sorted(quality.STOP_WORDS)[:5]
+    assert accented
+    text = " ".join(words * 6)
+    rows = spark.createDataFrame([(1, text), (2, text.upper()), (3, text.title())], "doc_id long, text string")
+    assert [r.n_stop_words for r in quality.measured(rows).orderBy("doc_id").collect()] == [6 * len(words)] * 3
+
+
 def brute_mix(rows: list[tuple]) -> dict:
     """(id, source, size) -> words taken, by one ordered queue."""
     sources = sorted({s for _, s, _ in rows if s is not None}) + ([None] if any(s is None for _, s, _ in rows) else [])
@@ -113,6 +123,21 @@ def test_license_scan(spark, odd, none):
     assert licenses.license_scan(docs).count() == docs.count() and not licenses.license_scan(none).count()
 
 
+def test_license_scan_grows_with_long_texts(spark):
+    """A text full of anchor words: four times the words take some four times the time, not sixteen."""
+    import time
+
+    anchors = licenses.anchors(licenses.TEMPLATES)
+    rng, took = random.Random(9), []
+    for n in (2_000, 40_000, 160_000):
+        text = " ".join(rng.choice(anchors) for _ in range(n)) + " " + licenses.TEMPLATES["mit-text"]
+        rows = spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1)
+        began = time.perf_counter()
+        assert [r.licenses for r in licenses.license_scan(rows).collect()] == ["mit-text"]
+        took.append(time.perf_counter() - began)
+    assert took[2] < 7 * took[1]
+
+
 def test_license_bodies(spark):
     """Whole texts, also with every sixtieth word changed, in other case and layout, inside a long text."""
     rng = random.Random(4)

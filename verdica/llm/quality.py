@@ -1,7 +1,7 @@
 """Quality rules: a threshold table compiled into one projection of JVM expressions.
 
 Defined results: a null text counts as an empty one (no words, ``base_failed``); blank lines never count as
-repeated; repeated rows are judged one by one; an empty table gives an empty result; extra input columns pass
+repeated; texts of any length are taken whole; repeated rows are judged one by one; an empty table gives an empty result; extra input columns pass
 through ``apply_rules`` unless they bear the name of a result column, which replaces them, or of a working column
 (_words, _lines, _hashes); ``kept_documents`` keeps all columns as they are.
 """
@@ -79,7 +79,7 @@ def _covered_by_repeats(hashes: Column) -> Column:
 
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds the counts of a text; three projections, no exchange."""
-    stop = "(?i)(?:^|" + BLANK + ")(?:" + "|".join(sorted(STOP_WORDS)) + ")(?=[.,;:!?]*(?:" + BLANK + "|$))"
+    stop = "(?iu)(?:^|" + BLANK + ")(?:" + "|".join(sorted(STOP_WORDS)) + ")(?=[.,;:!?]*(?:" + BLANK + "|$))"
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda line: line.rlike(NOT_BLANK))
     base = df.withColumns({"_words": native_words(F.col(text)), "_lines": lines})
