@@ -13,7 +13,9 @@ a range starts from the sum of the ranges before. The cut is found by two passes
 finish time; only the few copies of one narrow range are then ordered one by one.
 
 Defined results: null and blank texts have size 0 and are taken 0 times; a source of size 0 has target 0; rows that
-repeat an id follow each other in the queue; an empty table gives an empty result.
+repeat an id follow each other in the queue; texts of any length are taken whole; an empty table gives an empty result; extra columns
+don't matter to ``mixed`` and stay in ``mix``. Where the cut falls between rows that repeat id, source and size, ``mix`` gives each
+of them the larger number of copies: a few words more than the budget, so that equal rows are treated alike.
 """
 
 from __future__ import annotations

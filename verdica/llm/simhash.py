@@ -12,7 +12,8 @@ instead. Two fingerprints share such a neighbour exactly if they differ in two b
 neighbour's members links the same components with 65 rows a fingerprint.
 
 Defined results: null and blank texts have fingerprint zero and link like any other; repeated rows share a
-fingerprint; a null ``doc_id`` never names a component while another id is there; an empty table gives an empty result.
+fingerprint; a null ``doc_id`` never names a component while another id is there; texts of any length are taken whole; an empty table gives an empty result; extra columns don't matter to ``near_duplicates`` and
+stay in ``one_per_group``.
 """
 
 from __future__ import annotations

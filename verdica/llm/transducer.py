@@ -13,6 +13,9 @@ relative counts at its positions.
 No piece reads on over a blank that follows other characters (checked when compiling). So a text's words, each
 with the blanks before it, are chunks that all start in the start state. A chunk's state map is constant; maps
 compose by adding counts, an associative operation, and a prefix scan of them gives the tokens before every chunk.
+
+Defined results: null and empty texts have no tokens and fit the limit; texts of any length are counted whole; repeated rows agree; an
+empty table gives an empty result; extra columns don't matter. Vocabularies with pieces that read on over a blank are refused.
 """
 
 from __future__ import annotations
