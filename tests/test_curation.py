@@ -221,7 +221,8 @@ def test_rows_and_resume(spark, tmp_path):
     good = {"id": "a", "split": "test", "label": 1, "kind": "noul", "logits": [1.0, 0.0]}
     with open(path, "w") as f:
         f.write(json.dumps(good) + "\n" + json.dumps(good | {"id": "b"}) + "\n" + json.dumps(good)[:20])
-    assert {r["id"] for r in R.read_raw(spark, path).collect()} == {"a", "b"}
+    assert {(r["id"], r["line"]) for r in R.read_raw(spark, path).collect()} == {("a", 1), ("b", 2)}
+    assert not R.read_raw(spark, f"{tmp_path}/none.jsonl").count()
     todo = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
     out = f"{tmp_path}/scored"
     assert R.resumable_append(todo.limit(2), out, lambda d: d) == 2 and R.resumable_append(todo, out, lambda d: d) == 1 and R.resumable_append(todo, out, lambda d: d) == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import inspect
 import math
 import random
@@ -204,7 +205,7 @@ def test_resamples(spark):
     rows = spark.createDataFrame([(i, s / 10, y) for i, s, y in data], "id int, score double, label int")
     for reps in (40, 1001):
         got = analysis.bootstrap_auroc(rows, "score", "label", "id", reps).first()
-        drawn = np.array([r[0] for r in rows.select(F.xxhash64(F.lit("0"), "id")).collect()]).view(np.uint64)
+        drawn = np.array([int(hashlib.sha256(f"0:{i}".encode()).hexdigest()[:15], 16) for i, _, _ in data], np.uint64)
         w = analysis.poisson_weights(drawn, 0, reps + reps % 2)[:, :reps].T.astype(float)
         s, y = np.array([r[1] for r in data]), np.array([r[2] for r in data])
         wins = (s[y == 1][:, None] > s[y == 0]) + 0.5 * (s[y == 1][:, None] == s[y == 0])

@@ -40,8 +40,8 @@ def _raw(paths: list[str]):
     spark = _spark()
     frames = []
     for folder in run_folders(spark, paths):
-        rows = read_raw(spark, f"{folder}/raw.jsonl").withColumns({"run_id": F.lit(folder.rstrip("/").rsplit("/", 1)[-1]), "_seq": F.monotonically_increasing_id()})
-        frames.append(last_wins(rows, ["run_id", "id"], "_seq").drop("_seq"))
+        rows = read_raw(spark, f"{folder}/raw.jsonl").withColumn("run_id", F.lit(folder.rstrip("/").rsplit("/", 1)[-1]))
+        frames.append(last_wins(rows, ["run_id", "id"], "line").drop("line"))
     if not frames:
         raise ValueError("no run folders found")
     return union_all(frames)

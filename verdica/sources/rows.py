@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .lines import numbered_lines
+
 RAW = "id string, split string, label int, kind string, logits array<double>, cycle_logits array<array<double>>, prompt_tokens int, truncated boolean, stage string, latency_ms double, stage1_logits array<double>"
 OPTION = "struct<name:string,descr:string>"
 DECISION = f"id string, source string, family string, state string, question struct<type:string,instructions:string,options:array<{OPTION}>,true_text:string,false_text:string>, label int, candidate string, target array<double>"
@@ -40,8 +42,18 @@ def kept(rows: DataFrame, schema: str | None) -> DataFrame:
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Raw score rows from JSON lines; a half-written last line is left out."""
-    return spark.read.schema(RAW).option("mode", "DROPMALFORMED").json(path)
+    """Raw score rows from JSON lines, with their ``line``. A half-written last line of a file is left out; any other bad line is an error.
+
+    A path that isn't there has no rows.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(place):
+        return spark.createDataFrame([], f"{RAW}, line long")
+    lines = numbered_lines(spark, path).where(~F.col("torn") & F.col("text").rlike(r"\S"))
+    rows = lines.select("file", "line", F.from_json("text", f"{RAW}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    bad = F.col("r").isNull() | F.col("r._bad").isNotNull()
+    said = F.concat(F.col("file"), F.lit(":"), F.col("line").cast("string"), F.lit(": not a row of raw scores"))
+    return rows.where(F.when(bad, F.raise_error(said).cast("boolean")).otherwise(True)).select("r.*", "line").drop("_bad")
 
 
 def last_wins(rows: DataFrame, key: list[str], sequence: str) -> DataFrame:
