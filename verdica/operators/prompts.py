@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, named, strip
@@ -91,6 +91,44 @@ def as_candidate(options: Column, answer: Column, j: Column | int) -> tuple[Colu
     return F.get(options, (answer + j % 2) % F.size(options)), (j % 2).cast("int")
 
 
+DEMO = "demo_set string, ord int, state string, type string, instructions string, options array<struct<name:string,descr:string>>, true_text string, false_text string, answer int"
+
+#: Solved examples for questions that bring none, by type; the set's name is the type.
+BUILT_IN = [
+    ("choice", 0, "The lift stands still between two floors, and its light flickers.", "choice", "Which team should look at this?", [("gardeners", "plants and paths"), ("electricians", "lifts, lights and wiring"), ("cooks", None)], None, None, 1),
+    ("choice", 1, "Two seats in the third row, please, for the late show on Friday.", "choice", "What does the guest want?", [("buy tickets", None), ("leave a complaint", None)], None, None, 0),
+    ("score", 0, "It does what it should, though the case scratches easily.", "score", "How content is the writer?", [("not at all", None), ("somewhat", None), ("fully", None)], None, None, 1),
+    ("score", 1, "Best soup in town. We come every week!", "score", "How content is the writer?", [("not at all", None), ("somewhat", None), ("fully", None)], None, None, 2),
+    ("noul", 0, "The museum opens at ten and closes at six, except on Mondays.", "noul", "The museum is open at noon on Mondays.", None, "the text says so", "the text says otherwise", 1),
+    ("noul", 1, "Her train left Graz an hour before his.", "noul", "Did she leave before him?", None, None, None, 0),
+]
+
+
+def built_in_demos(spark: SparkSession, shots: int) -> DataFrame:
+    """The first ``shots`` built-in examples of each type."""
+    return spark.createDataFrame([d for d in BUILT_IN if d[1] < shots], DEMO)
+
+
+def prefixes(demos: DataFrame, wanted: DataFrame, shots: int) -> DataFrame:
+    """demo_set, form, n and the prefix of the first ``shots`` examples of a set, in a form.
+
+    ``wanted`` has demo_set, form and n, in any number of rows: a prefix is made once for each of them that differs. Form "letter" shows
+    a choice's options in a window of ``n`` around the gold one; form "candidate" asks yes or no about one option. Other types stay as they are.
+    """
+    each = wanted.select("demo_set", "form", "n").distinct().join(demos.where(F.col("ord") < shots), "demo_set")
+    choice = F.col("type") == "choice"
+    n = F.when(choice, F.least("n", F.size("options"))).otherwise(F.size("options"))
+    start = F.when(choice, F.least(F.greatest(F.col("answer") - F.col("ord") % n, F.lit(0)), F.size("options") - n)).otherwise(0)
+    window = F.when(F.col("options").isNotNull(), F.slice("options", start + 1, n))
+    header, lines = question_lines(F.col("type"), F.col("instructions"), window, F.col("true_text"), F.col("false_text"))
+    letters_text = demo_text(F.col("state"), header, lines, F.col("answer") - F.when(choice, start).otherwise(0))
+    option, answer = as_candidate(F.col("options"), F.col("answer"), F.col("ord"))
+    asked, yes_no = candidate_lines(F.col("instructions"), option["name"], option["descr"])
+    text = F.when((F.col("form") == "candidate") & choice, demo_text(F.col("state"), asked, yes_no, answer)).otherwise(letters_text)
+    found = each.groupBy("demo_set", "form", "n").agg(F.array_sort(F.collect_list(F.struct("ord", text.alias("text")))).alias("d"))
+    return found.select("demo_set", "form", "n", F.array_join(F.transform("d", lambda s: s["text"]), "").alias("prefix"))
+
+
 def hypotheses(kind: Column, instructions: Column, options: Column, true_text: Column) -> Column:
     """Statements for an entailment model: one for yes/no, else one an option."""
     ins = collapse(instructions)

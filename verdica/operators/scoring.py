@@ -66,19 +66,39 @@ def stage1(pairs: DataFrame, keys: list[str], margin: str = "margin", place: str
     return lp.withColumn("rank", F.row_number().over(w.orderBy(F.desc("lp"), place)))
 
 
-def score(questions: DataFrame, backend: Backend, shortlist: int = SHORTLIST, letters: int = LETTERS) -> DataFrame:
+def _prefixed(rows: DataFrame, form: Column, n: Column, demos: DataFrame | None, shots: int) -> DataFrame:
+    """Rows with the ``prefix`` of their demo set in a form, made once a set; without demos as they are."""
+    if demos is None:
+        return rows
+    asked = rows.drop("prefix").withColumns({"_form": form, "_n": n})
+    made = prompts.prefixes(demos, asked.select("demo_set", F.col("_form").alias("form"), F.col("_n").alias("n")), shots)
+    made = made.select("demo_set", F.col("form").alias("_form"), F.col("n").alias("_n"), "prefix")
+    return asked.join(made, ["demo_set", "_form", "_n"], "left").drop("_form", "_n")
+
+
+def score(questions: DataFrame, backend: Backend, shortlist: int = SHORTLIST, letters: int = LETTERS, demos: DataFrame | None = None, shots: int = 0) -> DataFrame:
     """Raw scores of question rows (request_id, ord, qid, type, instructions, state, options, true_text, false_text, prefix).
 
     Narrow questions are one prompt; wide choices one yes/no prompt an option, then one prompt over the best. Both
     passes read all their prompts at once. Prompts carry ``place``: an option's place, -1 for a whole question, -2 for a
     shortlist.
+
+    Solved examples stand before each prompt if ``shots`` are asked for: those of the question's ``demo_set`` in ``demos``, without one the
+    built-in ones of its type. They take the form of the prompt: lettered with as many options as it may have, or yes and no.
     """
     if shortlist < 2:
         raise ValueError("shortlist must be 2 or more")
     keys = ["request_id", "ord"]
+    if shots > 0:
+        own = questions if "demo_set" in questions.columns else questions.withColumn("demo_set", F.lit(None).cast("string"))
+        questions = own.withColumn("demo_set", F.coalesce("demo_set", "type"))
+        built_in = prompts.built_in_demos(questions.sparkSession, shots)
+        demos = built_in if demos is None else demos.unionByName(built_in.join(F.broadcast(demos.select("demo_set").where(F.col("demo_set").isin("choice", "score", "noul")).distinct()), "demo_set", "left_anti"))
+    else:
+        demos = None
     wide = (F.col("type") == "choice") & (F.size("options") > letters)
-    narrow = prompts.with_prompt(questions.where(~wide))
-    options = questions.where(wide).select("*", F.posexplode("options").alias("place", "option"))
+    narrow = prompts.with_prompt(_prefixed(questions.where(~wide), F.lit("letter"), F.lit(letters), demos, shots))
+    options = _prefixed(questions.where(wide), F.lit("candidate"), F.lit(2), demos, shots).select("*", F.posexplode("options").alias("place", "option"))
     first = prompts.with_candidate_prompt(options)
     columns = ["request_id", "ord", "place", "prefix", "state", "suffix", "n_labels"]
     table = narrow.withColumn("place", F.lit(-1)).select(*columns).unionByName(first.select(*columns))
@@ -90,6 +110,7 @@ def score(questions: DataFrame, backend: Backend, shortlist: int = SHORTLIST, le
     )
     lp = ranked.withColumn("lp1", P.log_softmax(F.col("margins"))).withColumn("kept", P.shortlist(F.col("lp1"), min(shortlist, letters)))
     short = questions.where(wide).join(lp, keys).withColumn("options", F.transform("kept", lambda j: F.get(F.col("options"), j)))
+    short = _prefixed(short, F.lit("letter"), F.size("kept"), demos, shots)
     second = run_backend(prompts.with_prompt(short.withColumn("place", F.lit(-2))), backend, [*keys, "place"]).select(*keys, F.col("logits").alias("l2"), F.col("prompt_tokens").alias("tokens2"), F.col("truncated").alias("cut2"))
     merged = lp.join(second, keys).select(
         *keys,

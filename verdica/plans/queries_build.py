@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..curate import admit as A
 from ..curate import build
 from ..functions import hashing as H
 from ..functions import text as T
+from ..operators import batching, scoring
 from .catalog import query, table
+from .queries_prompts import questions
 
 #: Sources of the build are the documents' sources by number modulo 4; c and d are siblings. b's held-out rows come from even documents first.
 CHAINS = [
@@ -129,3 +131,29 @@ def quota_fallback(spark, sf):
     edges = spark.createDataFrame(_EDGES, "source string, family string, to_source string, to_family string, place int")
     after, log = A.rerouted(counts, checks, edges)
     return after.withColumn("moved_to", F.lit(None).cast("string")).unionByName(log.select("source", "family", "n", F.col("to_source").alias("moved_to")))
+
+
+_STRIP = "trim({}, ' ' || chr(9) || chr(10) || chr(13))"
+_BLOCK = "{} || chr(10) || chr(10) || 'Question: Where is it?' || chr(10) || {} || chr(10) || 'Answer:'"
+_LINES = "array_to_string(list_transform(range(1, len({0}) + 1), lambda i: chr((64 + i)::INT) || '. ' || {0}[i]), chr(10))"
+
+
+@query(
+    f"""WITH o AS (SELECT list(r_name ORDER BY r_regionkey) AS names FROM region),
+d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS ord, (doc_id % 5)::INT AS answer, {_STRIP.format("coalesce(text, '')")} AS state FROM documents),
+w AS (SELECT lang, ord, state, names, answer FROM d, o WHERE ord < 3),
+p AS (SELECT lang, string_agg({_BLOCK.format("state", _LINES.format("names"))} || ' ' || chr((65 + answer)::INT) || chr(10) || chr(10), '' ORDER BY ord) AS prefix FROM w GROUP BY lang),
+t AS (SELECT doc_id, string_split(prefix || {_BLOCK.format("state", _LINES.format("names"))}, ' ') AS w FROM d JOIN p USING (lang), o)
+SELECT doc_id::VARCHAR AS request_id, len(w)::INT AS prompt_tokens, {", ".join(f"round(len(list_filter(w, lambda x: length(x) % 26 = {k})) / len(w)::DOUBLE, 9) AS logit{k}" for k in range(5))} FROM t"""
+)
+def few_shot_scores(spark, sf):
+    """Each document's region, asked with three solved documents of its language before it; a stand-in model reads batches by length."""
+    asked = questions(spark, sf, "choice", "Where is it?")
+    docs = table(spark, sf, "documents").select("doc_id", "lang", F.col("doc_id").cast("string").alias("request_id"))
+    rows = asked.join(docs, "request_id").withColumn("demo_set", F.col("lang"))
+    rank = F.row_number().over(Window.partitionBy("demo_set").orderBy("doc_id"))
+    shown = rows.withColumn("ord", rank).where(F.col("ord") <= 3)  # three a language
+    demos = shown.select("demo_set", (F.col("ord") - 1).alias("ord"), "state", "type", "instructions", "options", "true_text", F.lit(None).cast("string").alias("false_text"), (F.col("doc_id") % 5).cast("int").alias("answer"))
+    read = batching.model_backend("word-lengths", batching.WordLengths)
+    seen = scoring.score(rows, read, demos=demos, shots=3)
+    return seen.select("request_id", "prompt_tokens", *[F.round(F.get("logits", F.lit(k)), 9).alias(f"logit{k}") for k in range(5)])
