@@ -188,7 +188,8 @@ def test_source_mappers(spark):
         "fewrel": ([("P1", ["a", "b", "c"], {"indices": [[0, 1]]}, {"indices": [[2]]}), ("P2", ["a"], {"indices": [[5]]}, {"indices": [[0]]})], "relation string, tokens array<string>, head struct<indices:array<array<int>>>, tail struct<indices:array<array<int>>>", ["P1", "empty_text"]),
         "massive_intent": ([("7", "wake me", "alarm")], "id string, text string, label_text string", ["alarm"]),
         "multirc": ([("para", "q", "a", 1)], "paragraph string, question string, answer string, label int", ["true"]),
-        "go_emotions": ([("t", [1, 2]), ("t", [])], "text string, labels array<int>", ["1,2", "unlabelled"]),
+        "go_emotions": ([("t", [1, 2]), ("t", [])], "text string, labels array<int>", ["amusement,anger", "unlabelled"]),
+        "clinc": ([("x", 0), ("x", 2), ("", 2), ("", 0), ("x", 42), ("x", 151), ("x", -1)], "text string, intent int", ["restaurant reviews", "excluded_intent", "excluded_intent", "empty_text", "oos", "unlabelled", "unlabelled"]),
     }
     for name, (data, ddl, want) in cases.items():
         df = spark.createDataFrame(data, ddl).coalesce(1).withColumn("row", F.monotonically_increasing_id())

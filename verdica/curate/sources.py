@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .labels import named
 
 NLI = ["entailment", "neutral", "contradiction"]
 
@@ -159,15 +160,19 @@ MAPPERS: dict[str, Callable[[], dict[str, Column]]] = {
 }
 
 
-def normalised(source: str, rows: DataFrame, key: str = "row") -> DataFrame:
-    """source, row id, cleaned texts, cls, keys and skip_reason. dailydialog takes one utterance a dialogue first."""
+def normalised(source: str, rows: DataFrame, key: str = "row", labels: DataFrame | None = None) -> DataFrame:
+    """source, row id, cleaned texts, cls (named by a label table, see ``labels.named``), keys and skip_reason. dailydialog takes one utterance a dialogue first."""
+    return named(source, _mapped_rows(source, rows, key), labels)
+
+
+def _mapped_rows(source: str, rows: DataFrame, key: str) -> DataFrame:
     if source == "dailydialog":
         from ..functions.hashing import uniform
 
         at = F.floor(uniform("dialogue", F.col(key)) * F.size("utterances")).cast("int")
         uneven = F.when((F.size("utterances") < 1) | (F.size("utterances") != F.size("acts")), "empty_text").alias("uneven")
         rows = rows.select(key, F.get("utterances", at).alias("text"), F.get("acts", at).alias("act"), uneven)
-        return rows.select(F.lit(source).alias("source"), key, *[v.alias(k) for k, v in _mapped({"text": c("text")}, F.when(c("act") >= 0, c("act")), c("uneven"), least=2).items()])
+        return rows.select(F.lit(source).alias("source"), key, *[v.alias(k) for k, v in _mapped({"text": c("text")}, F.when(c("uneven").isNull() & (c("act") >= 0), c("act")), c("uneven"), least=2).items()])
     return rows.select(F.lit(source).alias("source"), key, *[v.alias(k) for k, v in MAPPERS[source]().items()])
 
 
