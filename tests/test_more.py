@@ -5,6 +5,9 @@ from __future__ import annotations
 import json
 import os
 import random
+import threading
+import time
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -152,11 +155,24 @@ def test_http_refusals(spark):
     assert [send(h)[0] for h in ({}, {"Content-Length": "-1"}, {"Content-Length": "x"}, {"Content-Length": str((4 << 20) + 1)})] == [411, 400, 400, 413]
     body = json.dumps({"state": "s", "model": "m", "questions": {"a": {"type": "noul", "instructions": "x"}}}).encode()
     assert send({"Content-Length": "5"}, body) == (400, {"error": "invalid JSON"})
-    service.turn.acquire()
-    assert send({"Content-Length": str(len(body))}, body) == (503, {"error": "busy"})
-    service.turn.release()
+    # while one table is answered, others wait, and go together into the next one
+    go, answers = threading.Event(), service._answers
+    service._answers = lambda bodies: go.wait() and answers(bodies)
+    length = {"Content-Length": str(len(body))}
+    service.wait = 60
+    with ThreadPoolExecutor(9) as clients:
+        first = clients.submit(send, length, body)
+        while service.counts["jobs"] < 1:
+            time.sleep(0.01)
+        others = [clients.submit(send, length, body) for _ in range(8)]
+        while len(service.waiting) < 8:
+            time.sleep(0.01)
+        service.wait = 0.01
+        assert send(length, body) == (503, {"error": "busy"})
+        go.set()
+        assert [f.result()[0] for f in (first, *others)] == [200] * 9 and service.counts["jobs"] == 2
     broken = http.Service(spark, backend=None)
-    assert broken.respond("POST", "/v1/systemone", {"Content-Length": str(len(body))}, lambda n: body) == (500, {"error": "internal error"}) and broken.counts == {"requests": 1, "errors": 1}
+    assert broken.respond("POST", "/v1/systemone", {"Content-Length": str(len(body))}, lambda n: body) == (500, {"error": "internal error"}) and broken.counts == {"requests": 1, "errors": 1, "jobs": 1}
 
 
 def test_platt_on_parted_margins(spark):

@@ -427,9 +427,10 @@ def early_stop(spark, sf):
     return analysis.rises(table(spark, sf, "events").select(F.col("event_id").alias("step"), "value"), "step", "value").select("step", "stop")
 
 
-@query("SELECT s::BIGINT AS step, round(CASE WHEN s <= 20 THEN 0.001 * s / 20 ELSE 0.001 * (0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1, (s - 20) / 180.0)))) END, 9) AS rate FROM range(1, 241) AS r(s)")
+@query("SELECT event_id AS step, round(CASE WHEN s <= 100 THEN 0.001 * s / 100 ELSE 0.001 * (0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1, (s - 100) / 4900.0)))) END, 9) AS rate FROM (SELECT event_id, event_id + 1 AS s FROM events)")
 def lr_schedule(spark, sf):
-    return spark.range(1, 241).select(F.col("id").alias("step"), F.round(analysis.learning_rate(F.col("id"), 200, 0.001, 20), 9).alias("rate"))
+    """The rate at each event's step; steps beyond the 5,000th keep the least."""
+    return table(spark, sf, "events").select(F.col("event_id").alias("step"), F.round(analysis.learning_rate(F.col("event_id") + 1, 5000, 0.001, 100), 9).alias("rate"))
 
 
 @query("SELECT count(*) AS n, sum(('0x' || substr(sha256(doc_id || ':' || source), 1, 12))::BIGINT)::VARCHAR AS digest FROM documents")

@@ -131,41 +131,81 @@ BODIES = [
 ]
 
 
-def bodies(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, json.dumps(b)) for k, b, _ in BODIES], "request_id string, body string")
+WORDS = ["the", "und", "les", "que"]
+_ASKED = {"z": {"type": "choice", "instructions": "Which?", "criteria": dict.fromkeys(WORDS)}, "s": {"type": "score", "instructions": "How much?", "criteria": WORDS[:3]}, "a": {"type": "noul", "instructions": "Is it so?"}}
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {'NULL' if k == 'ok' else repr(p)})" for k, _, p in BODIES for _ in range(3 if k == "ok" else 1)) + ") AS v(request_id, error_path)")
+def bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document as the state of a request; one in as many as there are faults is right, the others have one fault each."""
+    asked = [("ok", {"state": "s", "model": "m", "questions": _ASKED}, None), *BODIES[1:]]
+    parts = []
+    for _, body, _ in asked:
+        said = json.dumps(body)
+        head, mark, tail = said.partition('"state": "s"')
+        parts.append((head + '"state": ', tail, True) if mark else (said, "", False))
+    of = F.get(F.array(*[F.struct(F.lit(h).alias("head"), F.lit(t).alias("tail"), F.lit(m).alias("whole")) for h, t, m in parts]), (F.col("doc_id") % len(parts)).cast("int"))
+    state = F.regexp_extract(F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
+    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("request_id"), F.concat(of["head"], F.when(of["whole"], state).otherwise(""), of["tail"]).alias("body"))
+
+
+_PATHS = ", ".join("NULL" if k == "ok" else repr(p) for k, _, p in BODIES)
+
+
+@query(f"SELECT doc_id::VARCHAR AS request_id, [{_PATHS}][doc_id % {len(BODIES)} + 1] AS error_path FROM documents, range(0, 3) AS r(k) WHERE k = 0 OR doc_id % {len(BODIES)} = 0")
 def validate_requests(spark, sf):
-    return schema.parsed(bodies(spark)).select("request_id", "error_path")
+    return schema.parsed(bodies(spark, sf)).select("request_id", "error_path")
+
 
+def _counts(words: list[str]) -> str:
+    """How often each word stands in the text, as the stand-in backend counts."""
+    return "[" + ", ".join(f"((length(lower(s)) - length(replace(lower(s), '{w}', ''))) / {len(w)})::DOUBLE" for w in words) + "]"
 
-@query("SELECT 'ok' AS request_id, 'm' AS model, 3 AS answers")
+
+@query(
+    f"""WITH d AS (SELECT doc_id, {STATE.replace("text", "coalesce(text, '')")} AS s FROM documents WHERE doc_id % {len(BODIES)} = 0),
+c AS (SELECT doc_id, {_counts(WORDS)} AS c, {_counts(WORDS[:3])} AS l, {_counts(["yes", "no"])} AS y FROM d),
+p AS (SELECT doc_id, list_position(c, list_max(c)) AS best, 1 / list_sum(list_transform(c, lambda x: exp(x - list_max(c)))) AS p, list_transform(l, lambda x: exp(x - list_max(l))) AS e, 1 / (1 + exp(y[2] - y[1])) AS yes FROM c)
+SELECT doc_id::VARCHAR AS request_id, 'm' AS model, 'z,s,a' AS asked, {WORDS!r}[best] AS choice, round(p, 4) AS p, round((e[2] + 2 * e[3]) / list_sum(e), 4) AS score, round(yes, 4) AS noul FROM p"""
+)
 def answer_requests(spark, sf):
-    good, _ = engine.answer(bodies(spark))
-    return good.select("request_id", "model", F.size(F.json_object_keys("answers")).alias("answers"))
+    """Answers of the right requests, in the order of their questions."""
+    good, _ = engine.answer(bodies(spark, sf))
+    told = F.from_json("answers", "z struct<choice:string,probabilities:array<struct<name:string,p:double>>>, s struct<score:double>, a struct<noul:double>")
+    rows = good.withColumn("t", told)
+    best = F.array_max(F.transform("t.z.probabilities", lambda x: x["p"]))
+    return rows.select("request_id", "model", F.array_join(F.json_object_keys("answers"), ",").alias("asked"), "t.z.choice", F.round(best, 4).alias("p"), F.round("t.s.score", 4).alias("score"), F.round("t.a.noul", 4).alias("noul"))
+
+
+MANY = [f"{a}{b}" for a in "aeioudst" for b in "nrlst"]
 
 
-@query("SELECT doc_id::VARCHAR AS request_id, 'two_stage' AS stage, 40 AS n, 1.0::DOUBLE AS mass FROM documents")
+@query(
+    f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS s FROM documents), c AS (SELECT doc_id, {_counts(MANY)} AS c FROM d),
+p AS (SELECT doc_id, c, list_max(c) + ln(list_sum(list_transform(c, lambda x: exp(x - list_max(c))))) AS mass FROM c)
+SELECT doc_id::VARCHAR AS request_id, 'two_stage' AS stage, unnest(range(0, {len(MANY)}))::INT AS place, round(unnest(c) - mass, 5) + 0.0 AS logit FROM p"""
+)
 def wide_choice_answers(spark, sf):
-    """Choices over 40 options: yes/no prompts for each, then a shortlist, through the lexical backend."""
-    rows = questions(spark, sf, "choice", "Which?").withColumn("options", F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.struct(F.concat(F.lit("o"), i.cast("string")).alias("name"), F.lit(None).cast("string").alias("descr"))))
-    raw = scoring.score(rows, scoring.lexical_backend)
-    return raw.select("request_id", "stage", F.size("logits").alias("n"), F.round(F.aggregate("logits", F.lit(0.0), lambda a, x: a + F.exp(x)), 6).alias("mass"))
+    """Choices over 40 options: yes/no prompts for each, then a shortlist, through a backend whose two readings agree, so the outcome is one softmax."""
+    options = F.array(*[F.struct(F.lit(x).alias("name"), F.lit(None).cast("string").alias("descr")) for x in MANY])
+    raw = scoring.score(questions(spark, sf, "choice", "Which?").withColumn("options", options), scoring.lexical_backend)
+    return raw.select("request_id", "stage", F.posexplode("logits").alias("place", "logit")).withColumn("logit", F.round("logit", 5) + F.lit(0.0))
 
 
 TAXONOMY = "1. Reset Password | User wants a new password.\n- reset password | again\nno separator\n* Close-Account | Wants to leave  for good.\nother | anything\n | nameless\nblank |  "
-_VALUES = "(VALUES ('d', " + " || chr(10) || ".join("'" + x + "'" for x in TAXONOMY.split("\n")) + ")) AS v(doc, text)"
+#: Lines of a text as taxonomy lines; one in five without a separator.
+_LINE = "concat(CASE i % 4 WHEN 0 THEN '- ' WHEN 1 THEN '2. ' ELSE '' END, split_part(l, ' ', 1), ' ', split_part(l, ' ', 2), CASE WHEN i % 5 = 4 THEN '' ELSE ' | ' END, split_part(l, ' ', 3), '  ', split_part(l, ' ', 4), '.')"
 
 
 @query(
-    f"""WITH l AS (SELECT doc, unnest(string_split(text, chr(10))) AS line, unnest(range(0, 7)) AS pos FROM {_VALUES}),
+    f"""WITH l AS (SELECT doc_id AS doc, unnest(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l, j: {_LINE.replace('i % ', '(j - 1) % ')})) AS line, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
 b AS (SELECT doc, pos, regexp_replace(line, '^\\s*(?:[-*•]|\\d+[.)])\\s*', '') AS s FROM l),
 n AS (SELECT doc, pos, trim(regexp_replace(lower(trim(string_split(s, '|')[1])), '[^a-z0-9]+', '_', 'g'), '_') AS intent, rtrim(trim(regexp_replace(substr(s, strpos(s, '|') + 1), '\\s+', ' ', 'g')), '.') AS description FROM b WHERE contains(s, '|'))
-SELECT doc, pos::INT AS pos, intent, description FROM (SELECT *, row_number() OVER (PARTITION BY intent ORDER BY pos) AS r FROM n WHERE intent <> '' AND description <> '' AND intent NOT IN ('other', 'none_of_the_above')) WHERE r = 1"""
+SELECT doc, pos::INT AS pos, intent, description FROM (SELECT *, row_number() OVER (PARTITION BY doc, intent ORDER BY pos) AS r FROM n WHERE intent <> '' AND description <> '' AND intent NOT IN ('other', 'none_of_the_above')) WHERE r = 1"""
 )
 def parse_taxonomy(spark, sf):
-    docs = spark.createDataFrame([("d", TAXONOMY)], "doc string, text string")
+    """Each document's lines as lines of a taxonomy: an intent of two words and a description of two."""
+    lines = F.expr(f"array_join(transform(split(coalesce(text, ''), '\\n'), (l, i) -> {_LINE}), '\\n')")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), lines.alias("text"))
     return synth.taxonomy_lines(docs, "doc").select("doc", "pos", "intent", "description")
 
 
@@ -218,58 +258,58 @@ def letter_targets(spark, sf):
     return R.letter_target(_decision_rows(spark, sf)).select("id", "letter", "n_letters")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{'answered' if k == 'ok' else 'rejected'}')" for k, _, _ in BODIES) + ") AS v(request_id, outcome)")
+@query(f"SELECT doc_id::VARCHAR AS request_id, CASE WHEN doc_id % {len(BODIES)} = 0 THEN 'answered' ELSE 'rejected' END AS outcome FROM documents")
 def stream_serve(spark, sf):
     """Requests as a file stream, answered in micro-batches; an invalid one goes to the dead letters."""
     from ..streaming import serve
 
     base = R.folder(spark)
-    rows = bodies(spark).withColumn("ts", F.lit("2026-01-01 00:00:00").cast("timestamp"))
-    rows.unionByName(rows.where("request_id = 'ok'")).coalesce(1).write.json(f"{base}/in")
+    rows = bodies(spark, sf).withColumn("ts", F.lit("2026-01-01 00:00:00").cast("timestamp"))
+    rows.unionByName(rows.where(F.col("request_id").cast("long") % len(BODIES) == 0)).write.json(f"{base}/in")
     serve.serve(serve.request_stream(spark, f"{base}/in"), f"{base}/answers", f"{base}/errors", f"{base}/checkpoint").awaitTermination()
     good = spark.read.parquet(f"{base}/answers").select("request_id", F.lit("answered").alias("outcome"))
     return good.unionByName(spark.read.parquet(f"{base}/errors").select("request_id", F.lit("rejected").alias("outcome")))
 
 
-#: Requests to the service: name, method, path, key, body; status and what is in the answer.
-CALLS = [
-    ("health", "GET", "/health", None, None, 200, "ready"),
-    ("models", "GET", "/v1/models?all=1", "secret", None, 200, "lexical"),
-    ("no_key", "GET", "/v1/models", None, None, 401, "unauthorized"),
-    ("wrong_key", "POST", "/v1/systemone", "other", "{}", 401, "unauthorized"),
-    ("method", "GET", "/v1/systemone", "secret", None, 405, "method not allowed"),
-    ("path", "GET", "/v2", "secret", None, 404, "not found"),
-    ("no_json", "POST", "/v1/systemone", "secret", "{", 400, "invalid JSON"),
-    ("list", "POST", "/v1/systemone", "secret", "[]", 400, "body must be a JSON object"),
-    ("fault", "POST", "/v1/systemone", "secret", '{"state": "s", "model": "m", "questions": {"a": {"type": "noul"}}}', 422, "questions.a.instructions"),
-    ("answer", "POST", "/v1/systemone", "secret", '{"state": "a red gate", "model": "m", "questions": {"b": {"type": "noul", "instructions": "Is it red?"}, "a": {"type": "choice", "instructions": "What is red?", "criteria": {"gate": null, "sea": null}}}}', 200, "b,a"),
-]
+#: What a request lacks, by nation modulo 5: status and what is said.
+_REFUSED = {1: (401, "unauthorized"), 2: (400, "invalid JSON"), 3: (422, "questions.q.instructions")}
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{c[0]}', {c[5]}::INT, '{c[6]}')" for c in CALLS) + ") AS v(name, status, said)")
+@query(
+    f"""SELECT n_nationkey, CASE n_nationkey % 5 {" ".join(f"WHEN {k} THEN {s}" for k, (s, _) in _REFUSED.items())} ELSE 200 END::INT AS status,
+CASE n_nationkey % 5 {" ".join(f"WHEN {k} THEN '{m}'" for k, (_, m) in _REFUSED.items())} ELSE CASE WHEN length(n_name) - length(replace(n_name, 'I', '')) > (length(n_name) - length(replace(n_name, 'AN', ''))) / 2 THEN 'i' ELSE 'an' END END AS said FROM nation"""
+)
 def http_service(spark, sf):
-    """The HTTP service on a free port, asked by a client."""
+    """The HTTP service on a free port, asked about each nation's name by clients at the same time; some lack a key, JSON or instructions."""
     import threading
     import urllib.error
     import urllib.request
+    from concurrent.futures import ThreadPoolExecutor
 
     from ..streaming import http
 
-    def told(body: dict) -> str:
-        return ",".join(body["answers"]) if "answers" in body else body["data"][0]["id"] if "data" in body else body.get("path") or body.get("error") or body["status"]
-
-    rows = []
-    with http.listening(http.Service(spark, key="secret")) as server:
+    asked = {"type": "choice", "instructions": "Which sound?", "criteria": {"an": None, "i": None}}
+
+    def ask(row) -> tuple[int, int, str]:
+        n, kind = row["n_nationkey"], row["n_nationkey"] % 5
+        question = {k: v for k, v in asked.items() if k != "instructions"} if kind == 3 else asked
+        body = "{" if kind == 2 else json.dumps({"state": row["n_name"], "model": "m", "questions": {"q": question}})
+        headers = {} if kind == 1 else {"Authorization": "Bearer secret"}
+        call = urllib.request.Request(f"http://127.0.0.1:{server.server_address[1]}/v1/systemone", body.encode(), headers)
+        try:
+            with urllib.request.urlopen(call, timeout=300) as answer:
+                return n, answer.status, json.load(answer)["answers"]["q"]["choice"]
+        except urllib.error.HTTPError as e:
+            told = json.load(e)
+            return n, e.code, told.get("path") or told["error"]
+
+    nations = table(spark, sf, "nation").select("n_nationkey", "n_name").collect()  # 25 rows
+    with http.listening(http.Service(spark, key="secret", wait=300)) as server:
         threading.Thread(target=server.serve_forever, daemon=True).start()
-        for name, method, path, key, body, *_ in CALLS:
-            ask = urllib.request.Request(f"http://127.0.0.1:{server.server_address[1]}{path}", body.encode() if body is not None else None, {"Authorization": f"Bearer {key}"} if key else {}, method=method)
-            try:
-                with urllib.request.urlopen(ask, timeout=300) as answer:
-                    rows.append((name, answer.status, told(json.load(answer))))
-            except urllib.error.HTTPError as e:
-                rows.append((name, e.code, told(json.load(e))))
+        with ThreadPoolExecutor(8) as clients:
+            rows = list(clients.map(ask, nations))
         server.shutdown()
-    return spark.createDataFrame(rows, "name string, status int, said string")
+    return spark.createDataFrame(rows, "n_nationkey int, status int, said string")
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -349,12 +389,19 @@ def identical_rows(spark, sf):
     return verify.row_mismatches(rows, other)
 
 
-@query("SELECT * FROM (VALUES (true, 4::BIGINT, true, 1::BIGINT, 1::BIGINT, false)) AS v(mean_nll_lower, improved, enough_improved, worse_nll, worse_accuracy, overfit)")
+_ARMS = "SELECT source, avg(doc_id % 7) / 7 AS base_nll, avg(n_chars % 7) / 7 AS arm_nll, (avg(n_chars % 5) - 2) / 4 AS nll_high, (avg(n_chars % 3) - 1) / 2 AS acc_diff, (avg(n_chars % 11) - 5) / 8 AS ece_diff FROM {} GROUP BY source"
+
+
+@query(
+    f"""WITH t AS ({_ARMS.format("documents")}), b AS (SELECT *, nll_high < 0 OR acc_diff >= 0.05 - 1e-9 AS better FROM t)
+SELECT avg(arm_nll) < avg(base_nll) AS mean_nll_lower, count(*) FILTER (WHERE better) AS improved, count(*) FILTER (WHERE better) >= 4 AS enough_improved, count(*) FILTER (WHERE arm_nll - base_nll > 0.05) AS worse_nll,
+count(*) FILTER (WHERE acc_diff < -0.05) AS worse_accuracy, count(*) FILTER (WHERE ece_diff > 0.05) >= 3 AS overfit FROM b"""
+)
 def adoption_rules(spark, sf):
+    """Sources as tasks, with measures made of their documents' ids and lengths."""
     from ..curate import verify
 
-    tasks = [(0.9, 0.5, -0.3, 0.02, 0.0), (0.8, 0.6, 0.01, 0.05, 0.06), (0.7, 0.6, -0.01, 0.0, 0.07), (0.6, 0.7, 0.2, -0.06, 0.0), (0.9, 0.9, 0.1, 0.0, 0.0), (0.9, 0.8, -0.02, 0.0, 0.0)]
-    return verify.improvement_rules(spark.createDataFrame(tasks, "base_nll double, arm_nll double, nll_high double, acc_diff double, ece_diff double"))
+    return verify.improvement_rules(spark.sql(_ARMS.format("{docs}"), docs=table(spark, sf, "documents")))
 
 
 @query("SELECT doc_id, (length(text) % 7)::DOUBLE AS entail FROM documents")
