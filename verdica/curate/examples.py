@@ -83,6 +83,61 @@ def choice_rows(rows: DataFrame, seed: str, key: str, gold: str, labels: Column)
     return out.withColumn("label", (F.array_position("options", answer) - 1).cast("int")).drop("_labels", "_other", "_wrong")
 
 
+#: What an "other" option may be told to mean.
+OTHER_MEANINGS = ["nothing else on this list is right", "whatever the rest leaves out"]
+
+
+def collision_free(options: Column, taken: Column | None = None) -> Column:
+    """The first option of each name in an array of (raw, name, descr, shown), names compared by ``shown`` without case, white space and end marks.
+
+    ``taken`` holds such keys that none may have. Each option looks for its key among those before it: label sets are short.
+    """
+    keyed = F.transform(options, lambda o: F.struct(o.alias("o"), T.norm_text(o["shown"]).alias("n")))
+    first = lambda s: F.filter(s, lambda x, i: (F.array_position(F.transform(s, lambda y: y["n"]), x["n"]) == i + 1) & ~F.array_contains(taken if taken is not None else F.array(F.lit("")), x["n"]))
+    return F.transform(F.get(F.transform(F.array(keyed), first), F.lit(0)), lambda x: x["o"])
+
+
+def described_choice_rows(rows: DataFrame, seed: str, key: str, gold: str, labels: Column) -> DataFrame:
+    """Choices with name styles and descriptions. Adds k, options (name and descr), label, style, descriptions, nota and other.
+
+    labels: array of (raw, name, descr); gold: the raw name of the right one, or null. All names of a row have one style. An
+    option whose name in that style is another's, the gold one's or an "other" one's is passed over. Descriptions are shown of all options, of none, or of
+    each by its own draw. "None of the above" stands last, another "other" anywhere.
+    """
+    rid = F.col(key)
+    draw = lambda name, *more: H.uniform(seed, rid, F.lit(name), *more)
+    style = H.choose(draw("style"), F.array(*[F.lit(x) for x in NAME_STYLES]))
+    rows = rows.withColumn("style", style)
+    shown = F.transform(labels, lambda x: F.struct(x["raw"].alias("raw"), x["name"].alias("name"), x["descr"].alias("descr"), T.styled(x["raw"], x["name"], F.col("style")).alias("shown")))
+    rows = rows.withColumn("_all", shown)
+    is_gold = lambda x: F.coalesce(x["raw"] == F.col(gold), F.lit(False))
+    rows = rows.withColumn("_gold", F.get(F.filter("_all", is_gold), F.lit(0)))
+    taken = F.concat(F.array(*[F.lit(x) for x in OTHERS]), F.array(F.coalesce(T.norm_text(F.col("_gold.shown")), F.lit(""))))
+    pool = H.shuffled(F.filter("_all", lambda x: ~is_gold(x)), seed, rid, F.lit("others"))
+    rows = rows.withColumn("_pool", collision_free(pool, taken=taken))
+    k = option_count(seed, rid, F.size("_pool") + 1)
+    nota = (draw("nota") < NONE_OF_ABOVE) | F.col("_gold").isNull()
+    rows = rows.withColumns({"k": k, "nota": nota, "_wrong": F.slice("_pool", F.lit(1), k - 1)})
+    rows = rows.withColumn("other", F.col("nota") | ((draw("other") < OTHER_DISTRACTOR) & (F.size("_wrong") >= 2)))
+    kept = F.when(F.col("nota"), F.col("_wrong")).when(F.col("other"), F.array_append(F.slice("_wrong", F.lit(1), F.size("_wrong") - 1), F.col("_gold"))).otherwise(F.array_append("_wrong", F.col("_gold")))
+    mode = F.when(F.exists("_all", lambda x: x["descr"].isNotNull()), H.pick(draw("descriptions"), DESCRIPTIONS)).otherwise("none")
+    rows = rows.withColumns({"_kept": H.shuffled(kept, seed, rid, F.lit("order")), "descriptions": mode})
+    tells = lambda u: (F.col("descriptions") == "all") | ((F.col("descriptions") == "mixed") & (u < 0.5))
+    real = F.transform("_kept", lambda x: F.struct(x["shown"].alias("name"), F.when(tells(draw("shown", x["raw"])), x["descr"]).alias("descr")))
+    word = H.choose(draw("othername"), F.array(*[F.lit(x) for x in OTHERS]))
+    word = F.when(F.col("style") == "raw", F.lit("other")).when(F.col("style") == "title", F.concat(F.upper(F.left(word, F.lit(1))), F.substr(word, F.lit(2)))).otherwise(word)
+    meaning = H.choose(draw("meaning"), F.array(*[F.lit(x) for x in OTHER_MEANINGS]))
+    rows = rows.withColumns({"_real": real, "_word": word, "_extra": F.struct(word.alias("name"), F.when(tells(draw("othershown")), meaning).alias("descr"))})
+    n = F.size("_real")
+    place = F.when(F.contains("_word", F.lit("above")) | (draw("last") < 0.5), n).otherwise(F.floor(draw("place") * (n + 1)).cast("int"))
+    rows = rows.withColumn("_place", place)
+    options = F.when(F.col("other"), F.concat(F.slice("_real", F.lit(1), F.col("_place")), F.array("_extra"), F.slice("_real", F.col("_place") + 1, F.greatest(n - F.col("_place"), F.lit(0))))).otherwise(F.col("_real"))
+    rows = rows.withColumn("options", options)
+    answer = F.when(F.col("nota"), F.col("_word")).otherwise(F.col("_gold.shown"))
+    label = (F.array_position(F.transform("options", lambda o: o["name"]), answer) - 1).cast("int")
+    return rows.withColumns({"label": label, "k": F.size("options")}).drop("_all", "_gold", "_pool", "_wrong", "_kept", "_real", "_word", "_extra", "_place")
+
+
 def neighbours(labels: DataFrame, name: str = "name", order: str = "ord", keep: int = NEIGHBOURS) -> DataFrame:
     """(name, neighbour, similarity, rank): the most similar names by Jaccard overlap of trigrams; ties keep label order.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +58,38 @@ def example_errors(instructions: Column, options: Column, kind: Column, family:
     return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(k)) for k, c in checks.items()]))
 
 
+def registry_faults(sources: DataFrame, labels: DataFrame, templates: DataFrame, benchmark: DataFrame, excluded: DataFrame, others: list[str], styles: list[str], least_hard: int = 16) -> DataFrame:
+    """source, fault and what of a registry before any row is made; empty if all is well.
+
+    sources: source, dataset. labels: source, label_set, raw, name, phrase, hard. templates: source, label_set, kind (choice, statement, question or
+    negation), text with {p} for a label's phrase. benchmark: text of wordings that training must not repeat. excluded: dataset.
+
+    Names collide within a style; wordings are compared after all labels stand in all templates. Both by normalised keys, in joins and
+    counts over the expansion, which is never gathered.
+    """
+    fault = lambda rows, name, what: rows.select("source", F.lit(name).alias("fault"), what.alias("what"))
+    styled = labels.select("source", "label_set", "raw", "name", F.explode(F.array(*[F.lit(s) for s in styles])).alias("style"))
+    styled = styled.withColumn("shown", T.styled(F.col("raw"), F.col("name"), F.col("style")))
+    twice = styled.groupBy("source", "label_set", "style", "shown").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    named_other = styled.where(T.norm_text(F.col("shown")).isin([o.lower() for o in others])).select("source", "shown").distinct()
+    asks = F.trim("text").endswith("?")
+    marks = templates.where(F.when(F.col("kind") == "question", ~asks).when(F.col("kind").isin("statement", "negation"), asks).otherwise(False))
+    with_labels = templates.where(F.contains("text", F.lit("{p}"))).join(labels.select("source", "label_set", F.coalesce("phrase", "name").alias("p")), ["source", "label_set"])
+    wording = with_labels.select("source", F.replace("text", F.lit("{p}"), F.col("p")).alias("w")).unionByName(templates.where(~F.contains("text", F.lit("{p}"))).select("source", F.col("text").alias("w")))
+    theirs = benchmark.select(F.sha2(T.norm_text(F.col("text")), 256).alias("k")).distinct()
+    repeats = wording.withColumn("k", F.sha2(T.norm_text(F.col("w")), 256)).join(theirs, "k", "left_semi").select("source", "w").distinct()
+    few = labels.where("hard").groupBy("source", "label_set").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < least_hard)
+    found = [
+        fault(sources.join(excluded, "dataset", "left_semi"), "excluded_dataset", F.col("dataset")),
+        fault(twice, "names_collide", F.concat_ws(": ", "style", "shown")),
+        fault(named_other, "named_like_other", F.col("shown")),
+        fault(marks, "question_mark", F.col("text")),
+        fault(repeats, "benchmark_wording", F.col("w")),
+        fault(few, "too_few_labels", F.col("label_set")),
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 def same_as_bench(rows: DataFrame, bench: DataFrame, key: str = "id") -> DataFrame:
     """Ad-hoc rows beside benchmark rows of the same id: pairs, differing labels, largest logit difference."""
     both = rows.select(key, F.col("label").alias("la"), F.col("logits").alias("za")).join(bench.select(key, F.col("label").alias("lb"), F.col("logits").alias("zb")), key)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..curate import admit as A
-from ..curate import build
+from ..curate import build, examples, verify
 from ..functions import hashing as H
 from ..functions import text as T
 from ..operators import batching, scoring
@@ -157,3 +157,92 @@ def few_shot_scores(spark, sf):
     read = batching.model_backend("word-lengths", batching.WordLengths)
     seen = scoring.score(rows, read, demos=demos, shots=3)
     return seen.select("request_id", "prompt_tokens", *[F.round(F.get("logits", F.lit(k)), 9).alias(f"logit{k}") for k in range(5)])
+
+
+def _n(x: str) -> str:
+    """SQL: a name's key."""
+    return f"regexp_replace(lower(trim({x})), '[.?! ]+$', '')"
+
+
+_D = lambda *parts: H.uniform_sql("'c'", "doc_id", *parts)
+_STYLED = "CASE style WHEN 'raw' THEN x.raw WHEN 'title' THEN array_to_string(list_transform(string_split(x.name, ' '), lambda w: upper(left(w, 1)) || w[2:]), ' ') ELSE x.name END"
+_SHUFFLED = "list_transform(list_sort(list_transform(range(0, len({0})), lambda i: {{'h': {1}, 'i': i, 'x': ({0})[i + 1]}})), lambda s: s.x)"
+_K = lambda i: "CASE " + " ".join(f"WHEN u < {sum(w for _, w in examples.OPTION_COUNTS[: n + 1])} THEN {r[i]}" for n, (r, _) in enumerate(examples.OPTION_COUNTS[:-1])) + f" ELSE {examples.OPTION_COUNTS[-1][0][i]} END"
+_TELLS = lambda u: f"(mode = 'all' OR (mode = 'mixed' AND {u} < 0.5))"
+
+
+@query(
+    f"""WITH nl AS (
+    SELECT n_nationkey AS o, lower(replace(n_name, ' ', '_')) AS raw, lower(n_name) AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'in region ' || n_regionkey END AS descr FROM nation
+    UNION ALL SELECT 100 + n_nationkey, lower(replace(n_name, ' ', '_')) || '.', lower(n_name) || CASE WHEN n_nationkey % 8 = 0 THEN ' !' ELSE '.' END, NULL FROM nation WHERE n_nationkey % 4 = 0
+    UNION ALL SELECT 200, 'none_of_the_above', 'None of the above', NULL
+), ll AS (SELECT list({{'raw': raw, 'name': name, 'descr': descr}} ORDER BY o) AS labels FROM nl),
+a AS (SELECT doc_id, CASE WHEN doc_id % 26 < 25 THEN (SELECT raw FROM nl WHERE o = doc_id % 26) END AS gold, labels, {examples.NAME_STYLES}[floor({_D("'style'")} * 3)::INT + 1] AS style FROM documents, ll),
+b AS (SELECT doc_id, gold, style, list_transform(labels, lambda x: {{'raw': x.raw, 'descr': x.descr, 'shown': {_STYLED}}}) AS every FROM a),
+c AS (SELECT *, list_filter(every, lambda x: x.raw = gold)[1] AS g, list_filter(every, lambda x: x.raw IS DISTINCT FROM gold) AS rest FROM b),
+d AS (SELECT *, {_SHUFFLED.format("rest", H.order_sql("'c'", "doc_id", "'others'", "i"))} AS sh FROM c),
+e AS (SELECT *, list_transform(sh, lambda x: {_n('x.shown')}) AS ns FROM d),
+f AS (SELECT *, list_filter(sh, lambda x, i: list_position(ns, ns[i]) = i AND NOT list_contains({examples.OTHERS}, ns[i]) AND ns[i] <> coalesce({_n('g.shown')}, '')) AS pool, {_D("'k'")} AS u, {_D("'k2'")} AS v FROM e),
+h AS (SELECT *, greatest(2, least({_K(0)} + floor(v * ({_K(1)} - {_K(0)} + 1)), len(pool) + 1, {examples.MAX_OPTIONS}))::INT AS k, {_D("'nota'")} < {examples.NONE_OF_ABOVE} OR g IS NULL AS nota FROM f),
+w AS (SELECT *, pool[1:k - 1] AS wrong FROM h),
+o AS (SELECT *, nota OR ({_D("'other'")} < {examples.OTHER_DISTRACTOR} AND len(wrong) >= 2) AS other, CASE WHEN {_D("'descriptions'")} < 0.4 THEN 'all' WHEN {_D("'descriptions'")} < 0.9 THEN 'none' ELSE 'mixed' END AS mode FROM w),
+p AS (SELECT *, CASE WHEN nota THEN wrong WHEN other THEN list_append(wrong[1:len(wrong) - 1], g) ELSE list_append(wrong, g) END AS those, {examples.OTHERS}[floor({_D("'othername'")} * 3)::INT + 1] AS word0 FROM o),
+q AS (SELECT *, {_SHUFFLED.format("those", H.order_sql("'c'", "doc_id", "'order'", "i"))} AS kept, CASE style WHEN 'raw' THEN 'other' WHEN 'title' THEN upper(left(word0, 1)) || word0[2:] ELSE word0 END AS word FROM p),
+r AS (SELECT *, list_transform(kept, lambda x: x.shown || CASE WHEN x.descr IS NOT NULL AND {_TELLS(_D("'shown'", "x.raw"))} THEN ': ' || x.descr ELSE '' END) AS real, list_transform(kept, lambda x: x.shown) AS names,
+    word || CASE WHEN {_TELLS(_D("'othershown'"))} THEN ': ' || {examples.OTHER_MEANINGS}[floor({_D("'meaning'")} * 2)::INT + 1] ELSE '' END AS extra,
+    CASE WHEN contains(word, 'above') OR {_D("'last'")} < 0.5 THEN len(kept) ELSE floor({_D("'place'")} * (len(kept) + 1))::INT END AS place FROM q)
+SELECT doc_id, style, mode AS descriptions, nota, other, (len(real) + other::INT)::INT AS k, array_to_string(CASE WHEN other THEN list_concat(real[1:place], [extra], real[place + 1:]) ELSE real END, '|') AS options,
+    (list_position(CASE WHEN other THEN list_concat(names[1:place], [word], names[place + 1:]) ELSE names END, CASE WHEN nota THEN word ELSE g.shown END) - 1)::INT AS label FROM r"""
+)
+def described_choices(spark, sf):
+    """Choices over the nations, some of which have twins that differ by an end mark; one label is named like an "other"."""
+    nation = table(spark, sf, "nation")
+    raw, name = F.lower(F.replace("n_name", F.lit(" "), F.lit("_"))), F.lower("n_name")
+    none = F.lit(None).cast("string")
+    plain = nation.select(F.col("n_nationkey").alias("o"), raw.alias("raw"), name.alias("name"), F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("in region "), F.col("n_regionkey").cast("string"))).alias("descr"))
+    twins = nation.where("n_nationkey % 4 = 0").select((F.col("n_nationkey") + 100).alias("o"), F.concat(raw, F.lit(".")).alias("raw"), F.concat(name, F.when(F.col("n_nationkey") % 8 == 0, F.lit(" !")).otherwise(F.lit("."))).alias("name"), none.alias("descr"))
+    like_other = spark.range(1).select(F.lit(200).alias("o"), F.lit("none_of_the_above").alias("raw"), F.lit("None of the above").alias("name"), none.alias("descr"))
+    rows = plain.unionByName(twins).unionByName(like_other)
+    labels = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "raw", "name", "descr"))), lambda s: F.struct(s["raw"].alias("raw"), s["name"].alias("name"), s["descr"].alias("descr"))).alias("labels"))
+    golds = plain.select((F.col("o")).alias("_o"), F.col("raw").alias("gold"))
+    docs = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 26).alias("_o")).join(F.broadcast(golds), "_o", "left").crossJoin(labels)
+    made = examples.described_choice_rows(docs, "c", "doc_id", "gold", F.col("labels"))
+    told = F.transform("options", lambda o: F.concat(o["name"], F.coalesce(F.concat(F.lit(": "), o["descr"]), F.lit(""))))
+    return made.select("doc_id", "style", "descriptions", "nota", "other", "k", F.array_join(told, "|").alias("options"), "label")
+
+
+_TEMPLATES = [("statement", "The place is {p}."), ("question", "Is the place {p}?"), ("negation", "Isn't the place {p}?"), ("question", "The place is {p}, or is it."), ("choice", "Which place?")]
+
+
+@query(
+    f"""WITH l AS (
+    SELECT r_name AS source, lower(replace(n_name, ' ', '_')) AS raw, lower(n_name) AS name, 'the land of ' || n_name AS phrase, r_regionkey > 2 AS hard FROM nation JOIN region ON n_regionkey = r_regionkey
+    UNION ALL SELECT r_name, lower(n_name), lower(n_name), NULL, r_regionkey > 2 FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 6 = 0
+    UNION ALL SELECT 'ASIA', 'Other!', 'Other!', NULL, false
+),
+t(kind, text) AS (VALUES {", ".join(f"('{k}', '{x.replace(chr(39), chr(39) * 2)}')" for k, x in _TEMPLATES)}),
+s AS (SELECT source, style, CASE style WHEN 'raw' THEN raw WHEN 'title' THEN array_to_string(list_transform(string_split(name, ' '), lambda w: upper(left(w, 1)) || w[2:]), ' ') ELSE name END AS shown FROM l, (VALUES ('raw'), ('spaced'), ('title')) AS v(style)),
+w AS (SELECT source, replace(text, '{{p}}', coalesce(phrase, name)) AS w FROM l, t WHERE text LIKE '%{{p}}%' UNION ALL SELECT r_name, text FROM region, t WHERE text NOT LIKE '%{{p}}%' UNION ALL SELECT 'AFRICA', '  ' || upper(text) || ' ?' FROM benchmark WHERE item_id % 10 = 3),
+b AS (SELECT {_n("regexp_replace(text, '\\s+', ' ', 'g')")} AS k FROM benchmark UNION SELECT {_n("'Is the place the land of ' || n_name || '?'")} FROM nation WHERE n_nationkey % 5 = 0)
+SELECT source, 'names_collide' AS fault, style || ': ' || shown AS what FROM s GROUP BY source, style, shown HAVING count(*) > 1
+UNION ALL SELECT DISTINCT source, 'named_like_other', shown FROM s WHERE {_n("shown")} IN ('something else', 'none of the above', 'other')
+UNION ALL SELECT r_name, 'question_mark', text FROM region, t WHERE (kind = 'question' AND text NOT LIKE '%?') OR (kind IN ('statement', 'negation') AND text LIKE '%?')
+UNION ALL SELECT DISTINCT source, 'benchmark_wording', w FROM w WHERE {_n("regexp_replace(w, '\\s+', ' ', 'g')")} IN (SELECT k FROM b)
+UNION ALL SELECT source, 'too_few_labels', 'places' FROM l WHERE hard GROUP BY source HAVING count(*) < 6
+UNION ALL SELECT r_name, 'excluded_dataset', 'set/' || r_regionkey FROM region WHERE r_regionkey IN (1, 4)"""
+)
+def registry_checks(spark, sf):
+    """Regions as sources, nations as labels; planted are twin names, a label named like an "other", wrong question marks and wordings of the benchmark."""
+    region, nation, benchmark = (table(spark, sf, t) for t in ("region", "nation", "benchmark"))
+    both = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    none, hard = F.lit(None).cast("string"), F.col("r_regionkey") > 2
+    label = lambda rows, raw, phrase: rows.select(F.col("r_name").alias("source"), F.lit("places").alias("label_set"), raw.alias("raw"), F.lower("n_name").alias("name"), phrase.alias("phrase"), hard.alias("hard"))
+    labels = label(both, F.lower(F.replace("n_name", F.lit(" "), F.lit("_"))), F.concat(F.lit("the land of "), "n_name")).unionByName(label(both.where("n_nationkey % 6 = 0"), F.lower("n_name"), none))
+    labels = labels.unionByName(spark.createDataFrame([("ASIA", "places", "Other!", "Other!", None, False)], labels.schema))
+    kinds = spark.createDataFrame(_TEMPLATES, "kind string, text string")
+    templates = region.select(F.col("r_name").alias("source"), F.lit("places").alias("label_set")).crossJoin(F.broadcast(kinds))
+    planted = benchmark.where("item_id % 10 = 3").select(F.lit("AFRICA").alias("source"), F.lit("places").alias("label_set"), F.lit("choice").alias("kind"), F.concat(F.lit("  "), F.upper("text"), F.lit(" ?")).alias("text"))
+    held = benchmark.select("text").unionByName(nation.where("n_nationkey % 5 = 0").select(F.concat(F.lit("Is the place the land of "), "n_name", F.lit("?")).alias("text")))
+    sources = region.select(F.col("r_name").alias("source"), F.concat(F.lit("set/"), F.col("r_regionkey").cast("string")).alias("dataset"))
+    excluded = spark.createDataFrame([("set/1",), ("set/4",)], "dataset string")
+    return verify.registry_faults(sources, labels, templates.unionByName(planted), held, excluded, examples.OTHERS, examples.NAME_STYLES, least_hard=6)
