@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import hashing as H
 from ..functions import text as T
 from . import guards
 
@@ -26,12 +29,10 @@ def taxonomy_lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def utterance_lines(docs: DataFrame, keys: list[str], text: str = "text", most: int = 15) -> DataFrame:
-    """(keys, n, text): one message a line without bullets and quotes, 2 to 80 words, the first ``most``."""
-    lines = docs.select(*keys, F.posexplode(F.split(text, r"\r?\n")).alias("pos", "line"))
-    bare = T.collapse(F.regexp_replace(T.strip(F.regexp_replace("line", BULLET, "")), '^["“”]+|["“”]+$', ""))
-    good = lines.select(*keys, "pos", bare.alias("text")).where(F.size(F.split("text", " ")).between(2, 80))
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy("pos")) - 1
-    return good.withColumn("n", n).where(F.col("n") < most).select(*keys, "n", "text")
+    """(keys, n, text): one message a line without bullets and quotes, 2 to 80 words, the first ``most`` of each row. Lines are chosen in their row: no exchange."""
+    bare = F.transform(F.split(text, r"\r?\n"), lambda x: T.collapse(F.regexp_replace(T.strip(F.regexp_replace(x, BULLET, "")), '^["“”]+|["“”]+$', "")))
+    good = F.filter(bare, lambda x: F.size(F.split(x, " ")).between(2, 80))
+    return docs.select(*keys, F.posexplode(F.slice(good, 1, most)).alias("n", "text"))
 
 
 def interleaved(intents: DataFrame, done: DataFrame, domain: str = "domain_ord", intent: str = "intent_ord") -> DataFrame:
@@ -104,3 +105,56 @@ def carried(rows: DataFrame, existing: DataFrame, flagged_intents: DataFrame) ->
     keyed = rows.withColumns({"_domain": F.regexp_extract(F.get(parts, F.lit(1)), r"(\d+)$", 1), "_intent": F.get(parts, F.lit(2))})
     bad = flagged_intents.select(F.col("domain_ord").cast("string").alias("_domain"), F.col("intent").alias("_intent"))
     return keyed.join(bad, ["_domain", "_intent"], "left_anti").drop("_domain", "_intent").join(existing.select("id"), "id", "left_anti").dropDuplicates(["id"])
+
+
+FLAG_ASKED = "Is this support request about money: banking, payments, cards, loans or one's own finances?"
+
+
+def flag_questions(intents: DataFrame) -> DataFrame:
+    """A yes/no question row for each (domain, intent, description)."""
+    state = F.concat_ws("\n", F.concat(F.lit("Support desk: "), "domain"), F.concat(F.lit("Intent: "), F.replace("intent", F.lit("_"), F.lit(" "))), F.concat(F.lit("Description: "), "description"))
+    none = F.lit(None).cast("string")
+    options = F.lit(None).cast("array<struct<name:string,descr:string>>")
+    return intents.select("domain", "intent", F.concat_ws("/", "domain", "intent").alias("request_id"), F.lit("noul").alias("type"), F.lit(FLAG_ASKED).alias("instructions"), state.alias("state"), options.alias("options"), none.alias("true_text"), none.alias("false_text"))
+
+
+def flag_banking(intents: DataFrame, score: Callable[[DataFrame], DataFrame], path: str, chunk_rows: int = 2000) -> DataFrame:
+    """domain, intent, p_yes and flag of all intents, by a resumable run below ``path``.
+
+    ``score`` gives request_id and probs (yes first) of question rows. A run that died goes on where chunks lack their commit.
+    """
+    from ..sources.chunks import committed_rows, run_chunks
+
+    def asked(rows: DataFrame) -> DataFrame:
+        found = score(rows).select("request_id", F.round(F.get("probs", F.lit(0)), 4).alias("p_yes"))
+        return flagged(rows.select("domain", "intent", "request_id").join(found, "request_id"))
+
+    questions = flag_questions(intents)
+    run_chunks(questions, path, asked, "request_id", FLAG_ASKED, chunk_rows)
+    return committed_rows(intents.sparkSession, path, "request_id string, domain string, intent string, p_yes double, flag boolean").drop("request_id")
+
+
+def decision_rows(utterances: DataFrame, labels: DataFrame, score: Callable[[DataFrame], DataFrame], seed: str, wrong: int = 9) -> DataFrame:
+    """Choices from utterances: the intent that an utterance was made for, and the ``wrong`` other intents of its domain that rank highest.
+
+    utterances: domain, intent, n, text. labels: domain, intent, place. ``score`` adds ``margin`` to (domain, n, text, label_name, place). Adds options, label
+    and gold_rank. An utterance meets its own domain's labels only, whose number a taxonomy bounds.
+    """
+    from ..operators.scoring import mined
+
+    pairs = utterances.select("domain", "n", "text", F.col("intent").alias("gold")).join(labels.select("domain", F.col("intent").alias("label_name"), "place"), "domain")
+    ranked = mined(score(pairs), ["domain", "n", "text", "gold"], F.col("label_name") == F.col("gold"), keep=wrong + 1)
+    options = H.shuffled(F.array_append(F.slice("wrong", 1, wrong), F.col("gold")), seed, F.col("domain"), F.col("n"))
+    rows = ranked.where("gold_rank IS NOT NULL").withColumn("options", options)
+    return rows.select("domain", "n", F.concat_ws("/", F.lit("synth"), "domain", F.col("n").cast("string")).alias("id"), F.col("text").alias("state"), "options", (F.array_position("options", F.col("gold")) - 1).cast("int").alias("label"), "gold_rank")
+
+
+def decisions(utterances: DataFrame, labels: DataFrame, score: Callable[[DataFrame], DataFrame], path: str, seed: str = "0", chunk_rows: int = 8) -> DataFrame:
+    """``decision_rows`` of all domains by a resumable run: chunks of ``chunk_rows`` domains, each committed once."""
+    from ..sources.chunks import committed_rows, run_chunks
+
+    def rows_of(domains: DataFrame) -> DataFrame:
+        return decision_rows(utterances.join(domains, "domain", "left_semi"), labels, score, seed)
+
+    run_chunks(labels.select("domain").distinct(), path, rows_of, "domain", seed, chunk_rows)
+    return committed_rows(utterances.sparkSession, path, "domain string, n long, id string, state string, options array<string>, label int, gold_rank int")

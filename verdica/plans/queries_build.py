@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..curate import admit as A
-from ..curate import build, examples, verify
+from ..curate import build, examples, synth, verify
 from ..functions import hashing as H
 from ..functions import text as T
 from ..operators import batching, scoring
+from ..sources.rows import folder
+from . import teach
 from .catalog import query, table
 from .queries_prompts import questions
 
@@ -246,3 +250,52 @@ def registry_checks(spark, sf):
     sources = region.select(F.col("r_name").alias("source"), F.concat(F.lit("set/"), F.col("r_regionkey").cast("string")).alias("dataset"))
     excluded = spark.createDataFrame([("set/1",), ("set/4",)], "dataset string")
     return verify.registry_faults(sources, labels, templates.unionByName(planted), held, excluded, examples.OTHERS, examples.NAME_STYLES, least_hard=6)
+
+
+def _dying(spark, transform, after: int):
+    """The transform, but its call number ``after`` dies: what a lost driver leaves behind."""
+    calls = []
+
+    def run(rows):
+        calls.append(1)
+        if len(calls) == after:
+            raise RuntimeError("lost")
+        return transform(rows)
+
+    return run
+
+
+@query(
+    f"""WITH i AS (SELECT source AS domain, doc_id::VARCHAR AS intent, 'Support desk: ' || source || chr(10) || 'Intent: ' || doc_id || chr(10) || 'Description: ' || {_STRIP.format("coalesce(text, '')")} AS s FROM documents),
+c AS (SELECT *, len(regexp_extract_all(lower(s), 'yes')) AS y, len(regexp_extract_all(lower(s), 'no')) AS n FROM i)
+SELECT domain, intent, round(1 / (1 + exp(n - y)), 4) AS p_yes, 1 / (1 + exp(n - y)) > 0.5 AS flag FROM c"""
+)
+def flagged_intents(spark, sf):
+    """Documents as intents of their source, flagged by the stand-in model in a run that dies after its first chunks and starts again."""
+    docs = table(spark, sf, "documents").select(F.col("source").alias("domain"), F.col("doc_id").cast("string").alias("intent"), T.strip(F.coalesce("text", F.lit(""))).alias("description"))
+    score = lambda rows: teach.teacher_scores(rows, scoring.lexical_backend)
+    path, chunk_rows = folder(spark), max(1, docs.count() // 40)  # two jobs' worth of chunks
+    with contextlib.suppress(RuntimeError):
+        synth.flag_banking(docs, _dying(spark, score, 2), path, chunk_rows)
+    return synth.flag_banking(docs, score, path, chunk_rows)
+
+
+@query(
+    f"""WITH l AS (SELECT n_nationkey AS place, n_name AS intent FROM nation), u AS (SELECT source AS domain, doc_id AS n, text, n_name AS gold FROM documents JOIN nation ON n_nationkey = doc_id % 25),
+r AS (SELECT domain, n, gold, intent, row_number() OVER (PARTITION BY n ORDER BY (n + 7 * place * place) % (place + 11) DESC, place) - 1 AS rank FROM u, l),
+w AS (SELECT domain, n, gold, min(rank) FILTER (WHERE intent = gold)::INT AS gold_rank, list_append((list(intent ORDER BY rank) FILTER (WHERE intent <> gold))[1:9], gold) AS some9 FROM r GROUP BY domain, n, gold),
+o AS (SELECT *, {_SHUFFLED.format("some9", H.order_sql("'s'", "domain", "n", "i"))} AS options FROM w)
+SELECT domain, n, array_to_string(options, ',') AS options, (list_position(options, gold) - 1)::INT AS label, gold_rank FROM o"""
+)
+def synthetic_decisions(spark, sf):
+    """Documents as utterances of their source, nations as its intents; a run over domains that dies once and starts again."""
+    labels = table(spark, sf, "nation").select(F.col("n_name").alias("intent"), F.col("n_nationkey").alias("place"))
+    docs = table(spark, sf, "documents")
+    golds = labels.select(F.col("place").alias("_p"), "intent")
+    said = docs.select(F.col("source").alias("domain"), F.col("doc_id").alias("n"), "text", (F.col("doc_id") % 25).alias("_p")).join(F.broadcast(golds), "_p").drop("_p")
+    every = docs.select(F.col("source").alias("domain")).distinct().crossJoin(F.broadcast(labels))  # a taxonomy a domain
+    score = lambda pairs: pairs.withColumn("margin", ((F.col("n") + 7 * F.col("place") * F.col("place")) % (F.col("place") + 11)).cast("double"))
+    path = folder(spark)
+    with contextlib.suppress(RuntimeError):
+        synth.decisions(said, every, _dying(spark, score, 1), path, "s", 5)
+    return synth.decisions(said, every, score, path, "s", 5).select("domain", "n", F.array_join("options", ",").alias("options"), "label", "gold_rank")
