@@ -253,14 +253,54 @@ def test_decision_file(spark, tmp_path):
         write(row, row)
 
 
-def test_packing(spark):
-    rng = random.Random(9)
-    lengths = {i: rng.randint(1, 60) for i in range(80)}
-    out = sampling.packed(spark.createDataFrame([(0, i, n) for i, n in lengths.items()], "g int, id int, n int"), ["g"], "n", "id", 200).collect()
-    batches = {}
-    for r in out:
-        batches.setdefault(r["batch"], []).append(r["n"])
-    assert len(out) == 80 and all(len(b) * max(b) <= 200 for b in batches.values())
+def greedy_batches(rows, budget):
+    """(id, batch) of a plain loop, longest first."""
+    out, batch, n, w = {}, 0, 0, 0
+    for length, i in sorted(((-n, i) for i, n in rows)):
+        w = max(w, -length)
+        if n and (n + 1) * w > budget:
+            batch, n, w = batch + 1, 0, -length
+        n += 1
+        out[i] = batch
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_packing(spark, seed):
+    rng = random.Random(seed)
+    groups = {g: [(i, rng.choice([0, 1, 7, 7, 7, 60, 250]) + rng.randrange(3)) for i in range(150)] for g in ("a", "b", None)}
+    groups["zero"] = [(i, 0) for i in range(9)]
+    rows = spark.createDataFrame([(g, i, n) for g, some in groups.items() for i, n in some], "g string, id int, n int").repartition(5)
+    out = sampling.packed(rows, ["g"], "n", "id", 200).collect()
+    got = {g: {r.id: r.batch for r in out if r.g == g} for g in groups}
+    assert got == {g: greedy_batches(some, 200) for g, some in groups.items()}
+    # a third of all rows has one length: its places are dealt in ranges
+    hot = [(i, 5 if i % 3 else i % 40) for i in range(1200)]
+    out = sampling.packed(spark.createDataFrame([("x", i, n) for i, n in hot], "g string, id int, n int"), ["g"], "n", "id", 64).collect()
+    assert {r.id: r.batch for r in out} == greedy_batches(hot, 64)
+
+
+def test_positions_and_chunks_in_groups(spark):
+    rng = random.Random(3)
+    data = [(rng.choice("aab") if i % 7 else None, i, rng.choice([float(i), -1e300 if i == 5 else i / 3]), f"{rng.randrange(10**6):06d}{i}") for i in range(400)]
+    rows = spark.createDataFrame(data, "g string, id int, x double, s string").repartition(4)
+    for column, at in (("x", 2), ("s", 3), ("id", 1)):
+        got = {r.id: r.position for r in sampling.positions(rows, column, buckets=16, by=["g"]).collect()}
+        for g in ("a", "b", None):
+            order = sorted((d for d in data if d[0] == g), key=lambda d: d[at])  # noqa: B023
+            assert [d[at] for d in sorted(order, key=lambda d: got[d[1]])] == [d[at] for d in order] and sorted(got[d[1]] for d in order) == list(range(len(order)))
+    chunks = {(r.g, r.id): r.chunk for r in sampling.chunked(rows, 8, F.col("id"), ["g"]).collect()}
+    for g in ("a", "b", None):
+        ids = sorted(d[1] for d in data if d[0] == g)
+        assert {i: c for (x, i), c in chunks.items() if x == g} == {i: k // 8 for k, i in enumerate(ids) if k // 8 < len(ids) // 8}
+
+
+def test_exact_percentile_of_ratios(spark):
+    rng = random.Random(5)
+    data = [(rng.randint(1, 400), rng.choice([1, 2, 3, 90, 90, 90])) for _ in range(1234)] + [(10**9, 1)]
+    r = sampling.ratio_stats(spark.createDataFrame(data, "c int, t int"), "c", "t", F.ceil(F.col("c") / 2.2) + 3).first()
+    x = sorted(c / t for c, t in data)
+    assert tuple(r) == (1235, pytest.approx(sum(x) / len(x), abs=0.006), round(x[12], 2), round(x[0], 2), sum(-(-c // 2.2) + 3 < t for c, t in data))
 
 
 def test_engine_and_streaming_agree(spark, tmp_path):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from verdica.functions import probs as P
-from verdica.operators import analysis, calibrate, metrics, scoring, teacher
+from verdica.operators import analysis, calibrate, metrics, sampling, scoring, teacher
 from verdica.plans import report
 
 
@@ -233,6 +233,19 @@ def test_registered_resamples(spark, monkeypatch, name):
     assert asked == [10_000]
 
 
+def test_auroc_with_an_outlier(spark):
+    """One score far from all others leaves the ranges as full as before, and the area exact."""
+    rng = np.random.default_rng(6)
+    s, y = rng.standard_normal(3000).round(2), rng.integers(0, 2, 3000)
+    s[7] = 1e300
+    rows = spark.createDataFrame([(float(a), int(b)) for a, b in zip(s, y, strict=True)], "score double, label int")
+    wins = (s[y == 1][:, None] > s[y == 0]) + 0.5 * (s[y == 1][:, None] == s[y == 0])
+    assert metrics.auroc(rows).first()["auroc"] == pytest.approx(wins.mean(), abs=1e-12)
+    sums = rows.groupBy(F.col("score").alias("_s")).agg(F.count(F.lit(1)).alias("_all"))
+    ranges = sampling.ranged(sums, "_s", 16).groupBy("_range").count().collect()
+    assert max(r["count"] for r in ranges) < 3 * sums.count() / 16
+
+
 def test_early_exit(spark):
     rows = spark.createDataFrame([(0.2, 0, 1), (0.5, 1, 1), (0.9, 1, 1), (0.95, 1, 0)], "conf double, hit_first int, hit_final int")
     grid = {round(r["tau"], 2): r for r in analysis.tau_grid(rows).collect()}
@@ -244,5 +257,12 @@ def test_stop_rules(spark):
     log = spark.createDataFrame([(i, 1.0 if i < 100 else 2.0) for i in range(1, 200)] + [(200, float("nan")), (201, float("inf"))], "step int, loss double")
     out = {r["step"]: r for r in analysis.stop_rules(log).collect()}
     assert not out[149]["above_first"] and out[150]["above_first"] and out[201]["bad_pair"] and not out[200]["bad_pair"]
+    # blocks that overlap give what one window would, each run by itself too
+    rng = np.random.default_rng(2)
+    many = [(r, k * 3, float(x) if k % 17 else float("nan")) for r in range(2) for k, x in enumerate(rng.standard_normal(700).cumsum())]
+    frame = spark.createDataFrame(many, "run int, step int, loss double").repartition(3)
+    whole, cut = ({(r["run"], r["step"]): (r["trailing"], r["above_first"], r["bad_pair"]) for r in analysis.stop_rules(frame, by=["run"], block=b).collect()} for b in (10_000, 90))
+    assert whole.keys() == cut.keys() and all(a[1:] == b[1:] and a[0] == pytest.approx(b[0], abs=1e-9) for a, b in ((whole[k], cut[k]) for k in whole))
+    assert {(r["run"], r["step"]): r["stop"] for r in analysis.rises(frame, "step", "loss", ["run"], block=60).collect()} == {(r["run"], r["step"]): r["stop"] for r in analysis.rises(frame, "step", "loss", ["run"]).collect()}
     up = spark.createDataFrame([(1, 1.0), (2, 1.1), (3, 1.2), (4, 1.2)], "step int, v double")
     assert [r["stop"] for r in analysis.rises(up, "step", "v").orderBy("step").collect()] == [False, False, True, False]

@@ -109,8 +109,6 @@ def truncate_left(x: Column, limit: int, mark: str = "…") -> Column:
     return F.when(F.length(x) > limit, F.concat(F.lit(mark), F.right(x, F.lit(limit - len(mark))))).otherwise(x)
 
 
-def neutralise(x: Column, passes: int = 4) -> Column:
-    """Breaks control marks <|...|> in user text; nested marks take further passes, up to the bound."""
-    for _ in range(passes):
-        x = F.regexp_replace(x, r"<\|", "< |")
-    return F.regexp_replace(x, r"\|>", "| >")
+def neutralise(x: Column) -> Column:
+    """Breaks control marks <|...|> in user text: a blank between their two characters leaves none."""
+    return F.regexp_replace(F.regexp_replace(x, r"<\|", "< |"), r"\|>", "| >")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import order_key
+from .sampling import blocks
 
 #: Resamples of an interval.
 REPS = 10_000
@@ -217,24 +218,30 @@ def gated(first: Column, final: Column, conf: Column, tau: Column | float) -> Co
     return F.when(conf >= tau, first).otherwise(final)
 
 
-def stop_rules(log: DataFrame, step: str = "step", loss: str = "loss", window: int = 50, start: int = 150, by: list[str] | None = None) -> DataFrame:
-    """Adds ``bad_pair`` (two non-finite losses in a row) and ``above_first`` (trailing mean above the first window's)."""
-    w = Window.partitionBy(*(by or [])).orderBy(step)
+def stop_rules(log: DataFrame, step: str = "step", loss: str = "loss", window: int = 50, start: int = 150, by: list[str] | None = None, block: int = 50_000) -> DataFrame:
+    """Adds ``bad_pair`` (two non-finite losses in a row) and ``above_first`` (trailing mean above the first window's), of each run if ``by`` is given.
+
+    A log of any length is dealt in blocks that overlap by a window.
+    """
+    by = by or []
     value = F.col(loss)
     finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
-    ok = log.withColumn("_ok", finite)
+    ok = blocks(log.withColumn("_ok", finite), step, window, by, block)
+    first = ok.where(~F.col("_halo") & F.col("_ok") & (F.col("_place") < window)).groupBy(*by).agg(F.avg(loss).alias("first_mean"))
+    w = Window.partitionBy(*by, "_block").orderBy(step)
     trailing = F.avg(F.when(F.col("_ok"), value)).over(w.rowsBetween(-(window - 1), 0))
-    n = F.row_number().over(w)
-    first = F.avg(F.when(F.col("_ok") & (F.col("_n") <= window), value)).over(Window.partitionBy(*(by or [])))
-    out = ok.withColumns({"_n": n, "trailing": trailing}).withColumn("first_mean", first)
-    return out.withColumns({"bad_pair": ~F.col("_ok") & ~F.coalesce(F.lag("_ok").over(w), F.lit(True)), "above_first": (F.col("_n") >= start) & (F.col("trailing") > F.col("first_mean"))}).drop("_ok", "_n")
+    out = ok.withColumns({"trailing": trailing, "bad_pair": ~F.col("_ok") & ~F.coalesce(F.lag("_ok").over(w), F.lit(True))}).where(~F.col("_halo"))
+    out = out.join(first, by, "left") if by else out.join(F.broadcast(first), how="left", on=F.lit(True))  # one row
+    return out.withColumn("above_first", (F.col("_place") + 1 >= start) & (F.col("trailing") > F.col("first_mean"))).drop("_ok", "_place", "_block", "_halo")
 
 
-def rises(log: DataFrame, step: str, value: str, by: list[str] | None = None) -> DataFrame:
+def rises(log: DataFrame, step: str, value: str, by: list[str] | None = None, block: int = 50_000) -> DataFrame:
     """Adds ``stop``: the third of three strictly rising evaluations."""
-    w = Window.partitionBy(*(by or [])).orderBy(step)
+    by = by or []
+    w = Window.partitionBy(*by, "_block").orderBy(step)
     one, two = F.lag(value, 1).over(w), F.lag(value, 2).over(w)
-    return log.withColumn("stop", F.coalesce((two < one) & (one < F.col(value)), F.lit(False)))
+    out = blocks(log, step, 2, by, block).withColumn("stop", F.coalesce((two < one) & (one < F.col(value)), F.lit(False)))
+    return out.where(~F.col("_halo")).drop("_place", "_block", "_halo")
 
 
 def learning_rate(step: Column, total: int, peak: float, warmup: int, floor: float = 0.1) -> Column:

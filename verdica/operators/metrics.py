@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import probs as P
 from ..functions.arrays import argmax
+from .sampling import ranged
 
 BINS = 15
 
@@ -86,17 +87,15 @@ def auroc(df: DataFrame, score: str = "score", label: str = "label", weight: Col
 def running(df: DataFrame, value: str, order: str, by: list[str], buckets: int = 256) -> DataFrame:
     """Adds ``_before``: the sum of ``value`` over smaller ``order`` in the group.
 
-    Two levels: totals of equal-width ranges of the order, then running totals inside a range.
+    Two levels: totals of ranges of the order, cut at percentiles so that they hold like numbers of rows wherever these lie, then
+    running totals inside a range.
     """
-    edges = df.groupBy(*by).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    ranged = df.crossJoin(F.broadcast(edges)) if not by else df.join(edges, by)
-    spot = F.coalesce(F.least(F.floor(F.try_divide((F.col(order) - F.col("_lo")) * buckets, F.col("_hi") - F.col("_lo"))), F.lit(buckets - 1)), F.lit(0)).cast("int")
-    ranged = ranged.withColumn("_range", spot).drop("_lo", "_hi")
-    totals = ranged.groupBy(*by, "_range").agg(F.sum(value).alias("_sum"))
+    dealt = ranged(df, order, buckets)
+    totals = dealt.groupBy(*by, "_range").agg(F.sum(value).alias("_sum"))
     outer = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*by, "_range", F.coalesce(F.sum("_sum").over(outer), F.lit(0.0)).alias("_start"))
     inner = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    inside = ranged.withColumn("_inside", F.coalesce(F.sum(value).over(inner), F.lit(0.0)))
+    inside = dealt.withColumn("_inside", F.coalesce(F.sum(value).over(inner), F.lit(0.0)))
     return inside.join(starts, [*by, "_range"]).withColumn("_before", F.col("_start") + F.col("_inside")).drop("_start", "_inside", "_range")
 
 

@@ -369,6 +369,17 @@ def pack_batches(spark, sf):
     return sampling.packed(rows, ["lang"], "n_chars", "doc_id", 20000)
 
 
+@query(
+    f"""WITH x AS (SELECT length(text) AS c, len({_WORDS}) + 1 AS t FROM documents WHERE text IS NOT NULL), r AS (SELECT c / t::DOUBLE AS x, ceil(c / 2.2) + 3 < t AS under FROM x),
+o AS (SELECT *, row_number() OVER (ORDER BY x) - 1 AS place, count(*) OVER () AS n FROM r)
+SELECT count(*) AS sampled, round(avg(x), 2) AS mean, round(max(x) FILTER (WHERE place = floor(0.01 * n)), 2) AS p01, round(min(x), 2) AS min, count(*) FILTER (WHERE under) AS proxy_undercounts FROM o"""
+)
+def chars_per_token(spark, sf):
+    """Characters a token (here: a word) over all documents, its first percentile exact, and where the proxy counts too few."""
+    rows = table(spark, sf, "documents").where("text IS NOT NULL").select(F.length("text").alias("c"), (F.size(T.words(F.col("text"))) + 1).alias("t"))
+    return sampling.ratio_stats(rows, "c", "t", F.ceil(F.col("c") / F.lit(2.2)) + 3)
+
+
 @query("WITH o AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) AS r FROM documents) SELECT doc_id, n_chars FROM o WHERE (r - 1) % 37 = 0")
 def systematic_sample(spark, sf):
     return sampling.every_kth(table(spark, sf, "documents").select("doc_id", "n_chars"), 37, "doc_id")

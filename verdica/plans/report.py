@@ -47,19 +47,50 @@ def by_cycle(rows: DataFrame, by: list[str]) -> DataFrame:
     return each.groupBy(*by, "cycle").agg(*[c.alias(k) for k, c in m.items()], F.avg((argmax(F.col("_z")) == argmax(F.col("logits"))).cast("int")).alias("agreement_with_final"))
 
 
+def calibrated(rows: DataFrame, cals: dict[str, Calibrator]) -> DataFrame:
+    """Adds probs, each run's by its own calibrator; runs without one by none."""
+    stage = F.coalesce("stage", F.lit("letter"))
+    probs = Calibrator().probs(F.col("kind"), F.col("logits"), stage)
+    for run_id, cal in cals.items():
+        probs = F.when(F.col("run_id") == run_id, cal.probs(F.col("kind"), F.col("logits"), stage)).otherwise(probs)
+    return rows.withColumn("probs", probs)
+
+
+def evaluated(rows: DataFrame) -> tuple[list[dict[str, Any]], list[str]]:
+    """Reports of all runs, by run, and the runs left out with reasons. Results are small.
+
+    Runs are groups of the same aggregations, so jobs don't grow with them; only the calibrators are fitted one by one.
+    """
+    parts = {r["run_id"]: (r["test"], r["calib"]) for r in rows.groupBy("run_id").agg(F.count_if(F.col("split") == "test").alias("test"), F.count_if(F.col("split") == "calib").alias("calib")).collect()}
+    runs = sorted(r for r, (test, _) in parts.items() if test)
+    skipped = [f"{r}: {r}: no test rows yet" for r in sorted(parts.keys() - set(runs))]
+    if not runs:
+        return [], skipped
+    rows = rows.where(F.col("run_id").isin(runs))
+    test = rows.where("split = 'test'")
+    cals = {r: fit_calibrator(rows.where(F.col("run_id") == r), r) for r in runs if parts[r][1]}
+    of = lambda frame: {r["run_id"]: r.asDict() for r in frame.collect()}
+    raw = of(run_measures(scored(rows), ["run_id"]))
+    cal = of(run_measures(calibrated(rows, cals), ["run_id"])) if cals else {}
+    bins, cycles = {r: [] for r in runs}, {r: [] for r in runs}
+    for r in M.reliability(calibrated(test, cals), ["run_id"]).orderBy("run_id", "bin").collect():
+        bins[r["run_id"]].append({k: v for k, v in r.asDict().items() if k != "run_id"})
+    if with_cycles := [r["run_id"] for r in n_cycles(test, ["run_id"]).where("n_cycles > 0").collect()]:
+        for r in by_cycle(rows.where(F.col("run_id").isin(with_cycles)), ["run_id"]).orderBy("run_id", "cycle").collect():
+            cycles[r["run_id"]].append(r.asDict())
+    out = []
+    for r in runs:
+        fitted = cals.get(r)
+        out.append({"run_id": r, "raw": raw[r], "calibrated": cal[r] if fitted else None, "calibrator": json.loads(fitted.to_json()) if fitted else None, "reliability": bins[r]} | ({"cycles": cycles[r]} if cycles[r] else {}))
+    return out, skipped
+
+
 def evaluate(rows: DataFrame, run_id: str) -> dict[str, Any]:
-    """One run: raw and calibrated measures, calibrator, reliability and cycles. Results are small."""
-    run = rows.where(F.col("run_id") == run_id)
-    test, calib = run.where("split = 'test'"), run.where("split = 'calib'")
-    if test.isEmpty():
+    """One run: raw and calibrated measures, calibrator, reliability and cycles."""
+    reports, _ = evaluated(rows.where(F.col("run_id") == run_id))
+    if not reports:
         raise ValueError(f"{run_id}: no test rows yet")
-    cal = None if calib.isEmpty() else fit_calibrator(run, run_id)
-    one = lambda c: run_measures(scored(run, c), ["run_id"]).first().asDict()
-    out = {"run_id": run_id, "raw": one(None), "calibrated": one(cal) if cal else None, "calibrator": json.loads(cal.to_json()) if cal else None}
-    out["reliability"] = [r.asDict() for r in M.reliability(scored(test, cal)).orderBy("bin").collect()]
-    if n_cycles(test, ["run_id"]).first()["n_cycles"]:
-        out["cycles"] = [r.asDict() for r in by_cycle(run, ["run_id"]).orderBy("cycle").collect()]
-    return out
+    return reports[0]
 
 
 def markdown(reports: list[dict[str, Any]]) -> str:
@@ -75,12 +106,7 @@ def markdown(reports: list[dict[str, Any]]) -> str:
 
 def write_report(rows: DataFrame, out: str) -> list[str]:
     """Summaries of all runs as JSON lines and one table; returns the runs left out, with reasons."""
-    reports, skipped = [], []
-    for run_id in sorted(r["run_id"] for r in rows.select("run_id").distinct().collect()):
-        try:
-            reports.append(evaluate(rows, run_id))
-        except ValueError as e:
-            skipped.append(f"{run_id}: {e}")
+    reports, skipped = evaluated(rows)
     spark = rows.sparkSession
     text = [json.dumps(r, default=str) for r in reports]
     spark.createDataFrame([(t,) for t in text], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/summary")
