@@ -60,24 +60,24 @@ def hypotheses(spark, sf):
     return rows.select("n_nationkey", F.get(choice, F.lit(0)).alias("hypothesis"), F.get(yes, F.lit(0)).alias("yes"))
 
 
-@query("SELECT doc_id, length(text) > 500 - 14 - 9 - 13 AS cut, length('Premise: ' || CASE WHEN length(text) > 464 THEN '…' || right(text, 463) ELSE text END || chr(10) || 'Hypothesis: ' || 'It is so.' || '    ') AS n FROM documents")
+@query("SELECT doc_id, length(text) > 500 - 14 - 9 - 13 AS cut, sha256('Premise: ' || CASE WHEN length(text) > 464 THEN '…' || right(text, 463) ELSE text END || chr(10) || 'Hypothesis: ' || 'It is so.' || '    ') AS text FROM documents")
 def rendered_pairs(spark, sf):
     pair = prompts.rendered_pair(F.col("text"), F.lit("It is so.    "), limit=499)
-    return table(spark, sf, "documents").select("doc_id", pair.alias("p")).select("doc_id", "p.cut", F.length("p.text").alias("n"))
+    return table(spark, sf, "documents").select("doc_id", pair.alias("p")).select("doc_id", "p.cut", F.sha2("p.text", 256).alias("text"))
 
 
 _U = H.uniform_sql
 
 
 @query(
-    f"""WITH x AS (SELECT doc_id, {COLLAPSED} AS t, {_U("'w'", 'doc_id', "'wrap'")} AS u, {_U("'w'", 'doc_id', "'label'")} AS v FROM documents),
+    f"""WITH x AS (SELECT doc_id, {COLLAPSED} AS t, {_U("'w'", 'doc_id', "'wrap'")} AS u, {_U("'w'", 'doc_id', "'label'")} AS v, {_U("'w'", 'doc_id', "'key'")} AS w FROM documents),
 k AS (SELECT *, CASE WHEN u < 0.5 THEN 'bare' WHEN u < 0.8 THEN 'labelled' WHEN u < 0.95 THEN 'json' ELSE 'quoted' END AS kind FROM x)
-SELECT doc_id, kind, length(CASE kind WHEN 'labelled' THEN ['Text', 'Message', 'Input'][floor(v * 3)::INT + 1] || ': ' || t WHEN 'quoted' THEN '"' || t || '"' WHEN 'json' THEN '' ELSE t END) AS n FROM k"""
+SELECT doc_id, kind, sha256(CASE kind WHEN 'labelled' THEN ['Text', 'Message', 'Input'][floor(v * 3)::INT + 1] || ': ' || t WHEN 'quoted' THEN '"' || t || '"' WHEN 'json' THEN '{{"' || ['text', 'message', 'body'][floor(w * 3)::INT + 1] || '": ' || to_json(t) || '}}' ELSE t END) AS state FROM k"""
 )
 def wrap_states(spark, sf):
     rows = table(spark, sf, "documents").withColumn("t", T.collapse(F.col("text")))
     state, kind = examples.wrapped(F.col("t"), "w", F.col("doc_id"))
-    return rows.select("doc_id", kind.alias("kind"), F.when(kind == "json", F.lit(0)).otherwise(F.length(state)).alias("n"))
+    return rows.select("doc_id", kind.alias("kind"), F.sha2(state, 256).alias("state"))
 
 
 @query(
@@ -352,12 +352,19 @@ def phrase_reading(spark, sf):
     return a.unionByName(b).unionByName(c)
 
 
-@query("WITH o AS (SELECT list(n_name) AS names FROM nation) SELECT n_nationkey AS id, n_name AS gold, 10 AS n, true AS held FROM nation")
+_IN_ORDER = "list_transform(list_sort(list_transform(range(0, len({0})), lambda i: {{'h': {1}, 'i': i, 'x': ({0})[i + 1]}})), lambda s: s.x)"
+
+
+@query(
+    f"""WITH o AS (SELECT list(n_name ORDER BY n_name) AS names FROM nation), p AS (SELECT n_nationkey AS id, n_name AS gold, list_filter(names, lambda x: x <> n_name) AS pool FROM nation, o),
+w AS (SELECT id, gold, list_append({_IN_ORDER.format("pool", H.order_sql("'xfer'", "id", "'others'", "i"))}[1:9], gold) AS ten FROM p), q AS (SELECT id, gold, {_IN_ORDER.format("ten", H.order_sql("'xfer'", "id", "'order'", "i"))} AS options FROM w)
+SELECT id, gold, array_to_string(options, ',') AS options, (list_position(options, gold) - 1)::INT AS label FROM q"""
+)
 def transfer_options(spark, sf):
     labels = table(spark, sf, "nation").agg(F.array_sort(F.collect_list("n_name")).alias("labels"))
     rows = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("cls"), F.col("n_name").alias("text")).crossJoin(labels)
     out = phrasing.transfer_rows(rows, "hwu64", F.col("labels"))
-    return out.select("id", F.col("cls").alias("gold"), F.size(F.array_distinct("options")).alias("n"), (F.get("options", "label") == F.col("cls")).alias("held"))
+    return out.select("id", F.col("cls").alias("gold"), F.array_join("options", ",").alias("options"), "label")
 
 
 @query("SELECT doc_id AS id FROM documents WHERE doc_id % 13 = 0 OR (doc_id % 13 <> 0 AND lang <> 'en' AND doc_id % 7 = 0)")
