@@ -72,6 +72,26 @@ def soft_rows(args: argparse.Namespace) -> int:
     return 0
 
 
+def build_data(args: argparse.Namespace) -> int:
+    from .curate import dataset
+
+    if (scale := float(args.scale)) <= 0:
+        raise ValueError("scale must be above 0")
+    spark = _spark()
+    load, splits = dataset.folders(spark, args.root, args.sources)
+    dataset.write(dataset.build_data(spark, load, splits, args.seed, scale), args.out)
+    return 0
+
+
+def read_decisions_command(args: argparse.Namespace) -> int:
+    """Checks a decisions file and counts its rows."""
+    from .sources.decisions import read_decisions_file
+
+    rows = read_decisions_file(_spark(), args.file, args.name)
+    print(json.dumps({"name": args.name, "type": rows.select("type").first()[0], "rows": rows.count()}))
+    return 0
+
+
 def serve(args: argparse.Namespace) -> int:
     from .streaming.serve import request_stream
     from .streaming.serve import serve as start
@@ -102,6 +122,8 @@ def main(argv: list[str] | None = None) -> int:
         "report": (report, [("runs", {"nargs": "+"}), ("--out", {"required": True})]),
         "calibrate": (calibrate, [("runs", {"nargs": "+"}), ("--out", {"required": True})]),
         "soft-rows": (soft_rows, [("--rows", {"required": True}), ("--teacher", {"required": True}), ("--out", {"required": True})]),
+        "build-data": (build_data, [("root", {}), ("--out", {"required": True}), ("--seed", {"default": "0"}), ("--scale", {"default": "1"}), ("--sources", {"nargs": "*"})]),
+        "decisions": (read_decisions_command, [("file", {}), ("--name", {"default": "decisions"})]),
         "serve": (serve, [("folder", {}), ("--out", {"required": True})]),
         "http": (http, [("--host", {"default": "127.0.0.1"}), ("--port", {"default": "8766"}), ("--key", {}), ("--calibrator", {})]),
     }

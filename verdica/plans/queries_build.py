@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..curate import admit as A
-from ..curate import build, examples, synth, verify
+from ..curate import build, dataset, examples, synth, verify
 from ..functions import hashing as H
 from ..functions import text as T
 from ..operators import batching, scoring
@@ -16,6 +16,7 @@ from ..sources.rows import folder
 from . import teach
 from .catalog import query, table
 from .queries_prompts import questions
+from .queries_sources import CASES
 
 #: Sources of the build are the documents' sources by number modulo 4; c and d are siblings. b's held-out rows come from even documents first.
 CHAINS = [
@@ -299,3 +300,31 @@ def synthetic_decisions(spark, sf):
     with contextlib.suppress(RuntimeError):
         synth.decisions(said, every, _dying(spark, score, 1), path, "s", 5)
     return synth.decisions(said, every, score, path, "s", 5).select("domain", "n", F.array_join("options", ",").alias("options"), "label", "gold_rank")
+
+
+#: Sources whose rows the documents stand in for.
+_BUILT = ["mnli", "squad_v2", "clinc", "dailydialog", "yahoo", "amazon_reviews", "multirc"]
+
+
+def build_loader(spark: SparkSession, sf: str):
+    """Documents in the columns of each source: a third of them for validation."""
+
+    def load(source: str, split: str) -> DataFrame:
+        docs = table(spark, sf, "documents").where(F.col("doc_id") % 3 == 0 if split == "validation" else F.col("doc_id") % 3 > 0)
+        return docs.select(F.col("doc_id").alias("row"), *[F.expr(x).alias(c) for c, x in CASES[source].columns.items()])
+
+    return load
+
+
+@query()
+def built_dataset(spark, sf):
+    """The whole build over documents as sources: rows by role, source, family and label, and what was dropped and lacking.
+
+    Without SQL: its parts have their own (staged_admission, described_choices, the sources' mappers), the whole is tested by its rules.
+    """
+    splits = {s: {"train": ["train"], "dev": ["validation"]} for s in _BUILT}
+    got = dataset.build_data(spark, build_loader(spark, sf), splits, scale=0.01)
+    rows = [got.train.withColumn("role", F.lit("train")), got.dev_in.withColumn("role", F.lit("dev_in")), got.dev_xfer.withColumn("role", F.lit("dev_xfer"))]
+    counts = rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("role", "source", "family", F.col("label").cast("string").alias("what")).agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("rows"))
+    more = [(m["role"], *m["read"].split("/")[::2], m.get("reason"), m["n"], kind) for kind in ("drops", "shortfall") for m in got.manifest[kind]]
+    return counts.unionByName(spark.createDataFrame(more, "role string, source string, family string, what string, n long, kind string"))
