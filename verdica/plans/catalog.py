@@ -28,4 +28,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load() -> None:
-    from . import queries_build, queries_checks, queries_curation, queries_files, queries_prompts, queries_scores, queries_sources, queries_sql  # noqa: F401  register themselves
+    from . import queries_build, queries_checks, queries_curation, queries_files, queries_more, queries_prompts, queries_scores, queries_sources, queries_sql  # noqa: F401  register themselves

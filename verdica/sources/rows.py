@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 from collections.abc import Sequence
 
@@ -23,13 +25,30 @@ def folder(spark: SparkSession) -> str:
         base = "/tmp/verdica-checkpoints"
     if not base:
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{base.rstrip('/')}/verdica-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/verdica-{uuid.uuid4().hex}"
+    _FOLDERS.add(path)
+    return path
+
+
+#: Scratch folders that are still there.
+_FOLDERS: set[str] = set()
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder that nothing reads any more."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+    _FOLDERS.discard(path)
+
+
+@atexit.register
+def sweep() -> None:
+    """Results may be read until the program ends; then all scratch goes, if the session still stands."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):  # the session may end meanwhile
+            for path in list(_FOLDERS):
+                remove(spark, path)
 
 
 def kept(rows: DataFrame, schema: str | None) -> DataFrame:
