@@ -27,6 +27,7 @@ import heapq
 import json
 from hashlib import sha256
 from itertools import pairwise
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +81,8 @@ class Encoder:
             raise ValueError(f"{path}: only plain BPE with word ends is known")
         vocab, self.end = model["vocab"], model["end_of_word_suffix"] or ""
         self.pieces = {i: p for p, i in vocab.items()} | {t["id"]: t["content"] for t in data["added_tokens"]}
+        every = range(max(self.pieces) + 1)
+        self.names = {"id": pa.array(map(str, every), pa.string()), "piece": pa.array(map(self.pieces.get, every), pa.string())}
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         if not all(t["special"] and not t["normalized"] and t["content"].startswith("<|") for t in data["added_tokens"]):
             raise ValueError(f"{path}: added tokens must be special strings that begin with <|")
@@ -124,7 +127,8 @@ class Encoder:
         return [x for x in ids if x >= 0]
 
 
-_OPEN: dict[str, Encoder] = {}
+#: Encoders by file, and the table of frequent words that a worker holds.
+_OPEN: dict[str, Any] = {}
 HELD[__name__] = _OPEN
 
 
@@ -177,6 +181,20 @@ def _coded(docs: DataFrame, frequent, key: str, text: str, rare: bool) -> DataFr
     return map_rows(given, [key, "_text", "a", "b"], rows, "a long, b int, " + ("rare array<string>" if rare else f"`{key}` {kind}, codes binary, has_rare boolean"))
 
 
+def _cut(lists: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words in a row, and where each word's begin (one more at the end)."""
+    whole = lists.cast(pa.large_binary())
+    ends = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1] // kind.itemsize if len(whole) else np.zeros(1, np.int64)
+    return np.frombuffer(whole.buffers()[2] or b"", kind), ends
+
+
+def _held(table: pa.Table, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent words' ids, cut once a worker, however many batches come."""
+    if _OPEN.get("frequent", (None,))[0] is not table:
+        _OPEN["frequent"] = table, _cut(table.column("ids").combine_chunks(), kind)
+    return _OPEN["frequent"][1]
+
+
 def _packed(codes: np.ndarray) -> bytes:
     import zstandard
 
@@ -208,20 +226,25 @@ def _assembled(docs: DataFrame, path: str, key: str, text: str, schema: str, sha
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         if any(has and not found for has, found in zip(batch.column("has_rare").to_pylist(), batch.column("rare").is_valid().to_pylist(), strict=True)):
             raise ValueError("the table of documents changed while it was read")
-        held = frequent.value.column("ids").combine_chunks()
-        own, kind = batch.column("rare"), np.dtype(encoder(path).kind)
-        every = pa.concat_arrays([held.cast(pa.large_binary()), own.flatten().cast(pa.large_binary())])
-        ends = np.frombuffer(every.buffers()[1], np.int64)[every.offset : every.offset + len(every) + 1] // kind.itemsize
-        flat = np.frombuffer(every.buffers()[2] or b"", kind)
-        base = len(held) + np.cumsum([0, *pc.fill_null(pc.list_value_length(own), 0).to_pylist()])
+        kind = np.dtype(encoder(path).kind)
+        held, own = _held(frequent.value, kind), _cut(batch.column("rare").flatten(), kind)
+        n_held = len(held[1]) - 1
+        base = np.cumsum([0, *pc.fill_null(pc.list_value_length(batch.column("rare")), 0).to_pylist()])
         per_doc = []
         for blob, at in zip(texts_of(batch.column("codes")), base, strict=False):
             code = _unpacked(blob).astype(np.int64)
-            per_doc.append(np.where(code >= len(held), code - len(held) + at, code))
+            per_doc.append(np.where(code >= n_held, code + at, code))
         place = np.concatenate(per_doc) if per_doc else np.zeros(0, np.int64)
-        length = ends[place + 1] - ends[place]
+        length = np.zeros(len(place), np.int64)
+        parts = [(np.flatnonzero(place < n_held), held, 0), (np.flatnonzero(place >= n_held), own, n_held)]
+        for which, (_, ends), less in parts:
+            length[which] = ends[place[which] - less + 1] - ends[place[which] - less]
         cut = np.concatenate(([0], np.cumsum(length)))
-        ids = flat[np.repeat(ends[place] - cut[:-1], length) + np.arange(cut[-1])]
+        ids = np.empty(cut[-1], kind)
+        for which, (flat, ends), less in parts:
+            n = length[which]
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            ids[np.repeat(cut[which], n) + step] = flat[np.repeat(ends[place[which] - less], n) + step]
         offsets = cut[np.cumsum([0, *map(len, per_doc)])]
         return pa.RecordBatch.from_arrays([batch.column(key), *map(pa.array, shaped(encoder(path), ids, offsets))], names=[key, *(f.split()[0] for f in schema.split(", "))])
 
@@ -231,8 +254,7 @@ def _assembled(docs: DataFrame, path: str, key: str, text: str, schema: str, sha
 
 def joined_pieces(own: Encoder, ids: np.ndarray, offsets: np.ndarray, of: str) -> list[str]:
     """Each text's ids as decimals, or the pieces that they stand for: a lookup in the vocabulary, joined by a blank."""
-    names = pa.array([str(i) if of == "id" else own.pieces.get(i) for i in range(max(own.pieces) + 1)])
-    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), names.take(pa.array(ids))), " ").to_pylist()
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), own.names[of].take(pa.array(ids))), " ").to_pylist()
 
 
 def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
