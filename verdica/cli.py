@@ -1,4 +1,4 @@
-"""Commands: ask, report, calibrate, soft-rows, serve, http. Errors of input become one line and exit status 1 (ask: 2)."""
+"""Commands: ask, report, calibrate, soft-rows, build-data, decisions, teacher, mine-negatives, synth-flag, synth-decisions, serve, http. Errors of input become one line and exit status 1 (ask: 2)."""
 
 from __future__ import annotations
 
@@ -92,6 +92,57 @@ def read_decisions_command(args: argparse.Namespace) -> int:
     return 0
 
 
+def teacher(args: argparse.Namespace) -> int:
+    """Teacher's scores of a decisions file, in a run that goes on where it died."""
+    from pyspark.sql import functions as F
+
+    from .operators.scoring import lexical_backend
+    from .plans.teach import teacher_scores
+    from .sources.chunks import committed_rows, run_chunks
+    from .sources.decisions import read_decisions_file
+
+    rows = read_decisions_file(_spark(), args.file).withColumn("request_id", F.col("id"))
+    run_chunks(rows, args.out, lambda part: teacher_scores(part, lexical_backend, args.seed), "request_id", args.seed)
+    done = committed_rows(_spark(), args.out)
+    print(json.dumps({"rows": done.count(), "agree": done.where("agree").count()}))
+    return 0
+
+
+def mine_negatives(args: argparse.Namespace) -> int:
+    from .operators.scoring import lexical_backend
+    from .plans.teach import mined_negatives, mining_summary
+
+    spark = _spark()
+    found = mined_negatives(spark.read.schema("id string, text string, label string").json(args.rows), spark.read.schema("name string, place int").json(args.labels), lexical_backend, int(args.keep))
+    found.write.mode("overwrite").json(args.out)
+    print(json.dumps(mining_summary(spark.read.schema(found.schema).json(args.out)).first().asDict()))
+    return 0
+
+
+def synth_flag(args: argparse.Namespace) -> int:
+    from .curate.synth import flag_banking
+    from .operators.scoring import lexical_backend
+    from .plans.teach import teacher_scores
+
+    intents = _spark().read.schema("domain string, intent string, description string").json(args.intents)
+    flags = flag_banking(intents, lambda rows: teacher_scores(rows, lexical_backend), args.out)
+    print(json.dumps({"intents": flags.count(), "flagged": flags.where("flag").count()}))
+    return 0
+
+
+def synth_decisions(args: argparse.Namespace) -> int:
+    from .curate.synth import decisions
+    from .operators.scoring import lexical_backend
+    from .plans.teach import candidate_margins
+
+    spark = _spark()
+    said = spark.read.schema("domain string, intent string, n long, text string").json(args.utterances)
+    labels = spark.read.schema("domain string, intent string, place int").json(args.labels)
+    rows = decisions(said, labels, lambda pairs: candidate_margins(pairs, lexical_backend, ["domain", "n"]), args.out, args.seed)
+    print(json.dumps({"rows": rows.count(), "gold_first": rows.where("gold_rank = 0").count()}))
+    return 0
+
+
 def serve(args: argparse.Namespace) -> int:
     from .streaming.serve import request_stream
     from .streaming.serve import serve as start
@@ -124,6 +175,10 @@ def main(argv: list[str] | None = None) -> int:
         "soft-rows": (soft_rows, [("--rows", {"required": True}), ("--teacher", {"required": True}), ("--out", {"required": True})]),
         "build-data": (build_data, [("root", {}), ("--out", {"required": True}), ("--seed", {"default": "0"}), ("--scale", {"default": "1"}), ("--sources", {"nargs": "*"})]),
         "decisions": (read_decisions_command, [("file", {}), ("--name", {"default": "decisions"})]),
+        "teacher": (teacher, [("file", {}), ("--out", {"required": True}), ("--seed", {"default": "0"})]),
+        "mine-negatives": (mine_negatives, [("rows", {}), ("--labels", {"required": True}), ("--out", {"required": True}), ("--keep", {"default": "15"})]),
+        "synth-flag": (synth_flag, [("intents", {}), ("--out", {"required": True})]),
+        "synth-decisions": (synth_decisions, [("utterances", {}), ("--labels", {"required": True}), ("--out", {"required": True}), ("--seed", {"default": "0"})]),
         "serve": (serve, [("folder", {}), ("--out", {"required": True})]),
         "http": (http, [("--host", {"default": "127.0.0.1"}), ("--port", {"default": "8766"}), ("--key", {}), ("--calibrator", {})]),
     }
