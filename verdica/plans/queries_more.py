@@ -47,15 +47,15 @@ def clauses(spark, sf):
 
 
 @query(
-    f"""WITH i AS (SELECT source AS domain, CASE WHEN doc_id % 9 = 0 THEN 'pay_loan_' ELSE 'i_' END || doc_id AS intent, {_TEXT} AS description, doc_id FROM documents WHERE source <> 'src3' OR doc_id % 2 = 0),
+    f"""WITH i AS (SELECT lang AS domain, CASE WHEN doc_id % 9 = 0 THEN 'pay_loan_' ELSE 'i_' END || doc_id AS intent, {_TEXT} AS description, doc_id FROM documents WHERE lang <> 'es' OR doc_id % 8 = 0),
 k AS (SELECT * FROM i WHERE NOT regexp_matches(replace(intent, '_', ' ') || ' ' || replace(description, '_', ' '), '{synth.BANKING}') AND doc_id % 4 <> 0)
 SELECT domain, intent FROM (SELECT *, count(*) OVER (PARTITION BY domain) AS n FROM k) WHERE n >= {synth.MIN_LABELS}"""
 )
 def usable_labels(spark, sf):
-    """Documents as intents of their source: without those on banking and the flagged ones; sources with too few left go."""
-    docs = table(spark, sf, "documents").where("source <> 'src3' OR doc_id % 2 = 0")
+    """Documents as intents of their language: without those on banking and the flagged ones; a language with too few left goes."""
+    docs = table(spark, sf, "documents").where("lang <> 'es' OR doc_id % 8 = 0")
     name = F.concat(F.when(F.col("doc_id") % 9 == 0, "pay_loan_").otherwise("i_"), F.col("doc_id").cast("string"))
-    rows = docs.select(F.col("source").alias("domain"), name.alias("intent"), F.coalesce("text", F.lit("")).alias("description"), "doc_id")
+    rows = docs.select(F.col("lang").alias("domain"), name.alias("intent"), F.coalesce("text", F.lit("")).alias("description"), "doc_id")
     flags = rows.select("domain", "intent", (F.col("doc_id") % 4 == 0).alias("flag"))
     return synth.usable_labels(rows, flags).select("domain", "intent")
 
