@@ -77,6 +77,21 @@ def test_ids_and_texts(monkeypatch, spark, library):
         assert r.ids == ids and r.decoded == library.decode(ids, skip_special_tokens=False)
 
 
+def test_marks_that_hold_two():
+    """U+0344 stands for two marks, the first of which composes with t but not with T."""
+    for text in ("T\u0344", "t\u0344 T\u0344", "THE T\u0344 The"):
+        assert own(text) == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_repeated_rows_beside_other_texts(monkeypatch, spark, library):
+    """A row's rare words number alike in whichever batch a copy of the row comes."""
+    monkeypatch.setattr(wordbpe, "SHARE", 1)
+    rows = [(1, "gamma delta alpha, beta"), (2, "alpha beta gamma: delta"), (3, "delta gamma"), (2, "alpha beta gamma: delta"), (4, "beta delta"), (2, "alpha beta gamma: delta")]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), "doc_id int, text string")
+    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in wordbpe.digests(docs, PATH).collect())
+    assert got == expected(library, rows)
+
+
 def test_each_distinct_word_once(spark):
     rows = spark.createDataFrame([(1, "one two two"), (2, "One three,"), (3, "three")], "doc_id int, text string").repartition(3)
     words = wordbpe.distinct_words(rows, PATH).collect()

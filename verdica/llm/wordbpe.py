@@ -49,7 +49,7 @@ _CLASS[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'<|
 
 
 def _folded(text: bytes) -> bytes:
-    return text if b"<|" in text or b"\xcc" in text else text.lower()
+    return text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.lower()  # U+0300 to U+036F lie behind CC and CD
 
 
 def split_words(texts: list[bytes]) -> tuple[pa.LargeStringArray, np.ndarray]:
@@ -156,7 +156,7 @@ def distinct_words(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 def _coded(docs: DataFrame, frequent, key: str, text: str, rare: bool) -> DataFrame:
-    """Of each text its digest (a, b: 96 bits) and, if ``rare``, its distinct rare words in order of their number, else its codes."""
+    """Of each text its digest (a, b: 96 bits) and, if ``rare``, its distinct rare words in the order in which they first come, else its codes."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         common = frequent.value.column("word")
@@ -165,7 +165,10 @@ def _coded(docs: DataFrame, frequent, key: str, text: str, rare: bool) -> DataFr
         at = np.flatnonzero(code < 0)
         seldom = words.take(pa.array(at)).dictionary_encode()
         doc = np.searchsorted(first, at, side="right") - 1
-        pair, which = np.unique(doc << 32 | seldom.indices.to_numpy().astype(np.int64), return_inverse=True)
+        pair, begins, which = np.unique(doc << 32 | seldom.indices.to_numpy().astype(np.int64), return_index=True, return_inverse=True)
+        # numbered as they first come in their own text, whatever texts share its batch: copies of a row number alike
+        order = np.argsort(begins)
+        pair, which = pair[order], np.argsort(order)[which]
         per_doc = np.searchsorted(pair >> 32, np.arange(batch.num_rows + 1))
         if rare:
             lists = pa.ListArray.from_arrays(pa.array(per_doc, pa.int32()), seldom.dictionary.take(pa.array(pair & 0xFFFFFFFF)).cast(pa.string()))
