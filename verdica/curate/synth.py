@@ -28,9 +28,10 @@ def taxonomy_lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return good.withColumn("_r", F.row_number().over(Window.partitionBy(key, "intent").orderBy("pos"))).where("_r = 1").drop("_r")
 
 
-def utterance_lines(docs: DataFrame, keys: list[str], text: str = "text", most: int = 15) -> DataFrame:
-    """(keys, n, text): one message a line without bullets and quotes, 2 to 80 words, the first ``most`` of each row. Lines are chosen in their row: no exchange."""
-    bare = F.transform(F.split(text, r"\r?\n"), lambda x: T.collapse(F.regexp_replace(T.strip(F.regexp_replace(x, BULLET, "")), '^["“”]+|["“”]+$', "")))
+def utterance_lines(docs: DataFrame, keys: list[str], text: str = "text", most: int = 15, quotes: str = '"“”') -> DataFrame:
+    """(keys, n, text): one message a line without bullets and without ``quotes`` at its ends, 2 to 80 words, the first ``most`` of each row. Lines are chosen in their row: no exchange."""
+    unquoted = (lambda x: F.regexp_replace(x, f"^[{quotes}]+|[{quotes}]+$", "")) if quotes else (lambda x: x)
+    bare = F.transform(F.split(text, r"\r?\n"), lambda x: T.collapse(unquoted(T.strip(F.regexp_replace(x, BULLET, "")))))
     good = F.filter(bare, lambda x: F.size(F.split(x, " ")).between(2, 80))
     return docs.select(*keys, F.posexplode(F.slice(good, 1, most)).alias("n", "text"))
 
