@@ -47,3 +47,23 @@ def documents(spark, *texts: str):
 def test_lines_with_quotes(spark, tmp_path):
     sf = tables(tmp_path, documents=documents(spark, 'a line\n- token = "2b0c"\n"all of it quoted"\n3) “so is this”', "plain words"))
     like_sql(spark, sf, "parse_utterances")
+
+
+def test_a_source_stays_in_one_file(spark, tmp_path, settings):
+    """Documents come in several pieces, and the join by source is one that turns into a broadcast while it runs."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartitionByRange(4, "doc_id")
+    sf = tables(tmp_path, documents=docs)
+    settings("spark.sql.autoBroadcastJoinThreshold", "-1")
+    settings("spark.sql.adaptive.autoBroadcastJoinThreshold", "10MB")
+    settings("spark.sql.files.openCostInBytes", "100000")
+    like_sql(spark, sf, "raw_score_files")
+
+
+def test_equal_means_are_not_above(spark):
+    """A later mean of the same values in another order."""
+    values = [0.1, 0.7, 0.3, 1.1, 2.3] * 10
+    log = spark.createDataFrame(list(enumerate(values + [5.0] * 60 + values[::-1])), "step int, loss double")
+    last = analysis.stop_rules(log).where("step = 159").first()
+    assert last["trailing"] == pytest.approx(last["first_mean"]) and not last["above_first"]
+    above = analysis.stop_rules(log).where("above_first").agg(F.min("step"), F.max("step")).first()
+    assert above[0] == 149 and above[1] < 159

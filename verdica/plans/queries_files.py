@@ -77,7 +77,8 @@ def raw_score_files(spark, sf):
     # the writer ends each row with a blank; the row before closes with brace and line feed
     value = F.concat(row, F.when(last, F.when(whole, F.lit("}\n")).otherwise(F.lit(',"prom'))).otherwise(F.lit("}\n")))
     path = folder(spark)
-    docs.join(ends, "source").select("source", "doc_id", value.alias("value")).repartition("source").sortWithinPartitions("source", "doc_id").drop("doc_id").write.partitionBy("source").option("lineSep", " ").text(path)
+    # ends, a row a source, go to every task: after an exchange by source the repartition would be left out, and a source's rows come in several files
+    docs.join(F.broadcast(ends), "source").select("source", "doc_id", value.alias("value")).repartition("source").sortWithinPartitions("source", "doc_id").drop("doc_id").write.partitionBy("source").option("lineSep", " ").text(path)
     rows = R.read_raw(spark, f"{path}/*/*.txt")
     of = docs.select(F.col("doc_id").cast("string").alias("id"), "source")
     return rows.join(of, "id").select("source", "line", "id", F.get("logits", F.lit(0)).alias("logit"))
