@@ -221,6 +221,7 @@ def gated(first: Column, final: Column, conf: Column, tau: Column | float) -> Co
 def stop_rules(log: DataFrame, step: str = "step", loss: str = "loss", window: int = 50, start: int = 150, by: list[str] | None = None, block: int = 50_000) -> DataFrame:
     """Adds ``bad_pair`` (two non-finite losses in a row) and ``above_first`` (trailing mean above the first window's), of each run if ``by`` is given.
 
+    Means are compared to nine digits, so that equal ones aren't told apart by the order in which they were summed.
     A log of any length is dealt in blocks that overlap by a window.
     """
     by = by or []
@@ -232,7 +233,7 @@ def stop_rules(log: DataFrame, step: str = "step", loss: str = "loss", window: i
     trailing = F.avg(F.when(F.col("_ok"), value)).over(w.rowsBetween(-(window - 1), 0))
     out = ok.withColumns({"trailing": trailing, "bad_pair": ~F.col("_ok") & ~F.coalesce(F.lag("_ok").over(w), F.lit(True))}).where(~F.col("_halo"))
     out = out.join(first, by, "left") if by else out.join(F.broadcast(first), how="left", on=F.lit(True))  # one row
-    return out.withColumn("above_first", (F.col("_place") + 1 >= start) & (F.col("trailing") > F.col("first_mean"))).drop("_ok", "_place", "_block", "_halo")
+    return out.withColumn("above_first", (F.col("_place") + 1 >= start) & (F.round("trailing", 9) > F.round("first_mean", 9))).drop("_ok", "_place", "_block", "_halo")
 
 
 def rises(log: DataFrame, step: str, value: str, by: list[str] | None = None, block: int = 50_000) -> DataFrame:
