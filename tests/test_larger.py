@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from oracle_check import connect, digest
-from verdica.operators import analysis
+from verdica.functions import text
+from verdica.operators import analysis, prompts
 from verdica.plans import catalog
 
 
@@ -67,3 +68,21 @@ def test_equal_means_are_not_above(spark):
     assert last["trailing"] == pytest.approx(last["first_mean"]) and not last["above_first"]
     above = analysis.stop_rules(log).where("above_first").agg(F.min("step"), F.max("step")).first()
     assert above[0] == 149 and above[1] < 159
+
+
+def test_escapes_without_python(spark):
+    """As the plain function does, lone halves of pairs and long runs too, with no Python stage."""
+    texts = ["", None, "a\\u0041", "\\ud83d\\ude00x", "\\ud83dx\\ude00", "\\ud83d\\ud83d\\ude00\\ude00", "\\\\u00e9\\u00E9\\u00g1\\u", "\\u0000\\u000a|", "\\u4e2d" * 5000, "$1 \\u0024 \\"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.unescape(F.col("t")).alias("t"))
+    assert [r.t for r in rows.orderBy("i").collect()] == [text.unescaped(t) for t in texts]
+    assert "Python" not in rows._jdf.queryExecution().toString()
+
+
+def test_stand_in_tokens_need_no_vocabulary(spark, monkeypatch):
+    """Ids and words of the stand-in tokenizer come from each other, so decoding costs what it gives."""
+    got = []
+    monkeypatch.setattr(prompts, "fitted", lambda rows, encode, decode, *_: got.extend((encode, decode)) or rows.select("doc_id", F.lit(True).alias("truncated"), F.lit(0).alias("n_tokens"), F.lit("").alias("prompt")))
+    catalog.QUERIES["fitted_prompts"](spark, "/root/testdata/sf0.001")
+    encode, decode = got
+    assert decode(encode("naïve  é 中 a")[-5:]) == "naïve  é 中 a"
+    assert not encode.__closure__ and not decode.__closure__
