@@ -143,11 +143,16 @@ def decision_rows(utterances: DataFrame, labels: DataFrame, score: Callable[[Dat
     """
     from ..operators.scoring import mined
 
-    pairs = utterances.select("domain", "n", "text", F.col("intent").alias("gold")).join(labels.select("domain", F.col("intent").alias("label_name"), "place"), "domain")
-    ranked = mined(score(pairs), ["domain", "n", "text", "gold"], F.col("label_name") == F.col("gold"), keep=wrong + 1)
+    # texts are told apart by digests: what is exchanged for each label is short, and a text once
+    said = utterances.select("domain", "n", "text", F.col("intent").alias("gold")).withColumn("_text", F.coalesce(F.left(F.sha2("text", 256), F.lit(32)), F.lit("")))
+    keys = ["domain", "n", "_text", "gold"]
+    pairs = said.join(F.broadcast(labels.select("domain", F.col("intent").alias("label_name"), "place")), "domain")
+    scored = score(pairs).select(*keys, "label_name", "place", "margin")
+    ranked = mined(scored, keys, F.col("label_name") == F.col("gold"), keep=wrong + 1).where("gold_rank IS NOT NULL")
+    texts = said.groupBy(*keys).agg(F.first("text").alias("text")).withColumnRenamed("n", "_n")
+    same = [*(ranked[k] == texts[k] for k in ("domain", "_text", "gold")), ranked["n"].eqNullSafe(texts["_n"])]
     options = H.shuffled(F.array_append(F.slice("wrong", 1, wrong), F.col("gold")), seed, F.col("domain"), F.col("n"))
-    rows = ranked.where("gold_rank IS NOT NULL").withColumn("options", options)
-    return rows.select("domain", "n", F.concat_ws("/", F.lit("synth"), "domain", F.col("n").cast("string")).alias("id"), F.col("text").alias("state"), "options", (F.array_position("options", F.col("gold")) - 1).cast("int").alias("label"), "gold_rank")
+    return ranked.join(texts, same).drop(texts["domain"], texts["_text"], texts["gold"]).withColumn("options", options).select("domain", "n", F.concat_ws("/", F.lit("synth"), "domain", F.col("n").cast("string")).alias("id"), F.col("text").alias("state"), "options", (F.array_position("options", F.col("gold")) - 1).cast("int").alias("label"), "gold_rank")
 
 
 def decisions(utterances: DataFrame, labels: DataFrame, score: Callable[[DataFrame], DataFrame], path: str, seed: str = "0", chunk_rows: int = 8) -> DataFrame:
@@ -155,7 +160,8 @@ def decisions(utterances: DataFrame, labels: DataFrame, score: Callable[[DataFra
     from ..sources.chunks import committed_rows, run_chunks
 
     def rows_of(domains: DataFrame) -> DataFrame:
-        return decision_rows(utterances.join(domains, "domain", "left_semi"), labels, score, seed)
+        own = F.broadcast(domains)  # those of some chunks
+        return decision_rows(utterances.join(own, "domain", "left_semi"), labels.join(own, "domain", "left_semi"), score, seed)
 
     run_chunks(labels.select("domain").distinct(), path, rows_of, "domain", seed, chunk_rows)
     return committed_rows(utterances.sparkSession, path, "domain string, n long, id string, state string, options array<string>, label int, gold_rank int")
