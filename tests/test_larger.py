@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oracle_check import connect, digest
+from verdica.curate import guards, synth
 from verdica.functions import text
 from verdica.operators import analysis, prompts
 from verdica.plans import catalog
@@ -86,3 +87,29 @@ def test_stand_in_tokens_need_no_vocabulary(spark, monkeypatch):
     encode, decode = got
     assert decode(encode("naïve  é 中 a")[-5:]) == "naïve  é 中 a"
     assert not encode.__closure__ and not decode.__closure__
+
+
+def test_no_text_goes_with_each_label(spark):
+    """What labels of an utterance are dealt by is short, and few sets of examples meet their questions without an exchange."""
+    said = spark.createDataFrame([("d", "a", 1, "one"), ("d", "b", None, "two"), ("d", "a", 1, "three")], "domain string, intent string, n long, text string")
+    labels = spark.createDataFrame([("d", x, i) for i, x in enumerate("abcd")], "domain string, intent string, place int")
+    rows = synth.decision_rows(said, labels, lambda p: p.withColumn("margin", F.col("place").cast("double")), "s", 2)
+    assert {(r.n, r.state, r.gold_rank) for r in rows.collect()} == {(1, "one", 3), (None, "two", 2), (1, "three", 3)}
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert not any(" text#" in f" {line.split('hashpartitioning')[1].replace('(', ' ')}" for line in plan.splitlines() if "hashpartitioning" in line)
+
+
+def test_a_long_chain_in_few_rounds(spark, monkeypatch):
+    """Rounds that settle next to nothing give way to ranges of rows, one after the other, each of bounded size."""
+    wide = [(i, [f"k{i}", f"k{i + 1}", f"h{i % 97}" if i % 5 == 0 else "k%d" % i]) for i in range(600)]
+    rows = spark.createDataFrame(wide, "id int, keys array<string>").repartition(3)
+    used, kept = set(), []
+    for i, keys in wide:
+        if not used & set(keys):
+            used |= set(keys)
+            kept.append(i)
+    written = []
+    folder = guards.folder
+    monkeypatch.setattr(guards, "folder", lambda s: written.append(1) or folder(s))
+    assert sorted(r.id for r in guards.independent_rows(rows, "keys", "id", at_once=300).collect()) == kept
+    assert len(written) < 40
