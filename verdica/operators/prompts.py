@@ -60,11 +60,12 @@ def with_prompt(questions: DataFrame) -> DataFrame:
     return questions.withColumns({"prefix": prefix, "state": strip(F.coalesce("state", F.lit(""))), "suffix": tail(header, options), "n_labels": F.size(options)})
 
 
-def with_candidate_prompt(options: DataFrame) -> DataFrame:
-    """For rows with ``option``: a yes/no prompt about it."""
+def with_candidate_prompt(options: DataFrame, stripped: bool = False) -> DataFrame:
+    """For rows with ``option``: a yes/no prompt about it. Where ``stripped``, states already are and aren't searched again for each option."""
     header, yes_no = candidate_lines(F.col("instructions"), F.col("option")["name"], F.col("option")["descr"])
     prefix = F.coalesce("prefix", F.lit("")) if "prefix" in options.columns else F.lit("")
-    return options.withColumns({"prefix": prefix, "state": strip(F.coalesce("state", F.lit(""))), "suffix": tail(header, yes_no), "n_labels": F.lit(2)})
+    state = F.col("state") if stripped else strip(F.coalesce("state", F.lit("")))
+    return options.withColumns({"prefix": prefix, "state": state, "suffix": tail(header, yes_no), "n_labels": F.lit(2)})
 
 
 def demo_text(state: Column, header: Column, options: Column, answer: Column) -> Column:
